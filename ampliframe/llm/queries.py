@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampliframe.llm import mixing, quality
+from ampliframe.llm import mixing, quality, secret_scan, simhash, substring_dedup, warc
 from ampliframe.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,42 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_rules", _QUALITY_SQL)
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read_table(spark, sf_dir, "documents"))
+
+
+_WARC_SQL = r"""
+with p as (
+  select page_id, coalesce(html, '') body, sha1(coalesce(html, '')) digest, row_number() over () rn from pages),
+v as (
+  select *, min(struct_pack(a := page_id is null, b := page_id, c := rn)) over (partition by body) least, count(*) over (partition by body) n from p),
+b as (
+  select v.*, list_transform(range(8), lambda i: list_reduce(list_transform(range(5), lambda j: cast(strpos('0123456789abcdef', substr(digest, cast(1 + 5 * i + j as int), 1)) - 1 as bigint)), lambda x, y: x * 16 + y)) quads
+  from v)
+select page_id, cast(strlen(body) as bigint) payload_bytes,
+       array_to_string(list_transform(quads, lambda q: concat(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + (q >> 15) % 32 as int), 1),
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + (q >> 10) % 32 as int), 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + (q >> 5) % 32 as int), 1),
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + q % 32 as int), 1))), '') payload_digest,
+       case when least.c = rn then 'response' else 'revisit' end record_type,
+       case when least.c = rn then null else least.b end refers_to
+from b
+"""
+
+
+@query("op8_warc", _WARC_SQL)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(read_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
