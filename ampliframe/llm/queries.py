@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampliframe.llm import mixing, quality, secret_scan, simhash, substring_dedup, warc
+from ampliframe.llm import decontaminate, html_extract, lm_score, mixing, quality, secret_scan, simhash, substring_dedup, url_filter, warc
 from ampliframe.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_substring_dedup")
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
+@query("op1_url_filter")
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = read_table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.score(read_table(spark, sf_dir, "documents"), good)
+
+
+@query("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
