@@ -115,8 +115,8 @@ def choose_plans(texts: DataFrame) -> list[simhash.Plan]:
     return [simhash.Plan(g, thresholds[i * k : (i + 1) * k]) for i, g in enumerate(groups)]
 
 
-def _probes(texts: DataFrame, plans: list[simhash.Plan]) -> DataFrame:
-    """``sig, key``: every text under each of its signatures; the highest byte of ``sig`` is the partition's number."""
+def _probes(texts: DataFrame, plans: list[simhash.Plan], whole: bool = False) -> DataFrame:
+    """``sig, key``, ``whole``: and the other columns: every text under each of its signatures; the highest byte of ``sig`` is the partition's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +124,11 @@ def _probes(texts: DataFrame, plans: list[simhash.Plan]) -> DataFrame:
                 fp = batch.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64)
                 for _, sig in simhash.signatures(fp, plan):
                     sig = sig + (np.uint64(k * PARTITIONS_A_LANE) << np.uint64(56))
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), batch.column(0)], ["sig", "key"])
+                    rest = [batch.column(c) for c in ("n", *_lane_names())] if whole else []
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), batch.column(0), *rest], ["sig", "key", *(["n", *_lane_names()] if whole else [])])
 
-    return texts.select("key", *_lane_names()).mapInArrow(run, "sig long, key long")
+    more = "".join(f", {c} long" for c in _lane_names()) if whole else ""
+    return texts.select("key", *_lane_names(), "n").mapInArrow(run, f"sig long, key long{', n int' if whole else ''}{more}")
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,43 +139,61 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest_pairs(key: np.ndarray, n: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members near in fingerprint and length: each member's nearest few."""
-    if len(key) == 2:
+def _nearest_pairs(n: np.ndarray, lanes: np.ndarray, earlier: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of members near in fingerprint and length: each member's nearest few.
+
+    A bucket that takes all its pairs gives all of them; a larger one leaves
+    out those that met in a bucket of an ``earlier`` partition, given as lane and bits.
+    """
+    if len(n) == 2:
         if min(n) < SIMILARITY * max(n) or sum(int(x).bit_count() for x in lanes[0] ^ lanes[1]) > MAX_DISTANCE:
-            return key[:0], key[:0]
-        return key[:1], key[1:]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(1, np.int64), np.ones(1, np.int64)
     order = np.argsort(n, kind="stable")
-    key, n, lanes = key[order], n[order], lanes[order]
-    a, b = [], []
-    for lo in range(0, max(1, len(key) - BLOCK // 2), BLOCK // 2):
-        hi = min(lo + BLOCK, len(key))
-        d = _distances(lanes[lo:hi], lanes[lo:hi])
-        d[np.minimum(n[lo:hi, None], n[None, lo:hi]) < SIMILARITY * np.maximum(n[lo:hi, None], n[None, lo:hi])] = 1 << 14
-        np.fill_diagonal(d, 1 << 14)
+    n, lanes = n[order], lanes[order]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, max(1, len(n) - BLOCK // 2), BLOCK // 2):
+        hi = min(lo + BLOCK, len(n))
         k = min(NEAREST, hi - lo - 1)
         if k < 1:
             continue
+        d = _distances(lanes[lo:hi], lanes[lo:hi])
+        d[np.minimum(n[lo:hi, None], n[None, lo:hi]) < SIMILARITY * np.maximum(n[lo:hi, None], n[None, lo:hi])] = 1 << 14
+        np.fill_diagonal(d, 1 << 14)
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
         fit = np.take_along_axis(d, near, axis=1) <= MAX_DISTANCE
-        rows = np.repeat(np.arange(hi - lo), fit.sum(axis=1))
-        a.append(key[lo + rows])
-        b.append(key[lo + near[fit]])
-    return (np.concatenate(a), np.concatenate(b)) if a else (key[:0], key[:0])
-
-
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a.append(lo + np.repeat(np.arange(hi - lo), fit.sum(axis=1)))
+        b.append(lo + near[fit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    if len(n) > NEAREST + 1:
+        new = np.ones(len(a), bool)
+        for lane, mask in earlier:
+            new &= ((lanes[a, lane] ^ lanes[b, lane]) & np.uint64(mask)) != 0
+        a, b = a[new], b[new]
+    return order[a], order[b]
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], masks: list[tuple[int, int] | None]) -> Iterator[pa.RecordBatch]:
     """Of members sorted by signature: near pairs, ``a`` < ``b``."""
     rest = None
 
     def judge(table: pa.Table) -> pa.RecordBatch:
         sig, key, n = (table.column(c).to_numpy() for c in ("sig", "key", "n"))
-        lanes = np.stack([table.column(c).to_numpy() for c in _lane_names()], axis=1).view(np.uint64)
         cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        ends = np.append(cut[1:], len(sig))
-        found = [_nearest_pairs(key[s:e], n[s:e], lanes[s:e]) for s, e in zip(cut.tolist(), ends.tolist(), strict=True) if e - s > 1]
-        a = np.concatenate([x for x, _ in found] or [key[:0]])
-        b = np.concatenate([x for _, x in found] or [key[:0]])
+        size = np.diff(cut, append=len(sig))
+        lanes = np.stack([table.column(c).to_numpy() for c in _lane_names()], axis=1).view(np.uint64)
+        two = cut[size == 2]
+        far = np.zeros(len(two), np.int64)
+        for k in range(LANES):
+            far += _POPCOUNT[np.ascontiguousarray(lanes[two, k] ^ lanes[two + 1, k]).view(np.uint16).reshape(len(two), 4)].sum(axis=1, dtype=np.int64)
+        near = two[(far <= MAX_DISTANCE) & (np.minimum(n[two], n[two + 1]) >= SIMILARITY * np.maximum(n[two], n[two + 1]))]
+        a, b = [near], [near + 1]
+        for s, g in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            part = int(sig[s]) >> 56 & 0xFF
+            x, y = _nearest_pairs(n[s : s + g], lanes[s : s + g], [m for m in masks[:part] if m is not None])
+            a.append(s + x)
+            b.append(s + y)
+        a, b = key[np.concatenate(a)], key[np.concatenate(b)]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
 
@@ -191,11 +211,12 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def candidate_pairs(texts: DataFrame, plans: list[simhash.Plan]) -> DataFrame:
     """``a, b``: keys of texts that are near each other in a bucket."""
-    probes = _probes(texts, plans)
-    shared = probes.groupBy("sig").count().where("count > 1").select("sig")
-    members = probes.join(shared, "sig", "left_semi").join(texts.select("key", "n", *_lane_names()), "key")
-    found = members.repartition(F.col("sig")).sortWithinPartitions("sig").mapInArrow(_bucket_pairs, "a long, b long")
-    return found.distinct()
+    masks = []
+    for k, plan in enumerate(plans):
+        for i, (partition, t) in enumerate(zip(plan.partitions, plan.thresholds, strict=True)):
+            masks.append((k, sum(1 << b for b in partition)) if t == 0 else None)
+    members = _probes(texts, plans, whole=True).repartition(F.col("sig")).sortWithinPartitions("sig")
+    return members.mapInArrow(lambda batches: _bucket_pairs(batches, masks), "a long, b long").distinct()
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
