@@ -1,10 +1,512 @@
-"""Queries of the sequence engine by name, and the DuckDB SQL of each."""
+"""Queries of the sequence engine by name, and the DuckDB SQL of each that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ampliframe.functions import sequences as sq
+from ampliframe.operators import denoise as dn
+from ampliframe.operators import derep, errors, reads, tables, taxonomy
+from ampliframe.params import BimeraParams, FilterParams, LearnParams, MergeParams, PrimerParams
+from ampliframe.plans import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Uniques of a sample that pairwise queries compare.
+TOP_PAIRS, TOP_BIMERA = 20, 60
+FILTER = FilterParams(trunc_q=20, min_len=20, max_n=0, max_ee=0.01)
+SAMPLES = ["s0", "s1", "s2", "s3"]
+_Q = "list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)"
+_RC = "reverse(regexp_replace(translate({0}, 'ACGTacgtUu', 'TGCATGCAAA'), '[^ACGT]', 'N', 'g'))"
+
+
+def query(sql: str | None = None):
+    """Register a query under its own name; ``sql`` may use the reads' and templates' table expressions."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = f"with recursive {fixtures.READS_SQL.strip()}, {fixtures.TEMPLATES_SQL.strip()} {sql}"
+        return function
+
+    return add
+
+
+def _uniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derep.rank_uniques(derep.counts(fixtures.reads(spark, sf_dir)))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = _uniques(spark, sf_dir).where(F.col("uniq_idx") < TOP_PAIRS)
+    a = top.select("sample_id", F.col("seq").alias("a"), F.col("uniq_idx").alias("i"))
+    b = top.select("sample_id", F.col("seq").alias("b"), F.col("uniq_idx").alias("j"))
+    return a.join(b, "sample_id").where("i < j").select("a", "b").distinct()
+
+
+_PAIRS_SQL = f", pairs as (select distinct x.seq a, y.seq b from ranked x join ranked y on x.sample_id = y.sample_id and x.idx < y.idx where y.idx < {TOP_PAIRS})"
+
+
+# --- reads -----------------------------------------------------------------------
+
+_CUT_SQL = r"length(regexp_extract(qual, '^[^!-5]*'))"
+_PASSED_SQL = f"""
+, cut as (select sample_id, read_id, substr(seq, 1, {_CUT_SQL}) seq, substr(qual, 1, {_CUT_SQL}) qual from reads),
+passed as (select * from cut where length(seq) >= 20 and length(seq) = length(translate(seq, 'Nn', ''))
+           and list_sum(list_transform(string_split(qual, ''), lambda c: pow(10.0, -(ascii(c) - 33) / 10.0))) <= 0.01)
+"""
+
+
+@query(f"{_PASSED_SQL} select sample_id, read_id, seq, qual from passed")
+def read_filter(spark, sf_dir):
+    return reads.filtered(fixtures.reads(spark, sf_dir), FILTER).select("sample_id", "read_id", "seq", "qual")
+
+
+@query(f"select sample_id, read_id, cast({_CUT_SQL} as int) cut from reads")
+def trunc_q(spark, sf_dir):
+    return fixtures.reads(spark, sf_dir).select("sample_id", "read_id", sq.quality_cut(F.col("qual"), 20).cast("int").alias("cut"))
+
+
+@query("select sample_id, read_id, round(list_sum(list_transform(string_split(qual, ''), lambda c: pow(10.0, -(ascii(c) - 33) / 10.0))), 6) ee from reads")
+def max_ee(spark, sf_dir):
+    return fixtures.reads(spark, sf_dir).select("sample_id", "read_id", F.round(sq.expected_errors(F.col("qual")), 6).alias("ee"))
+
+
+@query("select sample_id, read_id, translate(qual, 'GH', 'II') qual from reads")
+def requantise(spark, sf_dir):
+    return fixtures.reads(spark, sf_dir).select("sample_id", "read_id", sq.requantised(F.col("qual"), [2, 20, 30, 40]).alias("qual"))
+
+
+@query("select sample_id, read_id, seq from reads where substr(md5(read_id), 1, 1) in ('0', '1', '2', '3')")
+def hash_subsample(spark, sf_dir):
+    return derep.hash_subsample(fixtures.reads(spark, sf_dir), "read_id", 64).select("sample_id", "read_id", "seq")
+
+
+@query("select sample_id, cast(sum(length(seq)) as bigint) bases from reads group by sample_id having (select coalesce(sum(length(r.seq)), 0) from reads r where r.sample_id < reads.sample_id) < 1500000")
+def bases_cutoff(spark, sf_dir):
+    sums = fixtures.reads(spark, sf_dir).groupBy("sample_id").agg(F.sum(F.length("seq")).alias("bases"))
+    return derep.bases_cutoff(sums.withColumn("ord", F.col("sample_id")), 1_500_000).select("sample_id", "bases")
+
+
+# --- dereplication ---------------------------------------------------------------
+
+
+@query("select sample_id, seq, n as count from uniq")
+def derep_counts(spark, sf_dir):
+    return derep.counts(fixtures.reads(spark, sf_dir))
+
+
+QUERIES["derep"], ORACLES["derep"] = QUERIES.pop("derep_counts"), ORACLES.pop("derep_counts")
+
+
+@query("select sample_id, seq, n as count, idx uniq_idx from ranked")
+def derep_rank(spark, sf_dir):
+    return _uniques(spark, sf_dir)
+
+
+_SPREAD_SQL = f", spread as (select sample_id, seq, read_id, cast(unnest(range(length(qual))) as int) pos, unnest({_Q}) q from reads)"
+_SUMS_SQL = f"{_SPREAD_SQL}, sums as (select sample_id, seq, pos, cast(sum(q) as bigint) qsum from spread group by all)"
+
+
+@query(f"{_SUMS_SQL} select * from sums")
+def derep_qual_sum(spark, sf_dir):
+    return derep.quality_sums(fixtures.reads(spark, sf_dir))
+
+
+@query(f"{_SUMS_SQL} select s.sample_id, s.seq, s.pos, cast(floor(qsum / n + 0.5) as int) q from sums s join uniq u on s.sample_id = u.sample_id and s.seq = u.seq")
+def mean_quality(spark, sf_dir):
+    uniques = derep.dereplicate(fixtures.reads(spark, sf_dir))
+    spread = uniques.select("sample_id", "seq", "count", F.posexplode("qual_sum").alias("pos", "s"))
+    return spread.select("sample_id", "seq", "pos", F.floor(F.col("s") / F.col("count") + 0.5).cast("int").alias("q"))
+
+
+# --- summaries -------------------------------------------------------------------
+
+
+@query(f"{_SPREAD_SQL} select sample_id, pos, round(avg(q), 6) mean_q, count(*) coverage from spread group by all")
+def cycle_quality(spark, sf_dir):
+    return reads.cycle_quality(fixtures.reads(spark, sf_dir)).withColumn("mean_q", F.round("mean_q", 6))
+
+
+@query(f"{_SPREAD_SQL} select sample_id, pos, cast(q as int) q, count(*) n from spread group by all")
+def cycle_histogram(spark, sf_dir):
+    return reads.cycle_histogram(fixtures.reads(spark, sf_dir))
+
+
+@query(
+    f"""{_SPREAD_SQL}, ee as (select sample_id, pos, sum(pow(10.0, -q / 10.0)) over (partition by read_id, sample_id, seq, copy order by pos) ee
+         from (select *, row_number() over (partition by sample_id, read_id, seq, pos order by q) copy from spread))
+    select sample_id, pos, round(avg(ee), 6) mean, round(min(ee), 6) min, round(max(ee), 6) max from ee group by all"""
+)
+def cumulative_ee(spark, sf_dir):
+    out = reads.cumulative_error_summary(fixtures.reads(spark, sf_dir))
+    return out.select("sample_id", "pos", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max")])
+
+
+@query(f"{_SPREAD_SQL} select sample_id, cast(q as int) q, count(*) n from spread group by all")
+def quality_values(spark, sf_dir):
+    return reads.quality_values(fixtures.reads(spark, sf_dir))
+
+
+@query(f"{_SPREAD_SQL} select sample_id, count(distinct q) n_values, count(distinct q) between 2 and 8 binned from spread group by sample_id")
+def binned_verdict(spark, sf_dir):
+    return reads.binned_verdict(reads.quality_values(fixtures.reads(spark, sf_dir)))
+
+
+@query(f"{_SPREAD_SQL} select cast(q as int) q, count(*) n, q in (20, 39, 40) expected from spread group by q")
+def summary_merge(spark, sf_dir):
+    return reads.merged_summary(reads.quality_values(fixtures.reads(spark, sf_dir)), [20, 39, 40])
+
+
+# --- k-mers and strands ----------------------------------------------------------
+
+_KMER_SQL = ", seqs as (select distinct seq from uniq), km as (select seq, substr(seq, cast(i as int), {k}) kmer from (select seq, unnest(range(1, length(seq) - {k} + 2)) i from seqs)), kc as (select seq, kmer, cast(count(*) as int) n from km group by all)"
+
+
+@query(_KMER_SQL.format(k=3) + " select seq, kmer, n from kc")
+def kmer_counts(spark, sf_dir):
+    return tables.kmer_counts(_uniques(spark, sf_dir).select("seq").distinct(), 3)
+
+
+_DIST_SQL = _PAIRS_SQL + _KMER_SQL.format(k=5) + ", shared as (select a, b, sum(least(x.n, y.n)) s from pairs join kc x on x.seq = a join kc y on y.seq = b and y.kmer = x.kmer group by a, b)"
+
+
+@query(_DIST_SQL + " select p.a, p.b, round(1 - coalesce(s, 0) / (least(length(p.a), length(p.b)) - 4.0), 6) dist from pairs p left join shared h on p.a = h.a and p.b = h.b")
+def kmer_dist(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    both = pairs.select(F.col("a").alias("seq")).union(pairs.select("b")).distinct()
+    return tables.kmer_distances(both, pairs, 5).select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+@query(_PAIRS_SQL + " select a, b, round(1 - len(list_filter(range(1, length(a) - 3), lambda i: substr(a, cast(i as int), 5) = substr(b, cast(i as int), 5))) / (length(a) - 4.0), 6) dist from pairs")
+def kord_dist(spark, sf_dir):
+    return tables.ordered_kmer_distances(_pairs(spark, sf_dir), 5).select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+@query(
+    _KMER_SQL.format(k=5)
+    + f""", cand as (select x.sample_id, x.seq a, y.seq b, y.idx from ranked x join ranked y on x.sample_id = y.sample_id and y.n > x.n where x.idx < {TOP_PAIRS} and y.idx < {TOP_PAIRS}),
+    shared as (select sample_id, a, b, idx, sum(least(x.n, y.n)) s from cand join kc x on x.seq = a join kc y on y.seq = b and y.kmer = x.kmer group by all),
+    d as (select c.sample_id, c.a, c.b, c.idx, 1 - coalesce(s, 0) / 60.0::double dist from cand c left join shared s on c.sample_id = s.sample_id and c.a = s.a and c.b = s.b)
+    select sample_id, a seq, arg_min(b, struct_pack(d := dist, i := idx)) parent, round(min(dist), 6) dist from d group by sample_id, a"""
+)
+def nearest_parent(spark, sf_dir):
+    return tables.nearest_parents(_uniques(spark, sf_dir), 5, TOP_PAIRS).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"select distinct seq, {_RC.format('seq')} rc from uniq")
+def revcomp(spark, sf_dir):
+    return _uniques(spark, sf_dir).select("seq", sq.reverse_complement(F.col("seq")).alias("rc")).distinct()
+
+
+@query("select distinct seq, md5(seq) md5_id, sha1(seq) sha1_id from uniq")
+def seq_hash(spark, sf_dir):
+    return _uniques(spark, sf_dir).select("seq").distinct().select("seq", sq.sequence_id(F.col("seq")).alias("md5_id"), sq.sequence_id(F.col("seq"), "sha1").alias("sha1_id"))
+
+
+# --- sequence tables -------------------------------------------------------------
+
+
+@query(f"{_PASSED_SQL} select sample_id, md5(seq) sequence_id, seq, cast(count(*) as bigint) as count from passed group by sample_id, seq")
+def sequence_table(spark, sf_dir):
+    passed = reads.filtered(fixtures.reads(spark, sf_dir), FILTER)
+    return tables.sequence_table(derep.counts(passed))
+
+
+@query("select md5(seq) sequence_id, " + ", ".join(f"cast(coalesce(sum(case when sample_id = '{s}' then n end), 0) as bigint) {s}" for s in SAMPLES) + " from uniq group by seq")
+def table_pivot(spark, sf_dir):
+    return tables.pivoted(tables.sequence_table(_uniques(spark, sf_dir)), SAMPLES)
+
+
+@query("select seq, cast(sum(n) as bigint) total, count(*) n_samples, cast(row_number() over (order by sum(n) desc, seq) as int) place from uniq group by seq")
+def table_order(spark, sf_dir):
+    return tables.ordered_sequences(_uniques(spark, sf_dir))
+
+
+@query("select sample_id, seq, n as count from uniq where seq in (select seq from uniq group by seq having count(*) >= 3 or sum(n) >= 10)")
+def prevalence_filter(spark, sf_dir):
+    return tables.frequent(_uniques(spark, sf_dir), 3, 10).select("sample_id", "seq", "count")
+
+
+@query(f"{_PASSED_SQL} select sample_id, seq, cast(count(*) as bigint) as count from passed where length(seq) between 24 and 40 group by sample_id, seq")
+def length_filter(spark, sf_dir):
+    return tables.of_length(derep.counts(reads.filtered(fixtures.reads(spark, sf_dir), FILTER)), 24, 40)
+
+
+@query("select sample_id, seq, n as count, seq in (select seq from tpls) prior from uniq")
+def prior_semi_join(spark, sf_dir):
+    return dn.mark_priors(derep.counts(fixtures.reads(spark, sf_dir)), fixtures.templates(spark)).select("sample_id", "seq", "count", "prior")
+
+
+@query("select seq, cast(sum(n) as bigint) as count, cast(row_number() over (order by sum(n) desc, seq) - 1 as int) uniq_idx from uniq group by seq")
+def pooled_uniques(spark, sf_dir):
+    pooled = dn.pooled_uniques(derep.dereplicate(fixtures.reads(spark, sf_dir)))
+    return pooled.select("seq", "count", "uniq_idx")
+
+
+@query("select seq as sequence, sample_id as sample, n as reads from ranked where n < 5")
+def failed_uniques(spark, sf_dir):
+    mapped = _uniques(spark, sf_dir).withColumn("assigned", F.when(F.col("count") >= 5, F.col("uniq_idx")))
+    return dn.failed_uniques(mapped)
+
+
+def _mates(spark, sf_dir):
+    r = fixtures.reads(spark, sf_dir).withColumnRenamed("read_id", "read_no").dropDuplicates(["sample_id", "read_no"])
+    forward = r.select("sample_id", "read_no", F.substring("seq", 1, 44).alias("seq"))
+    reverse = r.select("sample_id", "read_no", sq.reverse_complement(F.substring("seq", 21, 44)).alias("seq"))
+    return forward, reverse
+
+
+_MATES_SQL = f", mates as (select sample_id, read_id, substr(any_value(seq), 1, 44) seq_f, {_RC.format('substr(any_value(seq), 21, 44)')} seq_r from reads group by sample_id, read_id)"
+
+
+@query(f"{_MATES_SQL} select sample_id, seq_f, seq_r, cast(count(*) as bigint) as count from mates group by all")
+def pair_counts(spark, sf_dir):
+    return tables.pair_counts(*_mates(spark, sf_dir))
+
+
+@query(f"{_MATES_SQL} select distinct seq_f, seq_r, concat(seq_f, repeat('N', 10), {_RC.format('seq_r')}) seq from mates")
+def merge_concat(spark, sf_dir):
+    pairs = tables.pair_counts(*_mates(spark, sf_dir)).select("seq_f", "seq_r").distinct()
+    return tables.concatenated(pairs)
+
+
+# --- error models ----------------------------------------------------------------
+
+
+def _transitions(spark, sf_dir):
+    """Transitions of every read from its template, position by position."""
+    r = fixtures.reads(spark, sf_dir).join(F.broadcast(fixtures.templates(spark).select(F.col("t").alias("template"), F.col("seq").alias("ref"))), "template")
+    zipped = F.explode(F.arrays_zip(F.split("ref", "").alias("ref_nt"), F.split("seq", "").alias("query_nt"), sq.phred(F.col("qual")).alias("q"))).alias("x")
+    return r.select("sample_id", zipped).groupBy("sample_id", "x.ref_nt", "x.query_nt", "x.q").agg(F.count("*").alias("n"))
+
+
+_TRANS_SQL = f""", trans as (select sample_id, ref_nt, query_nt, cast(q as int) q, count(*) n from (
+  select sample_id, unnest(string_split(tpls.seq, '')) ref_nt, unnest(string_split(reads.seq, '')) query_nt, unnest({_Q}) q
+  from reads join tpls on template = t) group by all)"""
+
+
+@query(f"{_TRANS_SQL} select * from trans")
+def transition_counts(spark, sf_dir):
+    return _transitions(spark, sf_dir)
+
+
+@query(f"{_TRANS_SQL} select ref_nt, query_nt, q, cast(sum(n) as bigint) n from trans group by all")
+def accumulate_trans(spark, sf_dir):
+    return errors.accumulated(_transitions(spark, sf_dir))
+
+
+_NOQUAL_SQL = f"""{_TRANS_SQL}, nts as (select unnest(['A', 'C', 'G', 'T']) nt),
+full_counts as (select x.nt ref_nt, y.nt query_nt, coalesce(sum(n), 0) + 1.0 n from nts x join nts y on true left join trans on ref_nt = x.nt and query_nt = y.nt group by all),
+rates as (select ref_nt, query_nt, n / sum(n) over (partition by ref_nt) rate from full_counts)"""
+
+
+@query(f"{_NOQUAL_SQL} select ref_nt, query_nt, round(rate, 9) rate from rates")
+def noqual_rates(spark, sf_dir):
+    return errors.noqual_rates(_transitions(spark, sf_dir)).withColumn("rate", F.round("rate", 9))
+
+
+@query(f"{_NOQUAL_SQL} select ref_nt, query_nt, round(3 * rate / (1 + 2 * rate), 9) rate from rates")
+def inflate_err(spark, sf_dir):
+    return errors.inflated(errors.noqual_rates(_transitions(spark, sf_dir)), 3).withColumn("rate", F.round("rate", 9))
+
+
+# --- chimeras --------------------------------------------------------------------
+
+
+def _bimera_table(spark, sf_dir):
+    return _uniques(spark, sf_dir).where(F.col("uniq_idx") < TOP_BIMERA).select("sample_id", "seq", "count")
+
+
+_PARENTS_SQL = f""", cand as (select x.sample_id, x.seq query, y.seq parent from ranked x join ranked y on x.sample_id = y.sample_id and y.n > 1.5 * x.n and y.n >= 2 and x.seq <> y.seq
+  where x.idx < {TOP_BIMERA} and y.idx < {TOP_BIMERA})"""
+
+
+@query(f"{_PARENTS_SQL} select sample_id, query, count(*) parents from cand group by all")
+def parent_candidates(spark, sf_dir):
+    return tables.parent_pairs(_bimera_table(spark, sf_dir)).groupBy("sample_id", "query").agg(F.count("*").alias("parents"))
+
+
+_PREFIX_SQL = "coalesce(list_position(list_transform(range(1, 65), lambda i: substr({0}, cast(i as int), 1) <> substr({1}, cast(i as int), 1)), true) - 1, 64)"
+_COVER_SQL = f"""{_PARENTS_SQL}, cover as (select sample_id, query, {_PREFIX_SQL.format('query', 'parent')} l, {_PREFIX_SQL.format('reverse(query)', 'reverse(parent)')} r from cand),
+flags as (select sample_id, query, cast(max(l) as int) max_left, cast(max(r) as int) max_right, max(l) + max(r) >= 64 flagged from cover where l + r < 64 group by all)"""
+
+
+def _prefix_flags(spark, sf_dir):
+    pairs = tables.parent_pairs(_bimera_table(spark, sf_dir))
+    pairs = pairs.withColumn("l", sq.common_prefix(F.col("query"), F.col("parent"))).withColumn("r", sq.common_prefix(F.reverse("query"), F.reverse("parent")))
+    best = pairs.where("l + r < length(query)").groupBy("sample_id", "query").agg(F.max("l").alias("max_left"), F.max("r").alias("max_right"))
+    return best.withColumn("flagged", F.col("max_left") + F.col("max_right") >= F.length("query"))
+
+
+@query(f"{_COVER_SQL} select * from flags")
+def bimera_prefix_suffix(spark, sf_dir):
+    return _prefix_flags(spark, sf_dir)
+
+
+@query(
+    f"""{_COVER_SQL}, every as (select r.seq query, coalesce(flagged, false) flagged from ranked r left join flags f on r.sample_id = f.sample_id and r.seq = f.query where idx < {TOP_BIMERA})
+    select query, count_if(flagged) n_flagged, count(*) n_samples, count_if(flagged) >= count(*) or (count_if(flagged) > 0 and count_if(flagged) >= (count(*) - 1) * 0.9) bimera from every group by query"""
+)
+def bimera_vote(spark, sf_dir):
+    every = _bimera_table(spark, sf_dir).select("sample_id", F.col("seq").alias("query")).join(_prefix_flags(spark, sf_dir), ["sample_id", "query"], "left")
+    return tables.consensus_vote(every.withColumn("flagged", F.coalesce("flagged", F.lit(False))))
+
+
+# --- taxonomy, truth sets, tracking ----------------------------------------------
+
+
+@query(
+    """, refs as (select cast(cast(t as int) % 4 as varchar) genus, t, seq from tpls),
+    k as (select distinct genus, t, substr(seq, cast(i as int), 4) kmer from (select *, unnest(range(1, 62)) i from refs)),
+    g as (select genus, kmer, count(*) n_refs from k group by all), p as (select kmer, (sum(n_refs) + 0.5) / 9.0 prior from g group by kmer)
+    select genus, kmer, n_refs, round(ln((n_refs + prior) / ((select count(*) from refs r where r.genus = g.genus) + 1)), 6) log_p from g join p using (kmer)"""
+)
+def genus_kmer_model(spark, sf_dir):
+    refs = fixtures.templates(spark).select((F.col("t").cast("int") % 4).cast("string").alias("genus"), "seq")
+    return taxonomy.genus_model(refs, 4).select("genus", "kmer", "n_refs", F.round("log_p", 6).alias("log_p"))
+
+
+@query("select distinct u.seq, case when t.t is not null then concat('G', t.t) end genus, case when t.t is not null then concat('sp', t.t) end species from uniq u left join tpls t on t.seq = u.seq")
+def species_lookup(spark, sf_dir):
+    refs = fixtures.templates(spark).select("seq", F.concat(F.lit("r"), "t", F.lit(" G"), "t", F.lit(" sp"), "t").alias("header"))
+    return taxonomy.assign_species(_uniques(spark, sf_dir), taxonomy.species_references(refs))
+
+
+@query(
+    """, m as (select *, md5(seq) h from ranked),
+    b as (select sample_id, idx, ascii(substr(h, 1, 1)) >= 52 b1, ascii(substr(h, 2, 1)) >= 52 b2, ascii(substr(h, 3, 1)) >= 52 b3, ascii(substr(h, 4, 1)) >= 52 b4 from m)
+    select sample_id, idx, concat(case when b1 then 'k' else '-' end, case when b1 and b2 then 'p' else '-' end, case when b1 and b2 and b3 then 'c' else '-' end,
+           case when b1 and b2 and b3 and b4 then 'g' else '-' end) levels from b"""
+)
+def tax_truncate(spark, sf_dir):
+    boot = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.ascii(F.substring(F.col("h"), i, F.lit(1))))
+    rows = _uniques(spark, sf_dir).withColumn("h", F.md5("seq"))
+    cut = taxonomy.truncated(F.array(*[F.lit(x) for x in "kpcg"]), boot, 52)
+    return rows.select("sample_id", F.col("uniq_idx").alias("idx"), F.array_join(cut, "", "-").alias("levels"))
+
+
+_EDITS_SQL = ", d as (select distinct u.seq, t.t, len(list_filter(range(1, 65), lambda i: substr(u.seq, cast(i as int), 1) <> substr(t.seq, cast(i as int), 1))) edits from (select distinct seq from uniq) u join tpls t on true)"
+
+
+@query(f"{_EDITS_SQL}, best as (select seq, min(edits) e from d group by seq) select case when e = 0 then 'TP' when e <= 3 then 'Near' else 'FP' end class, count(*) n from best group by 1")
+def confusion(spark, sf_dir):
+    pairs = _uniques(spark, sf_dir).select("seq").distinct().join(F.broadcast(fixtures.templates(spark).select(F.col("seq").alias("ref"))), F.lit(True))
+    best = pairs.groupBy("seq").agg(F.min(sq.hamming(F.col("seq"), F.col("ref"))).alias("e"))
+    kind = F.when(F.col("e") == 0, "TP").when(F.col("e") <= 3, "Near").otherwise("FP")
+    return best.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_EDITS_SQL}, best as (select seq, min(edits) e from d group by seq) select cast(unnest([0, 1, 2, 4]) as int) band, round(unnest([avg(cast(e <= 0 as int)), avg(cast(e <= 1 as int)), avg(cast(e <= 2 as int)), avg(cast(e <= 4 as int))]), 6) fraction from best")
+def band_fit(spark, sf_dir):
+    pairs = _uniques(spark, sf_dir).select("seq").distinct().join(F.broadcast(fixtures.templates(spark).select(F.col("seq").alias("ref"))), F.lit(True))
+    best = pairs.groupBy("seq").agg(F.min(sq.hamming(F.col("seq"), F.col("ref"))).alias("band_needed"))
+    return tables.band_fit(best, [0, 1, 2, 4]).withColumn("fraction", F.round("fraction", 6))
+
+
+@query(
+    f"""{_PASSED_SQL} select sample_id, a.n as input, coalesce(b.n, 0) filtered, coalesce(c.n, 0) kept
+    from (select sample_id, count(*) n from reads group by 1) a left join (select sample_id, count(*) n from passed group by 1) b using (sample_id)
+    left join (select sample_id, cast(sum(n) as bigint) n from (select sample_id, seq, count(*) n from passed group by 1, 2) where n >= 3 group by 1) c using (sample_id)"""
+)
+def step_tracking(spark, sf_dir):
+    raw = fixtures.reads(spark, sf_dir)
+    passed = reads.filtered(raw, FILTER)
+    count = lambda df: df.groupBy("sample_id").agg(F.count("*").alias("n"))
+    kept = derep.counts(passed).where("count >= 3").groupBy("sample_id").agg(F.sum("count").alias("n"))
+    return reads.step_tracking(input=count(raw), filtered=count(passed), kept=kept)
+
+
+@query(
+    """, a as (select seq, cast(sum(n) as bigint) n from uniq where sample_id in ('s0', 's1') group by seq), b as (select seq, cast(sum(n) as bigint) n from uniq where sample_id in ('s2', 's3') group by seq)
+    select coalesce(a.seq, b.seq) seq, coalesce(a.n, 0) a_total, coalesce(b.n, 0) b_total, case when b.n is null then 'a' when a.n is null then 'b' else 'both' end side from a full join b on a.seq = b.seq"""
+)
+def asv_set_diff(spark, sf_dir):
+    t = _uniques(spark, sf_dir).select("sample_id", "seq", "count")
+    return tables.table_difference(t.where(F.col("sample_id").isin("s0", "s1")), t.where(F.col("sample_id").isin("s2", "s3")))
+
+
+@query(
+    """, kids as (select sample_id, idx, cast(floor((idx - 1) / 2.0) as int) parent from ranked where idx between 1 and 62),
+    tree as (select distinct sample_id, 0 idx, 0 depth from ranked where idx = 0 union all select k.sample_id, k.idx, t.depth + 1 from kids k join tree t on k.sample_id = t.sample_id and k.parent = t.idx)
+    select sample_id, depth, count(*) n from tree group by all"""
+)
+def genealogy_recursive(spark, sf_dir):
+    """Clusters by generation: who was split off from whom, followed down from the first."""
+    born = _uniques(spark, sf_dir).where("uniq_idx <= 62").select("sample_id", F.col("uniq_idx").alias("idx"))
+    born.withColumn("parent", F.floor((F.col("idx") - 1) / 2).cast("int")).createOrReplaceTempView("cluster_births")
+    return spark.sql(
+        """with recursive tree(sample_id, idx, depth) as (
+             select sample_id, idx, 0 from cluster_births where idx = 0
+             union all select k.sample_id, k.idx, t.depth + 1 from cluster_births k join tree t on k.sample_id = t.sample_id and k.parent = t.idx where k.idx > 0)
+           select sample_id, depth, count(*) as n from tree group by sample_id, depth"""
+    )
+
+
+# --- kernels: no SQL, tested against plain versions ------------------------------
+
+
+def _model(spark, sf_dir):
+    return errors.default_model(41)
+
+
+@query()
+def denoise_sample(spark, sf_dir):
+    return dn.variants(dn.denoise(derep.dereplicate(fixtures.reads(spark, sf_dir)), _model(spark, sf_dir)))
+
+
+@query()
+def denoise_pooled(spark, sf_dir):
+    return dn.denoise_pooled(derep.dereplicate(fixtures.reads(spark, sf_dir)), _model(spark, sf_dir))
+
+
+@query()
+def denoise_pseudo(spark, sf_dir):
+    return dn.variants(dn.denoise_pseudo(derep.dereplicate(fixtures.reads(spark, sf_dir)), _model(spark, sf_dir)))
+
+
+@query()
+def learn_errors(spark, sf_dir):
+    err, _ = errors.learn_errors(derep.dereplicate(fixtures.reads(spark, sf_dir)), LearnParams(max_rounds=4))
+    return errors.to_table(spark, err)
+
+
+@query()
+def loess_rates(spark, sf_dir):
+    counts = errors.to_matrix(_transitions(spark, sf_dir), 41)
+    return errors.to_table(spark, errors.loess_rates(counts))
+
+
+@query()
+def merge_pairs(spark, sf_dir):
+    return tables.merge_pairs(tables.pair_counts(*_mates(spark, sf_dir)), MergeParams())
+
+
+@query()
+def remove_bimera(spark, sf_dir):
+    return tables.without_bimeras(_bimera_table(spark, sf_dir), BimeraParams())
+
+
+@query()
+def chimera_diagnostics(spark, sf_dir):
+    return tables.chimera_diagnostics(_bimera_table(spark, sf_dir), BimeraParams())
+
+
+@query()
+def assign_taxonomy(spark, sf_dir):
+    return taxonomy.assign_taxonomy(_uniques(spark, sf_dir).where("count >= 5"), fixtures.templates(spark))
+
+
+@query()
+def remove_primers(spark, sf_dir):
+    r = fixtures.reads(spark, sf_dir).select("sample_id", F.col("read_id").alias("read_no"), F.concat(F.lit("GTGCCAGCAGCCGCGGTAA"), "seq").alias("seq"), F.concat(F.lit("I" * 19), "qual").alias("qual"))
+    return reads.outcome_counts(reads.primers_removed(r, PrimerParams(forward="GTGYCAGCMGCCGCGGTAA")))
+
+
+@query()
+def align_pairs(spark, sf_dir):
+    return tables.align_pairs(_pairs(spark, sf_dir))
+
