@@ -11,7 +11,9 @@ every window goes where the smallest hash of its word 8-grams (its minimiser)
 sends it, so that equal windows meet. Consecutive windows with the same
 minimiser travel as one row of hashes. A task compares the windows of its
 minimisers, sorted, one group after the other. Copies of a whole text are
-counted by a hash of the text and travel once per task.
+counted by a hash of the text and travel once per task. Of equal runs of
+windows a task sends two to be compared; the others are repeated for sure and
+are dealt out by text, so a passage that most documents share is no task's own.
 
 Defined cases: null and empty texts have no words, nothing is removed, and the
 hash is that of the empty string; a text shorter than a window keeps all;
@@ -26,14 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampliframe.llm.common import durable
-from ampliframe.llm.tokens import chunks, window_hashes, word_hashes, word_spans
+from ampliframe.llm.tokens import chunks, mixed, window_hashes, word_hashes, word_spans
 
 WIDTH = 35
 GRAM = 8
+_LAST = np.uint64(0x9E3779B97F4A7C15)
+#: Distinct runs that a task remembers, to send a run that it has sent twice already without its hashes.
+_HELD_RUNS = 1 << 20
 _HASH_BYTES = 6  # of each window's hash; windows are compared only under one 64-bit minimiser and place of it
 
 
@@ -71,6 +77,7 @@ def text_runs(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndar
 def _runs(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        sent: dict[int, int] = {}
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, data, offsets in chunks(batch.column(1)):
@@ -91,15 +98,35 @@ def _runs(width: int, gram: int):
                     blob.append(windows)
                 if not mv:
                     continue
-                cut = np.concatenate([[0], np.cumsum(np.concatenate(length))]) * _HASH_BYTES
-                raw = np.ascontiguousarray(np.concatenate(blob).view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]).ravel()
-                column = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(raw)])
+                mv, key, start, size, windows = (np.concatenate(x) for x in (mv, key, start, length, blob))
+                back = np.concatenate(place) - start
+                cut = np.concatenate([[0], np.cumsum(size)])
+                # first and last window together have all words of a run
+                same = mixed(mv ^ mixed(windows[cut[:-1]]) ^ mixed(windows[cut[1:] - 1] + _LAST) ^ (size * 64 + back).astype(np.uint64))
+                sure = np.zeros(len(mv), bool)
+                for i, s in enumerate(same.tolist()):
+                    n = sent.get(s, 0)
+                    sure[i] = n > 1
+                    sent[s] = n + 1
+                if len(sent) > _HELD_RUNS:
+                    sent.clear()
+                column = pa.Array.from_buffers(
+                    pa.binary(),
+                    len(mv),
+                    [
+                        None,
+                        pa.py_buffer((cut * _HASH_BYTES).astype(np.int32)),
+                        pa.py_buffer(np.ascontiguousarray(windows.view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]).ravel()),
+                    ],
+                )
+                if sure.any():
+                    column = pa.compute.if_else(pa.array(sure), pa.scalar(b"", pa.binary()), column)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(mv).view(np.int64)),
-                        pa.array(np.concatenate(key)),
-                        pa.array(np.concatenate(start).astype(np.int32)),
-                        pa.array((np.concatenate(place) - np.concatenate(start)).astype(np.int32)),
+                        pa.array(np.where(sure, mixed(key.view(np.uint64) + start.astype(np.uint64)), mv).view(np.int64)),
+                        pa.array(key),
+                        pa.array(start.astype(np.int32)),
+                        pa.array(np.where(sure, -size, back).astype(np.int32)),
                         column,
                     ],
                     ["mv", "key", "start", "back", "windows"],
@@ -113,6 +140,13 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def judge(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
+        size = table.column("back").to_numpy()
+        sure = np.flatnonzero(size < 0)
+        if len(sure):
+            done = table.take(pa.array(sure)).combine_chunks()
+            mask = (np.int64(1) << (-size[sure]).astype(np.int64)) - 1
+            yield pa.RecordBatch.from_arrays([done.column("key").combine_chunks(), done.column("start").combine_chunks(), pa.array(mask)], ["key", "start", "mask"])
+            table = table.take(pa.array(np.flatnonzero(size >= 0))).combine_chunks()
         mv = table.column("mv").to_numpy()
         if len(mv) < 2:
             return
@@ -173,7 +207,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     keyed = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     runs = keyed.mapInArrow(_runs(width, gram), "mv long, key long, start int, back int, windows binary")
     marked = runs.repartition(F.col("mv")).sortWithinPartitions("mv").mapInArrow(_repeated, "key long, start int, mask long")
-    marks = marked.groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    # several tasks may have judged the same text, each of its runs
+    marks = marked.groupBy("key").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
     copies = keyed.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
     return durable(copies.join(marks, "key", "full").select("key", F.coalesce("copies", F.lit(1)).alias("copies"), "marks"))
 
