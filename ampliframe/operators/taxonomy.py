@@ -20,7 +20,7 @@ MIN_REFERENCE = 20
 def lineages(references: DataFrame, depth: int) -> DataFrame:
     """``lineage, seq`` of references ``header, seq``: levels split at semicolons and filled up; short sequences left out (SC11)."""
     levels = F.filter(F.split("header", ";"), lambda x: F.trim(x) != "")
-    filled = F.slice(F.concat(F.transform(levels, F.trim), F.array_repeat(F.lit(PAD), depth)), 1, depth)
+    filled = F.slice(F.concat(F.transform(levels, lambda x: F.trim(x)), F.array_repeat(F.lit(PAD), depth)), 1, depth)
     return references.where(F.length("seq") >= MIN_REFERENCE).select(filled.alias("lineage"), F.upper("seq").alias("seq"))
 
 
