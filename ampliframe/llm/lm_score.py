@@ -118,7 +118,8 @@ def model_counts(docs: DataFrame, target: DataFrame, vocab: np.ndarray) -> tuple
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[0, used]), pa.array(table[1, used])], ["cell", "t", "b"])
 
     wanted = target.select(F.col("doc_id").alias("_wanted")).where("_wanted is not null").distinct()
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_wanted"), "left")
+    # labels grow with the corpus: one way of joining them at every size
+    rows = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_wanted"), "left")
     rows = rows.select("text", F.col("_wanted").isNotNull().alias("chosen"))
     sums = rows.mapInArrow(run, "cell long, t long, b long").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()
     out = np.zeros((2, width), np.int64)
