@@ -47,19 +47,28 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
     payload = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(
         "page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), base32_sha1(payload).alias("digest")
-    ).withColumn("_row", F.monotonically_increasing_id())
-    order = F.struct(F.col("page_id").isNull(), "page_id", "_row")
+    )
+    by_page = keyed.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest", "bytes", "page_id").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("page_id").isNull(), "page_id")
     repeated = (
-        keyed.where(F.col("bytes") >= min_revisit_bytes)
-        .groupBy("digest", "bytes")
-        .agg(F.min(order).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("digest", "bytes", F.col("first.page_id").alias("first_id"), F.col("first._row").alias("first_row"))
+        by_page.groupBy("digest", "bytes")
+        .agg(F.min_by("page_id", order).alias("first_id"), F.min_by("n", order).alias("n_first"), F.sum("n").alias("n_rows"))
+        .where("n_rows > 1")
+        .select("digest", "bytes", "first_id", "n_first")
     )
     known = scratch_path(spark, "repeated-payloads")
     repeated.write.parquet(known)  # its size is then known to the planner
-    rows = keyed.join(spark.read.schema(repeated.schema).parquet(known), ["digest", "bytes"], "left")
-    revisit = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("_row"))
+    known = spark.read.schema(repeated.schema).parquet(known)
+    rows = keyed.join(known, ["digest", "bytes"], "left").withColumn("own", F.col("n_first").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id")))
+    rows = rows.withColumn("revisit", F.col("n_first").isNotNull() & ~F.col("own"))
+    tied = F.col("own") & (F.col("n_first") > 1)
+    if known.where("n_first > 1").limit(1).count():
+        # pages that are equal in id and payload: one of them, whichever, is the response
+        same = durable(rows.where(tied).withColumn("_row", F.monotonically_increasing_id()))
+        one = same.groupBy("digest", "bytes").agg(F.min("_row").alias("_first"))
+        same = same.join(one, ["digest", "bytes"]).withColumn("revisit", F.col("_row") != F.col("_first")).drop("_row", "_first")
+        rows = rows.where(~F.coalesce(tied, F.lit(False))).unionByName(same)
+    revisit = F.col("revisit")
     clean_url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x1F\x7F]", "%20")
     page = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
