@@ -5,13 +5,15 @@ pair within distance tau is within its threshold in at least one partition if
 the thresholds add up to tau - m + 1 over m partitions (a threshold of -1 skips
 one); dynamic programming gives out thresholds by estimated candidate counts,
 which come from bucket sizes over all fingerprints. Each fingerprint is probed
-under its partition values (threshold 0) or all their one-bit deletions (1);
-fingerprints alone in their buckets are done.
+under its partition values (threshold 0) or all their one-bit deletions (1).
 
-Verification of a bucket's members never forms all pairs: two fingerprints at
-distance 2 or less both lie within one bit of a common value, so members are
-grouped by the values within one bit of them; a group holds 65 fingerprints at
-most, all of them within distance 2 of each other.
+
+A bucket is the value of a signature and of a third of the bits that it leaves
+open, so a task that holds a bucket sees few strangers. Verification never
+forms all pairs of a large bucket: two fingerprints at distance 2 or less both
+lie within one bit of a common value, so members are sorted by the values
+within one bit of them and those that share one are linked; a bucket gives one
+link a member at most.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like
 others; repeated rows share a fingerprint and a component; null ids belong to
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ampliframe.llm.common import durable
 from ampliframe.llm.graph import components
+from ampliframe.llm.tokens import mixed
 
 SHINGLE = 3
 MAX_DISTANCE = 2
@@ -40,7 +43,8 @@ SEED = 42
 #: Numbers of partitions to choose from.
 PARTITIONS = (2, 3, 4)
 _BLOCK = 1 << 15
-_BIT_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+_CENTRES = 1 << 19
+_POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
 # --- fingerprints ---------------------------------------------------------
@@ -218,31 +222,98 @@ def choose_plan(fps: DataFrame, max_distance: int = MAX_DISTANCE, sizes: tuple[i
 # --- links ------------------------------------------------------------------
 
 
+def _bit_count(x: np.ndarray) -> np.ndarray:
+    return _POPCOUNT[np.ascontiguousarray(x).view(np.uint16).reshape(len(x), 4)].sum(axis=1, dtype=np.int64)
+
+
+def _joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels of classes, each the smallest place of its class, after the places ``u`` and ``v`` have been linked."""
+    while True:
+        x, y = label[u], label[v]
+        apart = x != y
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            shorter = label[label]
+            if np.array_equal(shorter, label):
+                break
+            label = shorter
+
+
+def _star_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each member to the first of those that it is connected to by steps of distance 2 or less, one a member at most.
+
+    Two members within distance 2 both lie within one bit of a common value; all that lie within one bit of a value
+    are within distance 2 of each other, so each is linked to the first of them. Values are taken in parts of
+    ``_CENTRES`` or so, so that memory grows with the members alone.
+    """
+    flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(BITS, dtype=np.uint64)])
+    label = np.arange(len(fp))
+    parts = 1 + len(fp) * len(flips) // _CENTRES
+    for part in range(parts):
+        centre, member = [], []
+        for flip in flips:
+            c = fp ^ flip
+            mine = np.flatnonzero(mixed(c) % np.uint64(parts) == part) if parts > 1 else np.arange(len(fp))
+            centre.append(c[mine])
+            member.append(mine)
+        centre, member = np.concatenate(centre), np.concatenate(member)
+        order = np.argsort(centre, kind="stable")
+        centre, member = centre[order], member[order]
+        same = np.flatnonzero(centre[1:] == centre[:-1])
+        label = _joined(label, member[same], member[same + 1])
+    other = np.flatnonzero(label != np.arange(len(fp)))
+    return fp[other], fp[label[other]]
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of fingerprints sorted by bucket: links within distance 2 in each bucket."""
+
+    def judge(table: pa.Table) -> pa.RecordBatch:
+        bucket, fp = (table.column(c).to_numpy() for c in ("bucket", "fp"))
+        fp = fp.view(np.uint64)
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        size = np.diff(cut, append=len(bucket))
+        two = cut[size == 2]
+        near = _bit_count(fp[two] ^ fp[two + 1]) <= MAX_DISTANCE
+        a, b = [fp[two][near]], [fp[two + 1][near]]
+        for s, n in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            x, y = _star_links(fp[s : s + n])
+            a.append(x)
+            b.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
+
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        bucket = table.column("bucket").to_numpy()
+        cut = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0
+        if cut:
+            yield judge(table.slice(0, cut))
+        rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield judge(rest)
+
+
 def near_links(fps: DataFrame, plan: Plan) -> DataFrame:
     """``a, b``: links that join every pair of distinct fingerprints ``fp`` within distance 2, directly or over other such links."""
+    # the bits that a signature leaves open are partitioned once more: of three parts of them at least one is equal too
+    rest = [tuple(b for b in range(BITS) if b not in partition) for partition in plan.partitions]
+    thirds = [[r[k * len(r) // 3 : (k + 1) * len(r) // 3] for k in range(3)] for r in rest]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
+            bits = _bits(fp.view(np.uint64))
             for i, sig in signatures(fp.view(np.uint64), plan):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), i, np.int32)), pa.array(sig.view(np.int64)), pa.array(fp)], ["part", "sig", "fp"])
+                for k, third in enumerate(thirds[i]):
+                    bucket = mixed(mixed(sig + np.uint64(k)) ^ (_values(bits, third) | np.uint64(k + 1) << np.uint64(60)))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(fp)], ["bucket", "fp"])
 
-    probes = fps.select("fp").mapInArrow(probe, "part int, sig long, fp long")
-    shared = probes.groupBy("sig").count().where("count > 1").select("sig")
-    members = probes.join(shared, "sig", "left_semi").select("fp").distinct()
-
-    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(BITS, dtype=np.uint64)])
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo in range(0, len(fp), 4096):
-                part = fp[lo : lo + 4096]
-                centres = (part.view(np.uint64)[:, None] ^ flips[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(centres.view(np.int64)), pa.array(np.repeat(part, len(flips)))], ["centre", "fp"])
-
-    groups = members.mapInArrow(balls, "centre long, fp long").groupBy("centre").agg(F.min("fp").alias("b"), F.collect_set("fp").alias("members"))
-    found = groups.where(F.size("members") > 1).select("b", F.explode("members").alias("a"))
-    return found.where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    probes = fps.select("fp").mapInArrow(probe, "bucket long, fp long")
+    return probes.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_bucket_links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
