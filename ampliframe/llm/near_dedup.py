@@ -6,17 +6,20 @@ Fingerprints are SimHashes of the distinct words, ``LANES`` times 64 bits: a
 copy with few edits keeps nearly all of its words but loses five shingles an
 edit, so word fingerprints stay close where shingle fingerprints don't. The
 bits are grouped and probed as in :mod:`simhash`, with thresholds that add up
-to TAU - m + 1: all pairs within TAU bits meet in a bucket, and of pairs
-further apart (24 bits is usual at a similarity of 0.8) nearly all, as each of
-the m partitions gives them another chance. Pairs in a bucket are compared by
-fingerprint and length; the nearest of each document are then compared by
-their shingles, exactly.
-
-A bucket never gives all its pairs: each member is linked to its
-``NEAREST`` nearest ones. Members of a bucket of more than ``BLOCK`` are
-ordered by length and compared within overlapping blocks, so the work grows
-with the members, not their square; the other partitions' buckets give them
-further partners.
+to TAU - m + 1. Pairs in a bucket are compared by fingerprint and length; the
+``NEAREST`` nearest of each document (in buckets of more than ``BLOCK``
+members: inside overlapping blocks by length) are then compared by their
+shingles, exactly. Texts with equal shingle sets are one text from the start.
+
+Fingerprints alone lose links: a bucket doesn't give all its pairs, and an
+inserted block moves a fingerprint further than any threshold reaches. They
+only join most groups cheaply. The exact pass after them makes the rest good:
+two sets of the similarity share ``COMMON`` of their first m -
+ceil(``SIMILARITY`` m) + ``COMMON`` shingles in any common order (rare ones
+first, so that buckets stay small; a set that needs fewer in common shares all
+it needs), and all pairs that do, fit in length and aren't joined already are
+compared by their shingles. Its work is the number of pairs of different
+groups that share a rare shingle.
 
 Defined cases: texts without words are copies of each other; of equal rows one
 stays; among the rows of a group the one with the smallest id stays, null ids
@@ -43,14 +46,33 @@ TAU = LANES * PARTITIONS_A_LANE - 1
 #: Fingerprints further apart than this aren't compared by their shingles; it is beyond what a similarity of 0.8 makes likely.
 MAX_DISTANCE = 80
 NEAREST, BLOCK = 8, 512
+#: Part of the texts in which frequent shingles are looked for, and how many of them are told apart; both affect the work only.
+FREQUENT_PART, FREQUENT = 32, 1 << 17
+#: Shingles that a pair has to share among the first ones before it is compared; a longer prefix makes up for more of them.
+COMMON = 8
+#: 64-bit words of a set's parity sketch.
+PARITY_WORDS = 32
+_HELD_PAIRS = 1 << 20
 _LANE_KEYS = mixed(np.arange(1, LANES + 1, dtype=np.uint64))
 _POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
+def _sets(h: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """Of word hashes and first words of consecutive texts: each text's distinct shingles, sorted."""
+    for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        own = h[s:e]
+        yield np.unique(window_hashes(own, min(SHINGLE, len(own)))) if len(own) else own
+
+
+def _set_hash(shingles: np.ndarray) -> int:
+    return int(mixed(mixed(shingles).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(shingles)))[0]) if len(shingles) else 0
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of ``doc_id, key, text``: number of shingles and the fingerprint's lanes."""
+    """Of ``doc_id, key, text``: hash of the shingle set, number of shingles and the fingerprint's lanes."""
     for batch in batches:
         n = np.zeros(batch.num_rows, np.int32)
+        sets = np.zeros(batch.num_rows, np.uint64)
         lanes = np.zeros((batch.num_rows, LANES), np.uint64)
         for lo, hi, data, offsets in chunks(batch.column(2)):
             data = lowered(data)
@@ -58,6 +80,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = word_hashes(data, starts, ends)
             text = np.repeat(np.arange(hi - lo), np.diff(first))
             n[lo:hi] = np.maximum(np.diff(first) - SHINGLE + 1, np.minimum(np.diff(first), 1))
+            sets[lo:hi] = [_set_hash(x) for x in _sets(h, first)]
             order = np.lexsort((h, text))
             h, text = h[order], text[order]
             new = np.ones(len(h), bool)
@@ -72,8 +95,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ones = np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
                 lanes[lo + text[cut], k] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n), *(pa.array(np.ascontiguousarray(lanes[:, k]).view(np.int64)) for k in range(LANES))],
-            ["doc_id", "key", "n", *_lane_names()],
+            [batch.column(0), batch.column(1), pa.array(sets.view(np.int64)), pa.array(n), *(pa.array(np.ascontiguousarray(lanes[:, k]).view(np.int64)) for k in range(LANES))],
+            ["doc_id", "key", "set", "n", *_lane_names()],
         )
 
 
@@ -82,11 +105,11 @@ def _lane_names() -> list[str]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, n, lane0...`` of every row; ``key`` is a hash of the text."""
+    """``doc_id, key, set, n, lane0...`` of every row; ``key`` is a hash of the text, ``set`` of its shingle set (0: no words)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = ", ".join(f"{c} long" for c in _lane_names())
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_sketches, f"doc_id {kind}, key long, n int, {fields}")
+    return rows.mapInArrow(_sketches, f"doc_id {kind}, key long, set long, n int, {fields}")
 
 
 def choose_plans(texts: DataFrame) -> list[simhash.Plan]:
@@ -173,9 +196,23 @@ def _nearest_pairs(n: np.ndarray, lanes: np.ndarray, earlier: list[tuple[int, in
     return order[a], order[b]
 
 
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``sig``, cut between signatures."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        sig = table.column("sig").to_numpy()
+        cut = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
+        if cut:
+            yield table.slice(0, cut)
+        rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 def _bucket_pairs(batches: Iterator[pa.RecordBatch], masks: list[tuple[int, int] | None]) -> Iterator[pa.RecordBatch]:
     """Of members sorted by signature: near pairs, ``a`` < ``b``."""
-    rest = None
 
     def judge(table: pa.Table) -> pa.RecordBatch:
         sig, key, n = (table.column(c).to_numpy() for c in ("sig", "key", "n"))
@@ -197,16 +234,8 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], masks: list[tuple[int, int]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        sig = table.column("sig").to_numpy()
-        cut = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
-        if cut:
-            yield judge(table.slice(0, cut))
-        rest = table.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield judge(rest)
+    for table in _whole_buckets(batches):
+        yield judge(table)
 
 
 def candidate_pairs(texts: DataFrame, plans: list[simhash.Plan]) -> DataFrame:
@@ -225,38 +254,147 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             data = lowered(data)
             starts, ends, first = word_spans(data, offsets)
             h = word_hashes(data, starts, ends)
-            sets = []
-            for d in range(hi - lo):
-                own = h[first[d] : first[d + 1]]
-                sets.append(np.unique(window_hashes(own, min(SHINGLE, len(own)))) if len(own) else own)
+            sets = list(_sets(h, first))
             cut = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            bits = [np.bincount((x % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1 for x in sets]
+            parity = np.packbits(np.array(bits, np.uint8), axis=1, bitorder="little").view("<i8").ravel()
+            words = np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS
             values = pa.array(np.concatenate(sets).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), values)], ["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), values), pa.ListArray.from_arrays(pa.array(words), pa.array(parity))], ["key", "shingles", "parity"])
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have the similarity."""
+    """The pairs whose shingle sets have the similarity.
+
+    Sets differ in as many shingles as their parities in bits, or more, so pairs whose parities differ too much go without their sets.
+    """
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_shingle_sets, "key long, shingles array<long>")
+    sets = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_shingle_sets, "key long, shingles array<long>, parity array<long>")
     sets = durable(sets)
+    short = sets.select("key", F.size("shingles").alias("n"), "parity")
+    judged = pairs.join(short.withColumnsRenamed({"key": "a", "n": "na", "parity": "pa"}), "a").join(short.withColumnsRenamed({"key": "b", "n": "nb", "parity": "pb"}), "b")
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    pairs = durable(judged.where(differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b"))
+    sets = sets.select("key", "shingles")
     both = pairs.join(sets.withColumnsRenamed({"key": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"key": "b", "shingles": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     counted = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("s"))
     return counted.where(F.col("c") >= SIMILARITY * (F.col("s") - F.col("c"))).select("a", "b")
 
 
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that most texts of a part of ``docs`` hold, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0)):
+                data = lowered(data)
+                starts, ends, first = word_spans(data, offsets)
+                x = np.concatenate(list(_sets(word_hashes(data, starts, ends), first)))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], ["h"])
+
+    part = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(FREQUENT_PART)) == 0)
+    counts = part.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
+    h, n = counts["h"].to_numpy(np.int64).view(np.uint64), counts["count"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(docs: DataFrame) -> DataFrame:
+    """``sig, set, m, pos``: of every text the shingles ``COMMON`` of which any text of the similarity shares, its set's size, and their places."""
+    known, counts = frequent_shingles(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0)):
+                data = lowered(data)
+                starts, ends, first = word_spans(data, offsets)
+                sig, own, size, place, done = [], [], [], [], set()
+                for x in _sets(word_hashes(data, starts, ends), first):
+                    name = _set_hash(x)
+                    if name in done or not len(x):
+                        continue
+                    done.add(name)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                        x = x[np.argsort(np.where(known[at] == x, counts[at], 0), kind="stable")]
+                    needed = int(np.ceil(SIMILARITY * len(x) - 1e-9))
+                    k = len(x) - needed + min(COMMON, needed)
+                    sig.append(x[:k])
+                    own.append(name)
+                    size.append(len(x))
+                    place.append(np.arange(k, dtype=np.int32))
+                if sig:
+                    k = [len(x) for x in sig]
+                    columns = [np.concatenate(sig).view(np.int64), np.repeat(np.array(own, np.uint64).view(np.int64), k), np.repeat(np.array(size, np.int32), k), np.concatenate(place)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "set", "m", "pos"])
+
+    return docs.select("text").mapInArrow(run, "sig long, set long, m int, pos int")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by ``sig, set``: one of each, where two sets or more have the signature."""
+    for table in _whole_buckets(batches):
+        sig, own = table.column("sig").to_numpy(), table.column("set").to_numpy()
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+        at = np.flatnonzero(new)
+        sig = sig[at]
+        again = sig[1:] == sig[:-1]
+        at = at[np.concatenate([again, [False]]) | np.concatenate([[False], again])]
+        if len(at):
+            yield from table.take(pa.array(at)).combine_chunks().to_batches()
+
+
+def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of members sorted by ``sig``: all pairs of different groups that fit in length, ``a`` < ``b``, once for each shingle they share; ``room``: how many they can share from it on; ``m``: sizes added up."""
+    for table in _whole_buckets(batches):
+        sig, key, root, m, pos = (table.column(c).to_numpy() for c in ("sig", "key", "root", "m", "pos"))
+        cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(cut, append=len(sig))
+        several = np.minimum.reduceat(root, cut) != np.maximum.reduceat(root, cut)
+        end = np.repeat(cut + size, size)
+        i, d, out, held = np.flatnonzero(np.repeat(several, size)), 1, [], 0
+        while len(i := i[i + d < end[i]]):
+            j = i + d
+            fit = (root[i] != root[j]) & (np.minimum(m[i], m[j]) >= SIMILARITY * np.maximum(m[i], m[j]) - 1e-9)
+            x, y = i[fit], j[fit]
+            room = np.minimum(m[x] - pos[x], m[y] - pos[y])
+            out.append([np.minimum(key[x], key[y]), np.maximum(key[x], key[y]), room, m[x] + m[y]])
+            held += len(x)
+            d += 1
+            if held > _HELD_PAIRS:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "room", "m"])
+                out, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "room", "m"])
+
+
+def remaining_pairs(docs: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b``: keys of all pairs of ``texts`` that may have the similarity and aren't joined by ``roots``."""
+    rows = prefixes(docs).repartition(F.col("sig")).sortWithinPartitions("sig", "set")
+    shared = durable(rows.mapInArrow(_shared, "sig long, set long, m int, pos int"))
+    named = texts.select("set", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("set", "key", F.coalesce("root", "key").alias("root"))
+    members = shared.join(named, "set").select("sig", "key", "root", "m", "pos").repartition(F.col("sig")).sortWithinPartitions("sig")
+    met = members.mapInArrow(_cross_pairs, "a long, b long, room int, m int").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("room").alias("room"), F.first("m").alias("m"))
+    needed = F.ceil(F.col("m") * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
+    # nothing before the first shared place is shared
+    return met.where((F.col("c") >= F.least(F.lit(COMMON), needed)) & (F.col("room") >= needed)).select("a", "b")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near copies."""
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = durable(sketches(docs))
-    texts = durable(rows.drop("doc_id").dropDuplicates(["key"]))
-    pairs = durable(candidate_pairs(texts, choose_plans(texts)))
-    wordless = texts.where("n = 0").agg(F.min("key").alias("a"))
-    links = verified_links(docs, pairs).unionByName(texts.where("n = 0").select(F.col("key").alias("b")).join(F.broadcast(wordless), F.col("b") != F.col("a")).select("a", "b"))
-    roots = durable(components(durable(links)))
-    named = rows.select("doc_id", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
-    first = named.groupBy(F.coalesce("root", "key").alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("f"))
+    texts = durable(rows.drop("doc_id").dropDuplicates(["set"]))
+    links = durable(verified_links(docs, durable(candidate_pairs(texts, choose_plans(texts)))))
+    roots = durable(components(links))
+    rest = durable(verified_links(docs, durable(remaining_pairs(docs, texts, roots))))
+    roots = durable(components(links.unionByName(rest)))
+    one = texts.select("set", F.col("key").alias("node")).join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"))
+    named = rows.select("doc_id", "key", "set").join(one, "set")
+    first = named.groupBy(F.col("root").alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("f"))
     kept = first.select(F.col("f.doc_id").alias("_id"), F.col("f.key").alias("_key"))
     # rows that are equal in id and text can't be told apart by a join
     repeated = rows.groupBy("doc_id", "key").count().where("count > 1").limit(1).count() > 0

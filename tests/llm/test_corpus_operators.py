@@ -397,3 +397,17 @@ def test_pipeline(spark):
     assert out and len({r["doc_id"] for r in out}) == len(out)
     assert [r["mix_position"] for r in out] == sorted(r["mix_position"] for r in out)
     assert not [r for r in out if brute.secret_spans(r["text"])]
+
+
+def kept_ids(spark, made):
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    return sorted(r["doc_id"] for r in near_dedup.keep_one(df).collect())
+
+
+def test_near_copies_in_buckets_of_equal_texts(spark):
+    rng = random.Random(21)
+    a = prose(200, rng).split()
+    b = [*a[:100], "other", *a[101:]]
+    cased = lambda words, i: " ".join(w.upper() if i == k else w for k, w in enumerate(words))
+    made = [cased(a, i) for i in range(10)] + [cased(b, i) for i in range(10)] + [prose(200, rng)]
+    assert kept_ids(spark, made) == [0, 20]
