@@ -411,3 +411,13 @@ def test_near_copies_in_buckets_of_equal_texts(spark):
     cased = lambda words, i: " ".join(w.upper() if i == k else w for k, w in enumerate(words))
     made = [cased(a, i) for i in range(10)] + [cased(b, i) for i in range(10)] + [prose(200, rng)]
     assert kept_ids(spark, made) == [0, 20]
+
+
+def test_near_copies_with_blocks_of_new_words(spark):
+    rng = random.Random(22)
+    made = []
+    for i in range(40):
+        base = prose(200, rng)
+        words = base.split()
+        made += [base, base + " " + prose(45, rng) if i % 2 else " ".join([*words[:90], *prose(38, rng).split(), *words[90:]])]
+    assert kept_ids(spark, made) == list(range(0, 80, 2))
