@@ -162,12 +162,8 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest_pairs(n: np.ndarray, lanes: np.ndarray, earlier: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of members near in fingerprint and length: each member's nearest few.
-
-    A bucket that takes all its pairs gives all of them; a larger one leaves
-    out those that met in a bucket of an ``earlier`` partition, given as lane and bits.
-    """
+def _nearest_pairs(n: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of members near in fingerprint and length: each member's nearest few."""
     if len(n) == 2:
         if min(n) < SIMILARITY * max(n) or sum(int(x).bit_count() for x in lanes[0] ^ lanes[1]) > MAX_DISTANCE:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -188,11 +184,6 @@ def _nearest_pairs(n: np.ndarray, lanes: np.ndarray, earlier: list[tuple[int, in
         a.append(lo + np.repeat(np.arange(hi - lo), fit.sum(axis=1)))
         b.append(lo + near[fit])
     a, b = np.concatenate(a), np.concatenate(b)
-    if len(n) > NEAREST + 1:
-        new = np.ones(len(a), bool)
-        for lane, mask in earlier:
-            new &= ((lanes[a, lane] ^ lanes[b, lane]) & np.uint64(mask)) != 0
-        a, b = a[new], b[new]
     return order[a], order[b]
 
 
@@ -211,7 +202,7 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], masks: list[tuple[int, int] | None]) -> Iterator[pa.RecordBatch]:
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of members sorted by signature: near pairs, ``a`` < ``b``."""
 
     def judge(table: pa.Table) -> pa.RecordBatch:
@@ -226,8 +217,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], masks: list[tuple[int, int]
         near = two[(far <= MAX_DISTANCE) & (np.minimum(n[two], n[two + 1]) >= SIMILARITY * np.maximum(n[two], n[two + 1]))]
         a, b = [near], [near + 1]
         for s, g in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            part = int(sig[s]) >> 56 & 0xFF
-            x, y = _nearest_pairs(n[s : s + g], lanes[s : s + g], [m for m in masks[:part] if m is not None])
+            x, y = _nearest_pairs(n[s : s + g], lanes[s : s + g])
             a.append(s + x)
             b.append(s + y)
         a, b = key[np.concatenate(a)], key[np.concatenate(b)]
@@ -240,12 +230,8 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], masks: list[tuple[int, int]
 
 def candidate_pairs(texts: DataFrame, plans: list[simhash.Plan]) -> DataFrame:
     """``a, b``: keys of texts that are near each other in a bucket."""
-    masks = []
-    for k, plan in enumerate(plans):
-        for i, (partition, t) in enumerate(zip(plan.partitions, plan.thresholds, strict=True)):
-            masks.append((k, sum(1 << b for b in partition)) if t == 0 else None)
     members = _probes(texts, plans, whole=True).repartition(F.col("sig")).sortWithinPartitions("sig")
-    return members.mapInArrow(lambda batches: _bucket_pairs(batches, masks), "a long, b long").distinct()
+    return members.mapInArrow(_bucket_pairs, "a long, b long").distinct()
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

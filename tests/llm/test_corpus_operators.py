@@ -421,3 +421,18 @@ def test_near_copies_with_blocks_of_new_words(spark):
         words = base.split()
         made += [base, base + " " + prose(45, rng) if i % 2 else " ".join([*words[:90], *prose(38, rng).split(), *words[90:]])]
     assert kept_ids(spark, made) == list(range(0, 80, 2))
+
+
+def test_smaller_buckets_give_pairs_that_a_larger_one_left_out(spark):
+    rng = random.Random(23)
+    rows = []
+    for i in range(12):
+        lanes = [5, *(sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(5))]
+        rows.append((i, 100, *lanes))
+        rows += [(100 + 10 * i + k, 100, lanes[0] ^ 1 << (20 + k), *lanes[1:]) for k in range(9)]
+    bits = tuple(range(20)), tuple(range(20, 40)), tuple(range(40, 64))
+    plans = [simhash.Plan(bits, (0, 0, -1))] + [simhash.Plan(bits, (-1, -1, -1))] * 5
+    lanes = ", ".join(f"lane{k} long" for k in range(6))
+    signed = [tuple(x - (1 << 64) if x >= 1 << 63 else x for x in r) for r in rows]
+    got = near_dedup.candidate_pairs(spark.createDataFrame(signed, f"key long, n int, {lanes}"), plans).collect()
+    assert {x for r in got if r["a"] < 12 and r["b"] < 12 for x in (r["a"], r["b"])} == set(range(12))
