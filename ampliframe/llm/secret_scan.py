@@ -38,7 +38,8 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 MIN_ASSIGNED = 6
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: ``=`` only as padding, so that the value of ``NAME=value`` is a token of its own.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}=*"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings by the first pattern that fits; each must mix digits and letters.
 ENCODINGS = (

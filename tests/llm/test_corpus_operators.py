@@ -436,3 +436,19 @@ def test_smaller_buckets_give_pairs_that_a_larger_one_left_out(spark):
     signed = [tuple(x - (1 << 64) if x >= 1 << 63 else x for x in r) for r in rows]
     got = near_dedup.candidate_pairs(spark.createDataFrame(signed, f"key long, n int, {lanes}"), plans).collect()
     assert {x for r in got if r["a"] < 12 and r["b"] < 12 for x in (r["a"], r["b"])} == set(range(12))
+
+
+def test_battery_sees_values_after_an_equals_sign(spark):
+    rng = random.Random(4)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["a1B" + "".join(rng.choices(symbols, k=37)) for _ in range(60)]
+    names = ("AWS_SECRET_ACCESS_KEY=", "auth=", "?a_long_parameter_name_here=")
+    padded = base64.b32encode(b"\x8d\x1c\xf2\x5e\x93\x07\xba\x64\xd9\x3f\x20\xe1\x7b\xac\x58\x91").decode()
+    made = [f"set {names[i % 3]}{k} now" for i, k in enumerate(keys)] + [f"key={padded} now"]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    left = [r["text"] for r in secret_scan.redact(df).orderBy("doc_id").collect()]
+    right = [f"set {names[i % 3]}[SECRET] now" for i in range(60)]
+    assert sum(a == b for a, b in zip(left, right, strict=False)) >= 54
+    assert left[60] == "key=[SECRET] now"
+    spans = [r["spans"] for r in secret_scan.scan(df).orderBy("doc_id").collect()]
+    assert sum(x.startswith("random:") for x in spans) >= 55
