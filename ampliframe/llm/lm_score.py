@@ -5,14 +5,14 @@ A target model (documents labelled as of high quality) and a background model
 so that a document's score, the mean over its words of the difference of their
 losses, tells how much more like the target it is than like the corpus.
 
-The vocabulary is the most frequent words of all documents, everything else is
-one unknown word; bigram counts are kept by hash bucket. Both sizes are
-parameters, so the models have a fixed size whatever the corpus; the counts
-come from every word of every document.
+Both models count all words and all bigrams of the corpus, in tables that grow
+with it and stay distributed: every text's bigrams, once each with their
+number, are joined with the losses of that bigram in both models and summed by
+text. Copies of a text add up in numerator and denominator of its mean alike.
 
 Defined cases: a null or empty text has 0 words and null scores; repeated rows
 count as often as they occur; null ids match no label; without any labelled
-document the target model is uniform over the vocabulary; empty tables give
+document the target model is uniform over all words; empty tables give
 empty results; texts of any length are scored whole.
 """
 
@@ -25,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliframe.llm.tokens import chunks, lowered, mixed, word_hashes, word_spans
+from ampliframe.llm.common import durable, words
+from ampliframe.llm.tokens import chunks, lowered, word_hashes, word_spans
 
-VOCABULARY = 1 << 14
-BIGRAM_BUCKETS = 1 << 17
 #: Weight of the unigram model in a word's context, in words.
 PRIOR_WORDS = 20.0
 _HELD = 1 << 20
@@ -66,103 +65,64 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the ``size`` most frequent words."""
-    rows = word_counts(docs).orderBy(F.desc("n"), "h").limit(size).select("h").collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
-
-
-def _ids(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """Place in the vocabulary, or its size for other words."""
-    if not len(vocab):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-    return np.where(vocab[at] == h, at, len(vocab))
-
-
-def _tokens(column: pa.Array, vocab: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of consecutive texts: first row, first word of each, word ids, ids of the words before (start of text: size + 1), bigram buckets."""
-    for lo, _, data, offsets in chunks(column):
-        data = lowered(data)
-        starts, ends, first = word_spans(data, offsets)
-        ids = _ids(word_hashes(data, starts, ends), vocab)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        heads = first[:-1]
-        before[heads[heads < len(ids)]] = len(vocab) + 1
-        pair = mixed((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
-        yield lo, first, ids, before, (pair % np.uint64(BIGRAM_BUCKETS)).astype(np.int64)
-
-
-def model_counts(docs: DataFrame, target: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the target and the background model: unigrams, then contexts, then bigram buckets.
-
-    ``target`` has a column ``doc_id``. Every task adds up its own counts; Spark adds up the tasks'.
-    """
-    units = len(vocab) + 2
-    width = 2 * units + BIGRAM_BUCKETS
+def text_bigrams(rows: DataFrame) -> DataFrame:
+    """``key, chosen, c, w, n``: of every row ``key, chosen, text`` its distinct bigrams and how often it has them; ``c`` is null at the start of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, width), np.int64)
-        some = False
         for batch in batches:
-            some = True
-            chosen = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, first, ids, before, bucket in _tokens(batch.column(0), vocab):
-                cells = np.concatenate([ids, before + units, bucket + 2 * units])
-                table[1] += np.bincount(cells, minlength=width)
-                word = np.repeat(chosen[lo : lo + len(first) - 1], np.diff(first))
-                table[0] += np.bincount(cells[np.tile(word, 3)], minlength=width)
-        if some:
-            used = np.flatnonzero(table[1])
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[0, used]), pa.array(table[1, used])], ["cell", "t", "b"])
-
-    wanted = target.select(F.col("doc_id").alias("_wanted")).where("_wanted is not null").distinct()
-    # labels grow with the corpus: one way of joining them at every size
-    rows = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_wanted"), "left")
-    rows = rows.select("text", F.col("_wanted").isNotNull().alias("chosen"))
-    sums = rows.mapInArrow(run, "cell long, t long, b long").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()
-    out = np.zeros((2, width), np.int64)
-    out[0, sums["cell"]], out[1, sums["cell"]] = sums["t"], sums["b"]
-    return out[0], out[1]
-
-
-class Model:
-    """A bigram model with Dirichlet smoothing towards add-one unigrams."""
-
-    def __init__(self, counts: np.ndarray, units: int):
-        unigrams = counts[:units].astype(np.float64)
-        self.unigram = (unigrams + 1) / (unigrams.sum() + units)
-        self.context = counts[units : 2 * units].astype(np.float64) + PRIOR_WORDS
-        self.bigram = counts[2 * units :].astype(np.float64)
-
-    def losses(self, ids: np.ndarray, before: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Negative log probability of each word; a bucket's count can't exceed its context's."""
-        seen = np.minimum(self.bigram[bucket], self.context[before] - PRIOR_WORDS)
-        return -np.log((seen + PRIOR_WORDS * self.unigram[ids]) / self.context[before])
+            key, chosen = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, hi, data, offsets in chunks(batch.column(2)):
+                data = lowered(data)
+                starts, ends, first = word_spans(data, offsets)
+                w = word_hashes(data, starts, ends)
+                if not len(w):
+                    continue
+                text = np.repeat(np.arange(lo, hi), np.diff(first))
+                c = np.empty_like(w)
+                c[1:] = w[:-1]
+                head = np.ones(len(w), bool)
+                head[1:] = text[1:] != text[:-1]
+                c[head] = 0
+                order = np.lexsort((w, c, head, text))
+                text, head, c, w = text[order], head[order], c[order], w[order]
+                new = np.ones(len(w), bool)
+                new[1:] = (text[1:] != text[:-1]) | (head[1:] != head[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+                at = np.flatnonzero(new)
+                n = np.diff(at, append=len(w))
+                columns = [pa.array(key[text[at]]), pa.array(chosen[text[at]].astype(bool)), pa.array(c[at].view(np.int64), mask=head[at]), pa.array(w[at].view(np.int64)), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "chosen", "c", "w", "n"])
+
+    return rows.select("key", "chosen", "text").mapInArrow(run, "key long, chosen boolean, c long, w long, n long")
+
+
+def bigram_losses(bigrams: DataFrame) -> DataFrame:
+    """``c, w, lt, lb`` of every bigram: its loss in the target and in the background model, with Dirichlet smoothing towards add-one unigrams."""
+    sums = [F.sum("t").alias("t"), F.sum("b").alias("b")]
+    pairs = durable(bigrams.groupBy("c", "w").agg(F.sum(F.when(F.col("chosen"), F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("b")))
+    contexts = pairs.groupBy("c").agg(*sums).withColumnsRenamed({"c": "_c", "t": "ct", "b": "cb"})
+    unigrams = durable(pairs.groupBy("w").agg(*sums).withColumnsRenamed({"t": "ut", "b": "ub"}))
+    totals = unigrams.agg(F.sum("ut"), F.sum("ub"), F.count("*")).collect()[0]
+    every, size = (totals[0] or 0, totals[1] or 0), totals[2]
+
+    def loss(k: int, n: str, context: str, unigram: str):
+        prior = PRIOR_WORDS * (F.col(unigram) + 1) / float(every[k] + size or 1)
+        return -F.log((F.col(n) + prior) / (F.col(context) + PRIOR_WORDS))
+
+    both = pairs.join(unigrams, "w").join(contexts, F.col("c").eqNullSafe(F.col("_c")))
+    return both.select("c", "w", loss(0, "t", "ct", "ut").alias("lt"), loss(1, "b", "cb", "ub").alias("lb"))
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, loss_difference`` of every row (losses are means in nats; lower difference: more like the target)."""
-    vocab = vocabulary(docs)
-    counts = model_counts(docs, target, vocab)
-    models = [Model(c, len(vocab) + 2) for c in counts]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            sums = np.zeros((2, batch.num_rows))
-            for lo, first, ids, before, bucket in _tokens(batch.column(1), vocab):
-                size = np.diff(first)
-                some = np.flatnonzero(size)
-                n[lo : lo + len(size)] = size
-                if len(some):
-                    for k, model in enumerate(models):
-                        sums[k, lo + some] = np.add.reduceat(model.losses(ids, before, bucket), first[:-1][some])
-            empty = n == 0
-            mean = sums / np.maximum(n, 1)
-            columns = [pa.array(x, mask=empty) for x in (mean[0], mean[1], mean[0] - mean[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "loss_difference"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, loss_difference double")
+    wanted = target.select(F.col("doc_id").alias("_wanted")).where("_wanted is not null").distinct()
+    text = F.coalesce("text", F.lit(""))
+    # labels grow with the corpus: one way of joining them at every size
+    rows = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_wanted"), "left")
+    rows = rows.select(F.xxhash64(text).alias("key"), F.col("_wanted").isNotNull().alias("chosen"), text.alias("text"))
+    losses = bigram_losses(text_bigrams(rows)).withColumnsRenamed({"c": "_c", "w": "_w"})
+    own = text_bigrams(docs.select(F.xxhash64(text).alias("key"), F.lit(False).alias("chosen"), text.alias("text")))
+    met = own.join(losses, (F.col("w") == F.col("_w")) & F.col("c").eqNullSafe(F.col("_c")))
+    mean = lambda x: (F.sum(F.col("n") * F.col(x)) / F.sum("n")).alias(x)
+    means = met.groupBy("key").agg(mean("lt"), mean("lb"))
+    every = docs.select("doc_id", F.xxhash64(text).alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_tokens")).join(means, "key", "left")
+    return every.select("doc_id", "n_tokens", F.col("lt").alias("target_loss"), F.col("lb").alias("background_loss"), (F.col("lt") - F.col("lb")).alias("loss_difference"))

@@ -452,3 +452,31 @@ def test_battery_sees_values_after_an_equals_sign(spark):
     assert left[60] == "key=[SECRET] now"
     spans = [r["spans"] for r in secret_scan.scan(df).orderBy("doc_id").collect()]
     assert sum(x.startswith("random:") for x in spans) >= 55
+
+
+def test_language_models_count_all_words_and_bigrams(spark):
+    rng = random.Random(31)
+    made = [" ".join(f"w{rng.randrange(30_000)}" for _ in range(150)) for _ in range(300)] + ["a b a b c", "a b a b c", ""]
+    made += [" ".join(f"x{i}" for i in range(k, k + 2000)) for k in range(0, 40_000, 2000)]
+    chosen = set(range(0, 300, 4)) | {300}
+    counts = [collections.defaultdict(collections.Counter) for _ in range(2)]
+    unigrams = [collections.Counter(), collections.Counter()]
+    for i, t in enumerate(made):
+        for k in (0, 1) if i in chosen else (1,):
+            for c, w in zip([None, *t.split()], t.split(), strict=False):
+                counts[k][c][w] += 1
+                unigrams[k][w] += 1
+    size, every = len(unigrams[1]), [sum(u.values()) for u in unigrams]
+
+    def loss(k, t):
+        w = t.split()
+        p = [(counts[k][c][x] + 20 * (unigrams[k][x] + 1) / (every[k] + size)) / (sum(counts[k][c].values()) + 20) for c, x in zip([None, *w], w, strict=False)]
+        return -sum(map(np.log, p)) / len(p)
+
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lm_score.score(df, spark.createDataFrame([(i,) for i in chosen], "doc_id long")).collect()}
+    assert size > 1 << 14 and len(got) == len(made) and got[302]["target_loss"] is None
+    for i in (0, 1, 2, 299, 300, 301, 303, 322):
+        assert got[i]["n_tokens"] == len(made[i].split())
+        assert got[i]["target_loss"] == pytest.approx(loss(0, made[i]))
+        assert got[i]["background_loss"] == pytest.approx(loss(1, made[i]))
