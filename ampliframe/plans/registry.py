@@ -470,7 +470,7 @@ def denoise_pseudo(spark, sf_dir):
 
 @query()
 def learn_errors(spark, sf_dir):
-    err, _ = errors.learn_errors(derep.dereplicate(fixtures.reads(spark, sf_dir)), LearnParams(max_rounds=4))
+    err, _ = errors.learn_errors(derep.dereplicate(fixtures.reads(spark, sf_dir)), LearnParams())
     return errors.to_table(spark, err)
 
 

@@ -134,3 +134,13 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_learn_errors_query_takes_the_default_rounds(spark, monkeypatch):
+    from ampliframe.params import LearnParams
+    from ampliframe.plans import registry
+
+    seen, learn = [], registry.errors.learn_errors
+    monkeypatch.setattr(registry.errors, "learn_errors", lambda uniques, params: seen.append(params) or learn(uniques, params))
+    assert registry.learn_errors(spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == [LearnParams()]
