@@ -55,3 +55,22 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to a Parquet table in the shared folder: it survives lost executors, and its size is known to the planner."""
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names for helper columns that no column of ``columns`` has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -1,29 +1,35 @@
 """One document of each group of near copies, by SimHash and the generalised pigeonhole principle.
 
 Near copies have a Jaccard similarity of ``SIMILARITY`` or more between their
-sets of ``SHINGLE``-word shingles, directly or over other near copies.
-Fingerprints are SimHashes of the distinct words, ``LANES`` times 64 bits: a
-copy with few edits keeps nearly all of its words but loses five shingles an
-edit, so word fingerprints stay close where shingle fingerprints don't. The
-bits are grouped and probed as in :mod:`simhash`, with thresholds that add up
-to TAU - m + 1. Pairs in a bucket are compared by fingerprint and length; the
-``NEAREST`` nearest of each document (in buckets of more than ``BLOCK``
-members: inside overlapping blocks by length) are then compared by their
-shingles, exactly. Texts with equal shingle sets are one text from the start.
-
-Fingerprints alone lose links: a bucket doesn't give all its pairs, and an
-inserted block moves a fingerprint further than any threshold reaches. They
-only join most groups cheaply. The exact pass after them makes the rest good:
-two sets of the similarity share ``COMMON`` of their first m -
-ceil(``SIMILARITY`` m) + ``COMMON`` shingles in any common order (rare ones
-first, so that buckets stay small; a set that needs fewer in common shares all
-it needs), and all pairs that do, fit in length and aren't joined already are
-compared by their shingles. Its work is the number of pairs of different
-groups that share a rare shingle.
+sets of ``SHINGLE``-word shingles, directly or over other near copies. Texts
+with equal shingle sets are one text from the start.
+
+First pass. Fingerprints are SimHashes of the distinct words, ``LANES`` times
+64 bits: a copy with few edits keeps nearly all of its words but loses five
+shingles an edit, so word fingerprints stay close where shingle fingerprints
+don't. The bits are grouped and probed as in :mod:`simhash`, with thresholds
+that add up to TAU - m + 1. A bucket gives a forest, not its pairs: its most
+central member leads, members that may have the similarity to it are linked to
+it, and so on with those left, for ``LEADERS`` rounds; the links are then
+verified by their shingles. Tasks do so with their own rows before the shuffle,
+so that a large group of copies travels as a few leaders.
+
+Second pass, exact. What fingerprints or leaders have missed is found by the
+prefixes of the sets: two sets of the similarity share one of their first m -
+ceil(``SIMILARITY`` m) + 1 shingles in any common order (rare ones first).
+Members of different groups that share one are compared in place, by size,
+place and a parity sketch of their sets; these filters never reject a pair of
+the similarity. What passes them is compared by its shingles. So every pair of
+the similarity is linked directly or over others, whatever the first pass has
+found. Buckets of more than ``BLOCK`` members are dealt out as pairs of
+blocks. The second pass compares, but doesn't write, all pairs of members of
+*different* groups in a bucket: a family of n texts just below the similarity
+costs n * n sketch comparisons.
 
 Defined cases: texts without words are copies of each other; of equal rows one
 stays; among the rows of a group the one with the smallest id stays, null ids
-last; empty tables give empty results; further columns pass through.
+last; empty tables give empty results; further columns pass through, whatever
+their names; texts of any length are compared whole.
 """
 
 from __future__ import annotations
@@ -36,25 +42,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampliframe.llm import simhash
-from ampliframe.llm.common import durable
+from ampliframe.llm.common import free_names, stored
 from ampliframe.llm.graph import components
 from ampliframe.llm.tokens import chunks, lowered, mixed, window_hashes, word_hashes, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
-LANES, PARTITIONS_A_LANE = 6, 3
+LANES, PARTITIONS_A_LANE = 6, 2
 TAU = LANES * PARTITIONS_A_LANE - 1
-#: Fingerprints further apart than this aren't compared by their shingles; it is beyond what a similarity of 0.8 makes likely.
-MAX_DISTANCE = 80
-NEAREST, BLOCK = 8, 512
+#: 64-bit words of a set's parity sketch: bit i is the parity of the number of its shingles that hash to i.
+PARITY_WORDS = 8
+#: Rounds in which a bucket's members are linked to one leader more; from so many members of a bucket on, a task links its own first.
+LEADERS, LOCAL_GROUP = 8, 16
+#: Members of a bucket that are compared at a time in the first and in the second pass.
+PIECE, BLOCK = 1 << 14, 1 << 12
 #: Part of the texts in which frequent shingles are looked for, and how many of them are told apart; both affect the work only.
 FREQUENT_PART, FREQUENT = 32, 1 << 17
-#: Shingles that a pair has to share among the first ones before it is compared; a longer prefix makes up for more of them.
-COMMON = 8
-#: 64-bit words of a set's parity sketch.
-PARITY_WORDS = 32
-_HELD_PAIRS = 1 << 20
+_HELD_PAIRS = 1 << 18
+_ROWS = 1 << 12
 _LANE_KEYS = mixed(np.arange(1, LANES + 1, dtype=np.uint64))
-_POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
 def _sets(h: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
@@ -68,19 +73,35 @@ def _set_hash(shingles: np.ndarray) -> int:
     return int(mixed(mixed(shingles).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(shingles)))[0]) if len(shingles) else 0
 
 
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A parity sketch of each set, ``PARITY_WORDS`` words a row."""
+    bits = 64 * PARITY_WORDS
+    out = np.zeros((len(sets), PARITY_WORDS), np.uint64)
+    for lo in range(0, len(sets), _ROWS):
+        part = sets[lo : lo + _ROWS]
+        row = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        place = (np.concatenate(part) % np.uint64(bits)).astype(np.int64)
+        odd = (np.bincount(row * bits + place, minlength=len(part) * bits) & 1).astype(np.uint8)
+        out[lo : lo + _ROWS] = np.packbits(odd.reshape(-1, bits), axis=1, bitorder="little").view("<u8")
+    return out
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of ``doc_id, key, text``: hash of the shingle set, number of shingles and the fingerprint's lanes."""
+    """Of ``doc_id, key, text``: hash and size of the shingle set, its parity sketch and the fingerprint's lanes."""
     for batch in batches:
         n = np.zeros(batch.num_rows, np.int32)
         sets = np.zeros(batch.num_rows, np.uint64)
+        parity = np.zeros((batch.num_rows, PARITY_WORDS), np.uint64)
         lanes = np.zeros((batch.num_rows, LANES), np.uint64)
         for lo, hi, data, offsets in chunks(batch.column(2)):
             data = lowered(data)
             starts, ends, first = word_spans(data, offsets)
             h = word_hashes(data, starts, ends)
             text = np.repeat(np.arange(hi - lo), np.diff(first))
-            n[lo:hi] = np.maximum(np.diff(first) - SHINGLE + 1, np.minimum(np.diff(first), 1))
-            sets[lo:hi] = [_set_hash(x) for x in _sets(h, first)]
+            own = list(_sets(h, first))
+            n[lo:hi] = [len(x) for x in own]
+            sets[lo:hi] = [_set_hash(x) for x in own]
+            parity[lo:hi] = _parities(own)
             order = np.lexsort((h, text))
             h, text = h[order], text[order]
             new = np.ones(len(h), bool)
@@ -95,35 +116,54 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ones = np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
                 lanes[lo + text[cut], k] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sets.view(np.int64)), pa.array(n), *(pa.array(np.ascontiguousarray(lanes[:, k]).view(np.int64)) for k in range(LANES))],
-            ["doc_id", "key", "set", "n", *_lane_names()],
+            [batch.column(0), batch.column(1), pa.array(sets.view(np.int64)), pa.array(n), _binary(parity), *(pa.array(np.ascontiguousarray(lanes[:, k]).view(np.int64)) for k in range(LANES))],
+            ["doc_id", "key", "set", "n", "parity", *_lane_names()],
         )
 
 
+def _binary(parity: np.ndarray) -> pa.Array:
+    width = 8 * PARITY_WORDS
+    return pa.Array.from_buffers(pa.binary(), len(parity), [None, pa.py_buffer(np.arange(len(parity) + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(parity))])
+
+
+def _parity_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of :func:`_binary`."""
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    if not len(column):
+        return np.zeros((0, PARITY_WORDS), np.uint64)
+    start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[start : start + 8 * PARITY_WORDS * len(column)].view("<u8").reshape(-1, PARITY_WORDS)
+
+
 def _lane_names() -> list[str]:
     return [f"lane{k}" for k in range(LANES)]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, set, n, lane0...`` of every row; ``key`` is a hash of the text, ``set`` of its shingle set (0: no words)."""
+    """``doc_id, key, set, n, parity, lane0...`` of every row; ``key`` is a hash of the text, ``set`` of its shingle set (0: no words)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = ", ".join(f"{c} long" for c in _lane_names())
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_sketches, f"doc_id {kind}, key long, set long, n int, {fields}")
+    return rows.mapInArrow(_sketches, f"doc_id {kind}, key long, set long, n int, parity binary, {fields}")
 
 
 def choose_plans(texts: DataFrame) -> list[simhash.Plan]:
     """For each lane its partitions and thresholds; bit groups from all fingerprints, thresholds by dynamic programming over all lanes."""
-    names = _lane_names()
     groups, agree = [], []
     n = 0
-    for name in names:
+    for name in _lane_names():
         together, n = simhash.bit_counts(texts.select(F.col(name).alias("fp")))
         groups.append(simhash.grouped_bits(together, n, PARTITIONS_A_LANE))
         p = together.diagonal() / max(n, 1)
         agree.append(p**2 + (1 - p) ** 2)
     flat = [simhash.Plan(g, (0,) * PARTITIONS_A_LANE) for g in groups]
-    buckets = _probes(texts, flat).groupBy("sig").count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sig in _signatures(batch, 0, flat):
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64))], ["sig"])
+
+    buckets = texts.select(*_lane_names()).mapInArrow(run, "sig long").groupBy("sig").count()
     part = F.shiftrightunsigned("sig", 56)
     pairs = buckets.groupBy(part.alias("part")).agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).collect()
     same = {r["part"]: float(r["pairs"]) for r in pairs}
@@ -138,100 +178,162 @@ def choose_plans(texts: DataFrame) -> list[simhash.Plan]:
     return [simhash.Plan(g, thresholds[i * k : (i + 1) * k]) for i, g in enumerate(groups)]
 
 
-def _probes(texts: DataFrame, plans: list[simhash.Plan], whole: bool = False) -> DataFrame:
-    """``sig, key``, ``whole``: and the other columns: every text under each of its signatures; the highest byte of ``sig`` is the partition's number."""
+def _signatures(batch: pa.RecordBatch, first: int, plans: list[simhash.Plan]) -> Iterator[np.ndarray]:
+    """All signatures of every row, one array a probe; lanes begin at column ``first``; the highest byte is the partition's number."""
+    for k, plan in enumerate(plans):
+        fp = batch.column(first + k).to_numpy(zero_copy_only=False).view(np.uint64)
+        for _, sig in simhash.signatures(fp, plan):
+            yield sig + (np.uint64(k * PARTITIONS_A_LANE) << np.uint64(56))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, plan in enumerate(plans):
-                fp = batch.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64)
-                for _, sig in simhash.signatures(fp, plan):
-                    sig = sig + (np.uint64(k * PARTITIONS_A_LANE) << np.uint64(56))
-                    rest = [batch.column(c) for c in ("n", *_lane_names())] if whole else []
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), batch.column(0), *rest], ["sig", "key", *(["n", *_lane_names()] if whole else [])])
-
-    more = "".join(f", {c} long" for c in _lane_names()) if whole else ""
-    return texts.select("key", *_lane_names(), "n").mapInArrow(run, f"sig long, key long{', n int' if whole else ''}{more}")
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits that differ, of every row of ``a`` and every row of ``b``."""
-    out = np.zeros((len(a), len(b)), np.int16)
-    for k in range(a.shape[1]):
-        out += _POPCOUNT[(a[:, k, None] ^ b[None, :, k]).view(np.uint16).reshape(len(a), len(b), 4)].sum(axis=2, dtype=np.int16)
-    return out
 
+def _may_be_near(n: np.ndarray, parity: np.ndarray, other_n: np.ndarray, other_parity: np.ndarray) -> np.ndarray:
+    """Whether sets may have the similarity: by their sizes, and as sets differ in as many shingles as their parities in bits, or more."""
+    fit = np.minimum(n, other_n) >= SIMILARITY * np.maximum(n, other_n) - 1e-9
+    differ = np.bitwise_count(parity ^ other_parity).sum(axis=-1, dtype=np.int64)
+    return fit & (differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * (n + other_n).astype(np.float64) + 1e-9)
 
-def _nearest_pairs(n: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of members near in fingerprint and length: each member's nearest few."""
-    if len(n) == 2:
-        if min(n) < SIMILARITY * max(n) or sum(int(x).bit_count() for x in lanes[0] ^ lanes[1]) > MAX_DISTANCE:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.zeros(1, np.int64), np.ones(1, np.int64)
-    order = np.argsort(n, kind="stable")
-    n, lanes = n[order], lanes[order]
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo in range(0, max(1, len(n) - BLOCK // 2), BLOCK // 2):
-        hi = min(lo + BLOCK, len(n))
-        k = min(NEAREST, hi - lo - 1)
-        if k < 1:
-            continue
-        d = _distances(lanes[lo:hi], lanes[lo:hi])
-        d[np.minimum(n[lo:hi, None], n[None, lo:hi]) < SIMILARITY * np.maximum(n[lo:hi, None], n[None, lo:hi])] = 1 << 14
-        np.fill_diagonal(d, 1 << 14)
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        fit = np.take_along_axis(d, near, axis=1) <= MAX_DISTANCE
-        a.append(lo + np.repeat(np.arange(hi - lo), fit.sum(axis=1)))
-        b.append(lo + near[fit])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return order[a], order[b]
+
+def _forest(n: np.ndarray, parity: np.ndarray, rounds: int = LEADERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket: places of members and of the leader each may be near, at most one leader a member; and places of leaders and of those left."""
+    left = np.arange(len(n))
+    members, leaders, heads = [], [], []
+    for _ in range(rounds):
+        if len(left) < 2:
+            break
+        bits = np.unpackbits(np.ascontiguousarray(parity[left]).view(np.uint8), axis=1, bitorder="little")
+        middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(left), bitorder="little").view("<u8")
+        leader = left[np.bitwise_count(parity[left] ^ middle).sum(axis=1, dtype=np.int64).argmin()]
+        near = _may_be_near(n[left], parity[left], n[leader], parity[leader])
+        own = left[near & (left != leader)]
+        members.append(own)
+        leaders.append(np.full(len(own), leader))
+        heads.append(leader)
+        left = left[~near & (left != leader)]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *members]), np.concatenate([none, *leaders]), np.concatenate([np.array(heads, np.int64), left])
+
+
+def _groups(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and size of each run of equal values."""
+    cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    return cut, np.diff(cut, append=len(sig))
+
+
+_MEMBER = "sig long, key long, leader long, n int, parity binary"
+
+
+def _members(plans: list[simhash.Plan]):
+    """Of ``key, n, parity, lane0...``: members by signature, and links (a leader, no sketch) inside groups that are large already in one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, n, parity = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), _parity_of(batch.column(2))
+            for sig in _signatures(batch, 3, plans):
+                order = np.argsort(sig, kind="stable")
+                s = sig[order]
+                cut, size = _groups(s)
+                travels, a, b = np.ones(len(s), bool), [], []
+                for lo, g in zip(cut[size >= LOCAL_GROUP].tolist(), size[size >= LOCAL_GROUP].tolist(), strict=True):
+                    own = order[lo : lo + g]
+                    x, y, rest = _forest(n[own], parity[own])
+                    a.append(own[x])
+                    b.append(own[y])
+                    travels[lo : lo + g] = False
+                    travels[lo + rest] = True
+                    # what no leader of a large group is near is dealt out further; the second pass sees it whole
+                    apart = max(1, len(rest) // LOCAL_GROUP)
+                    if apart > 1:
+                        s[lo + rest] = mixed(s[lo + rest] ^ mixed(key[own[rest]].view(np.uint64)) % np.uint64(apart))
+                at = order[travels]
+                yield pa.RecordBatch.from_arrays([pa.array(s[travels].view(np.int64)), pa.array(key[at]), pa.nulls(len(at), pa.int64()), pa.array(n[at]), _binary(parity[at])], ["sig", "key", "leader", "n", "parity"])
+                if a:
+                    a, b = np.concatenate(a), np.concatenate(b)
+                    spread = mixed(key[a].view(np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(key[a]), pa.array(key[b]), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], ["sig", "key", "leader", "n", "parity"])
+
+    return run
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], ["a", "b"])
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by ``sig``, cut between signatures."""
+    """Rows sorted by ``sig``, cut between signatures; parts that belong to an unfinished one are put together once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig = batch.column("sig").to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(sig, sig[-1]))
+        if held and held[-1].column("sig")[-1].as_py() != int(sig[0]) or cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``sig``, cut between signatures; a signature of more than ``PIECE`` rows in overlapping pieces."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table])
+        if not table.num_rows:
+            continue
         sig = table.column("sig").to_numpy()
-        cut = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
+        cut = int(np.searchsorted(sig, sig[-1]))
         if cut:
             yield table.slice(0, cut)
         rest = table.slice(cut)
+        if rest.num_rows > PIECE:
+            yield rest
+            rest = rest.slice(rest.num_rows - 1)
     if rest is not None and rest.num_rows:
         yield rest
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of members sorted by signature: near pairs, ``a`` < ``b``."""
-
-    def judge(table: pa.Table) -> pa.RecordBatch:
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of members sorted by signature: links that may have the similarity, one a member and bucket at most, ``a`` < ``b``."""
+    for table in _pieces(batches):
+        done = table.filter(table.column("leader").is_valid())
+        if done.num_rows:
+            yield _pairs(done.column("key").to_numpy(), done.column("leader").to_numpy())
+            table = table.filter(table.column("leader").is_null())
         sig, key, n = (table.column(c).to_numpy() for c in ("sig", "key", "n"))
-        cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(cut, append=len(sig))
-        lanes = np.stack([table.column(c).to_numpy() for c in _lane_names()], axis=1).view(np.uint64)
+        parity = _parity_of(table.column("parity"))
+        cut, size = _groups(sig)
         two = cut[size == 2]
-        far = np.zeros(len(two), np.int64)
-        for k in range(LANES):
-            far += _POPCOUNT[np.ascontiguousarray(lanes[two, k] ^ lanes[two + 1, k]).view(np.uint16).reshape(len(two), 4)].sum(axis=1, dtype=np.int64)
-        near = two[(far <= MAX_DISTANCE) & (np.minimum(n[two], n[two + 1]) >= SIMILARITY * np.maximum(n[two], n[two + 1]))]
-        a, b = [near], [near + 1]
-        for s, g in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            x, y = _nearest_pairs(n[s : s + g], lanes[s : s + g])
-            a.append(s + x)
-            b.append(s + y)
+        two = two[_may_be_near(n[two], parity[two], n[two + 1], parity[two + 1])]
+        a, b = [two], [two + 1]
+        for lo, g in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            x, y, _ = _forest(n[lo : lo + g], parity[lo : lo + g])
+            a.append(lo + x)
+            b.append(lo + y)
         a, b = key[np.concatenate(a)], key[np.concatenate(b)]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
+        yield _pairs(a[a != b], b[a != b])
 
-    for table in _whole_buckets(batches):
-        yield judge(table)
 
+def candidate_links(texts: DataFrame, plans: list[simhash.Plan]) -> DataFrame:
+    """``a, b``: keys of texts that may be near each other, a forest of each bucket."""
+    members = texts.select("key", "n", "parity", *_lane_names()).mapInArrow(_members(plans), _MEMBER)
+    return members.repartition(F.col("sig")).sortWithinPartitions("sig").mapInArrow(_bucket_links, "a long, b long").distinct()
 
-def candidate_pairs(texts: DataFrame, plans: list[simhash.Plan]) -> DataFrame:
-    """``a, b``: keys of texts that are near each other in a bucket."""
-    members = _probes(texts, plans, whole=True).repartition(F.col("sig")).sortWithinPartitions("sig")
-    return members.mapInArrow(_bucket_pairs, "a long, b long").distinct()
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``key, ...``: the first row of each key in this task."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for i, k in enumerate(batch.column(0).to_pylist()):
+            if k not in seen:
+                seen.add(k)
+                new.append(i)
+        yield batch if len(new) == batch.num_rows else batch.take(pa.array(new, pa.int64()))
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,38 +341,25 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo, hi, data, offsets in chunks(batch.column(1)):
             data = lowered(data)
             starts, ends, first = word_spans(data, offsets)
-            h = word_hashes(data, starts, ends)
-            sets = list(_sets(h, first))
+            sets = list(_sets(word_hashes(data, starts, ends), first))
             cut = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            bits = [np.bincount((x % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1 for x in sets]
-            parity = np.packbits(np.array(bits, np.uint8), axis=1, bitorder="little").view("<i8").ravel()
-            words = np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS
-            values = pa.array(np.concatenate(sets).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), values), pa.ListArray.from_arrays(pa.array(words), pa.array(parity))], ["key", "shingles", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sets).view(np.int64)))], ["key", "shingles"])
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have the similarity.
-
-    Sets differ in as many shingles as their parities in bits, or more, so pairs whose parities differ too much go without their sets.
-    """
+    """The pairs whose shingle sets have the similarity."""
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_shingle_sets, "key long, shingles array<long>, parity array<long>")
-    sets = durable(sets)
-    short = sets.select("key", F.size("shingles").alias("n"), "parity")
-    judged = pairs.join(short.withColumnsRenamed({"key": "a", "n": "na", "parity": "pa"}), "a").join(short.withColumnsRenamed({"key": "b", "n": "nb", "parity": "pb"}), "b")
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = durable(judged.where(differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b"))
-    sets = sets.select("key", "shingles")
+    keyed = keyed.mapInArrow(_once, keyed.schema)  # many copies of a text are a row a task
+    sets = stored(keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_shingle_sets, "key long, shingles array<long>"), "shingle-sets")
     both = pairs.join(sets.withColumnsRenamed({"key": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"key": "b", "shingles": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     counted = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("s"))
-    return counted.where(F.col("c") >= SIMILARITY * (F.col("s") - F.col("c"))).select("a", "b")
+    return counted.where(F.col("c") >= SIMILARITY * (F.col("s") - F.col("c")) - 1e-9).select("a", "b")
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles that most texts of a part of ``docs`` hold, and in how many."""
+    """Sorted hashes of ``FREQUENT`` shingles at most that most texts of a part of ``docs`` hold, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,22 +370,34 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], ["h"])
 
     part = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(FREQUENT_PART)) == 0)
-    counts = part.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
-    h, n = counts["h"].to_numpy(np.int64).view(np.uint64), counts["count"].to_numpy(np.int64)
+    counts = stored(part.mapInArrow(run, "h long").groupBy("h").count().where("count > 1"), "frequent-shingles")
+    # a cut-off by bins of counts, so that no more rows than wanted reach the driver
+    step = F.floor(F.log2("count") * 8).cast("int")
+    wanted, least = 0, None
+    for r in counts.groupBy(step.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect():
+        wanted += r["n"]
+        if wanted > FREQUENT:
+            break
+        least = r["bin"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows = counts.where(step >= least).toArrow()
+    h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("count").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """``sig, set, m, pos``: of every text the shingles ``COMMON`` of which any text of the similarity shares, its set's size, and their places."""
+    """``sig, set, m, pos``: of every text the shingles one of which any text of the similarity shares, its set's size, and their places."""
     known, counts = frequent_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
                 data = lowered(data)
                 starts, ends, first = word_spans(data, offsets)
-                sig, own, size, place, done = [], [], [], [], set()
+                sig, own, size, place = [], [], [], []
                 for x in _sets(word_hashes(data, starts, ends), first):
                     name = _set_hash(x)
                     if name in done or not len(x):
@@ -305,8 +406,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
                     if len(known):
                         at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                         x = x[np.argsort(np.where(known[at] == x, counts[at], 0), kind="stable")]
-                    needed = int(np.ceil(SIMILARITY * len(x) - 1e-9))
-                    k = len(x) - needed + min(COMMON, needed)
+                    k = len(x) - int(np.ceil(SIMILARITY * len(x) - 1e-9)) + 1
                     sig.append(x[:k])
                     own.append(name)
                     size.append(len(x))
@@ -321,71 +421,107 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by ``sig, set``: one of each, where two sets or more have the signature."""
-    for table in _whole_buckets(batches):
-        sig, own = table.column("sig").to_numpy(), table.column("set").to_numpy()
+    before: tuple[int, int] | None = None  # signature and set of the last row seen
+    held: pa.RecordBatch | None = None  # a last row that still waits for a second set
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+        new[0] = before != (int(sig[0]), int(own[0]))
         at = np.flatnonzero(new)
-        sig = sig[at]
-        again = sig[1:] == sig[:-1]
-        at = at[np.concatenate([again, [False]]) | np.concatenate([[False], again])]
-        if len(at):
-            yield from table.take(pa.array(at)).combine_chunks().to_batches()
-
-
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of members sorted by ``sig``: all pairs of different groups that fit in length, ``a`` < ``b``, once for each shingle they share; ``room``: how many they can share from it on; ``m``: sizes added up."""
+        if not len(at):
+            continue
+        s = sig[at]
+        again = s[1:] == s[:-1]
+        met = np.concatenate([[before is not None and before[0] == int(s[0])], again])
+        shared = met | np.concatenate([again, [False]])
+        if held is not None:
+            if met[0]:
+                yield held
+            held = None
+        before = (int(sig[-1]), int(own[-1]))
+        if not shared[-1]:
+            held = batch.slice(int(at[-1]), 1)
+        if shared.any():
+            yield batch.take(pa.array(at[shared]))
+
+
+def _near_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of members sorted by ``sig``: pairs of different groups that may have the similarity, ``a`` < ``b``."""
     for table in _whole_buckets(batches):
-        sig, key, root, m, pos = (table.column(c).to_numpy() for c in ("sig", "key", "root", "m", "pos"))
-        cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(cut, append=len(sig))
+        sig, m = table.column("sig").to_numpy(), table.column("m").to_numpy()
+        order = np.lexsort((m, sig))
+        sig, m = sig[order], m[order]
+        key, root, pos = (table.column(c).to_numpy()[order] for c in ("key", "root", "pos"))
+        parity = _parity_of(table.column("parity"))[order]
+        cut, size = _groups(sig)
         several = np.minimum.reduceat(root, cut) != np.maximum.reduceat(root, cut)
         end = np.repeat(cut + size, size)
-        i, d, out, held = np.flatnonzero(np.repeat(several, size)), 1, [], 0
+        i, d, a, b, held = np.flatnonzero(np.repeat(several, size)), 1, [], [], 0
         while len(i := i[i + d < end[i]]):
+            i = i[m[i] >= SIMILARITY * m[i + d] - 1e-9]  # sizes grow with the place
             j = i + d
-            fit = (root[i] != root[j]) & (np.minimum(m[i], m[j]) >= SIMILARITY * np.maximum(m[i], m[j]) - 1e-9)
+            # nothing before the first shingle that a pair shares is shared, and from there no more than what is left of either
+            needed = np.ceil(SIMILARITY / (1 + SIMILARITY) * (m[i] + m[j]) - 1e-9)
+            fit = (root[i] != root[j]) & (np.minimum(m[i] - pos[i], m[j] - pos[j]) >= needed)
             x, y = i[fit], j[fit]
-            room = np.minimum(m[x] - pos[x], m[y] - pos[y])
-            out.append([np.minimum(key[x], key[y]), np.maximum(key[x], key[y]), room, m[x] + m[y]])
-            held += len(x)
+            near = _may_be_near(m[x], parity[x], m[y], parity[y])
+            a.append(key[x[near]])
+            b.append(key[y[near]])
+            held += len(a[-1])
             d += 1
             if held > _HELD_PAIRS:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "room", "m"])
-                out, held = [], 0
+                yield _pairs(np.concatenate(a), np.concatenate(b))
+                a, b, held = [], [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "room", "m"])
+            yield _pairs(np.concatenate(a), np.concatenate(b))
+
+
+def _in_cells(members: DataFrame) -> DataFrame:
+    """Members of buckets ``n`` large, dealt out as pairs of blocks where they have more than ``BLOCK``."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = F.col("n") > BLOCK
+    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.xxhash64(F.col("sig"), F.least(own, other), F.greatest(own, other)))
+    return members.withColumn("sig", F.explode(F.when(large, cells).otherwise(F.array("sig")))).drop("n")
 
 
 def remaining_pairs(docs: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
     """``a, b``: keys of all pairs of ``texts`` that may have the similarity and aren't joined by ``roots``."""
     rows = prefixes(docs).repartition(F.col("sig")).sortWithinPartitions("sig", "set")
-    shared = durable(rows.mapInArrow(_shared, "sig long, set long, m int, pos int"))
+    shared = stored(rows.mapInArrow(_shared, "sig long, set long, m int, pos int"), "shared-shingles")
     named = texts.select("set", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("set", "key", F.coalesce("root", "key").alias("root"))
-    members = shared.join(named, "set").select("sig", "key", "root", "m", "pos").repartition(F.col("sig")).sortWithinPartitions("sig")
-    met = members.mapInArrow(_cross_pairs, "a long, b long, room int, m int").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("room").alias("room"), F.first("m").alias("m"))
-    needed = F.ceil(F.col("m") * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
-    # nothing before the first shared place is shared
-    return met.where((F.col("c") >= F.least(F.lit(COMMON), needed)) & (F.col("room") >= needed)).select("a", "b")
+    named = stored(shared.join(named, "set").select("sig", "key", "root", "m", "pos"), "shared-members")
+    apart = named.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most").select("sig", "n")
+    members = stored(_in_cells(named.join(apart, "sig")), "open-members").join(texts.select("key", "parity"), "key")
+    return members.repartition(F.col("sig")).sortWithinPartitions("sig").mapInArrow(_near_members, "a long, b long").distinct()
+
+
+def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, key, set`` of every row, and ``set, root`` of every distinct shingle set: equal roots are one group."""
+    rows = stored(sketches(docs), "sketches")
+    texts = stored(rows.drop("doc_id").dropDuplicates(["set"]), "texts")
+    links = stored(verified_links(docs, stored(candidate_links(texts, choose_plans(texts)), "candidate-links")), "links")
+    roots = stored(components(links), "roots")
+    rest = stored(verified_links(docs, stored(remaining_pairs(docs, texts, roots), "remaining-pairs")), "remaining-links")
+    roots = stored(components(links.unionByName(rest)), "roots")
+    one = texts.select("set", F.col("key").alias("node")).join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"))
+    return rows.select("doc_id", "key", "set"), one
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near copies."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = durable(sketches(docs))
-    texts = durable(rows.drop("doc_id").dropDuplicates(["set"]))
-    links = durable(verified_links(docs, durable(candidate_pairs(texts, choose_plans(texts)))))
-    roots = durable(components(links))
-    rest = durable(verified_links(docs, durable(remaining_pairs(docs, texts, roots))))
-    roots = durable(components(links.unionByName(rest)))
-    one = texts.select("set", F.col("key").alias("node")).join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"))
-    named = rows.select("doc_id", "key", "set").join(one, "set")
-    first = named.groupBy(F.col("root").alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("f"))
-    kept = first.select(F.col("f.doc_id").alias("_id"), F.col("f.key").alias("_key"))
+    rows, one = groups(docs)
+    named = rows.join(one, "set")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("f"))
+    own, wanted, wanted_id = free_names(docs.columns, "own_key", "key", "id")
+    kept = first.select(F.col("f.doc_id").alias(wanted_id), F.col("f.key").alias(wanted))
     # rows that are equal in id and text can't be told apart by a join
     repeated = rows.groupBy("doc_id", "key").count().where("count > 1").limit(1).count() > 0
-    own = docs.columns
-    out = docs.withColumn("_own_key", key).join(kept, (F.col("_own_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = keyed.join(kept, (F.col(own) == F.col(wanted)) & F.col("doc_id").eqNullSafe(F.col(wanted_id)), "left_semi")
     if repeated:
-        out = out.dropDuplicates(["doc_id", "_own_key"])
-    return out.select(*[F.col(f"`{c}`") for c in own])
+        out = out.dropDuplicates(["doc_id", own])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

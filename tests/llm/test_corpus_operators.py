@@ -372,6 +372,8 @@ def test_near_copies(spark, docs, texts, empty):
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, want))
     assert near_dedup.keep_one(docs.unionByName(docs)).count() == near_dedup.keep_one(docs).count()
     assert near_dedup.keep_one(empty).count() == 0
+    clash = df.withColumnsRenamed({"key": "_own_key"}).withColumn("_key", F.lit(1)).withColumn("_ID", F.lit(2)).withColumn("root", F.lit(3))
+    assert near_dedup.keep_one(clash).columns == clash.columns and near_dedup.keep_one(clash).count() == len(want)
 
 
 def test_word_arrays():
@@ -423,19 +425,57 @@ def test_near_copies_with_blocks_of_new_words(spark):
     assert kept_ids(spark, made) == list(range(0, 80, 2))
 
 
-def test_smaller_buckets_give_pairs_that_a_larger_one_left_out(spark):
-    rng = random.Random(23)
-    rows = []
-    for i in range(12):
-        lanes = [5, *(sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(5))]
-        rows.append((i, 100, *lanes))
-        rows += [(100 + 10 * i + k, 100, lanes[0] ^ 1 << (20 + k), *lanes[1:]) for k in range(9)]
-    bits = tuple(range(20)), tuple(range(20, 40)), tuple(range(40, 64))
-    plans = [simhash.Plan(bits, (0, 0, -1))] + [simhash.Plan(bits, (-1, -1, -1))] * 5
-    lanes = ", ".join(f"lane{k} long" for k in range(6))
-    signed = [tuple(x - (1 << 64) if x >= 1 << 63 else x for x in r) for r in rows]
-    got = near_dedup.candidate_pairs(spark.createDataFrame(signed, f"key long, n int, {lanes}"), plans).collect()
-    assert {x for r in got if r["a"] < 12 and r["b"] < 12 for x in (r["a"], r["b"])} == set(range(12))
+def near_groups(made):
+    """Classes of texts by brute force over all pairs of shingle sets."""
+
+    def shingles(t):
+        w = brute.words((t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+
+    sets = [shingles(t) for t in made]
+    return brute.classes(list(range(len(made))), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+
+
+def families(rng):
+    """Texts of which many pairs lie a little below and above the similarity, with edits that are shared or not."""
+    made = []
+    for size in (40, 150, 150, 700):
+        base = prose(size, rng).split()
+        for _ in range(30):
+            w = list(base)
+            for _ in range(rng.randrange(1 + size // 25)):
+                w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+            made.append(" ".join(w if rng.random() < 0.6 else base[: rng.randrange(size * 7 // 10, size)]))
+    return made
+
+
+@pytest.mark.parametrize("block", [1 << 12, 7])
+def test_near_copies_around_the_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    made = families(random.Random(24))
+    group = near_groups(made)
+    assert 20 < len(set(group)) < 100
+    assert kept_ids(spark, made) == sorted(set(group))
+
+
+def test_the_second_pass_alone_finds_all_links(spark, monkeypatch):
+    none = lambda texts, plans: texts.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false")
+    monkeypatch.setattr(near_dedup, "candidate_links", none)
+    made = families(random.Random(25))
+    assert kept_ids(spark, made) == sorted(set(near_groups(made)))
+
+
+def test_a_large_group_of_near_copies_gives_a_forest(spark):
+    rng = random.Random(26)
+    base = prose(150, rng).split()
+    made = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(150)] * 4
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    texts = near_dedup.sketches(df).drop("doc_id").dropDuplicates(["set"]).cache()
+    plans = near_dedup.choose_plans(texts)
+    members = texts.mapInArrow(lambda it: near_dedup._members(plans)(b.select(["key", "n", "parity", *near_dedup._lane_names()]) for b in it), near_dedup._MEMBER)
+    assert texts.count() == 150 and members.where("leader is null").count() < 150 * 12
+    assert near_dedup.candidate_links(texts, plans).count() < 150 * 12
+    assert kept_ids(spark, made) == [0]
 
 
 def test_battery_sees_values_after_an_equals_sign(spark):
