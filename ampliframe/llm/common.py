@@ -27,6 +27,35 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Elements that a scan appends one by one; longer arrays are put together from such pieces.
+SCAN_PIECE = 256
+
+
+def scanned(items: Column, start: Column, kind: str, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column]) -> Column:
+    """``out(carry, item)`` of every item in order, where ``step(carry, item)`` is what an item leaves to the next.
+
+    Appending to an array copies it, so pieces of ``SCAN_PIECE`` items are built one by one and then put together:
+    the cost grows with the power 1.5 of the number of items, with a small factor, not with its square.
+    ``kind`` is the type of what ``out`` gives.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def piece(carry: Column, part: Column) -> Column:
+        first = F.struct(carry.alias("carry"), none.alias("out"))
+        return F.aggregate(part, first, lambda acc, x: F.struct(step(acc["carry"], x).alias("carry"), F.concat(acc["out"], F.array(out(acc["carry"], x)).cast(f"array<{kind}>")).alias("out")))
+
+    def whole(x: Column) -> Column:
+        first = F.struct(start.alias("carry"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        pieces = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.floor((F.size(x) - 1) / SCAN_PIECE).cast("int"))).otherwise(F.array().cast("array<int>"))
+        join = lambda acc, i: bind(
+            piece(acc["carry"], F.slice(x, i * SCAN_PIECE + 1, F.lit(SCAN_PIECE))),
+            lambda r: F.struct(r["carry"].alias("carry"), F.concat(acc["out"], F.array(r["out"])).alias("out")),
+        )
+        return F.flatten(F.aggregate(pieces, first, join, lambda acc: acc["out"]))
+
+    return bind(items, whole)
+
+
 def words(text: Column) -> Column:
     """Words of a text, ``[^\\x20\\x09-\\x0D]+`` in order; none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

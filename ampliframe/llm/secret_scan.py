@@ -18,7 +18,10 @@ the driver).
 Positions are code points, ends exclusive. Defined cases: a null text is
 empty; an empty one has no spans and the hash of the empty string; repeated
 rows are scanned one by one; an empty table gives an empty result; a text of
-any length is scanned whole.
+any length is scanned whole, in time that grows a little faster than its
+length (a token of a million symbols takes seconds); further columns are
+ignored by :func:`scan` and kept, whatever their names, by :func:`redact`.
+Ties: spans with equal starts are in the order of their kinds.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampliframe.llm.common import bind, durable
+from ampliframe.llm.common import bind, durable, free_names, scanned, stored
 
 # The patterns of the three base kinds, in order.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -62,23 +65,21 @@ def _matches(text: Column, pattern: str, item: Callable[[Column, Column, Column]
     """``item(start, match, group)`` of all non-overlapping matches: what lies between two matches is what splitting leaves."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    lengths = F.arrays_zip(
+    parts = F.arrays_zip(
         F.transform(F.split(text, pattern), lambda x: F.length(x)).alias("gap"),
         found.alias("match"),
         groups.alias("group"),
     )
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        new = item(start, x["match"], x["group"])
-        return F.struct(
-            (start + F.length(x["match"])).alias("at"),
-            F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(new))).alias("out"),
-        )
-
-    empty = F.array().cast(f"array<{kind}>")
-    scan = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), scan).otherwise(empty)
+    # the last gap has no match
+    matched = bind(parts, lambda x: F.slice(x, F.lit(1), F.size(x) - 1))
+    scan = scanned(
+        matched,
+        F.lit(0),
+        kind,
+        lambda at, x: at + x["gap"] + F.length(x["match"]),
+        lambda at, x: item(at + x["gap"], x["match"], x["group"]),
+    )
+    return F.when(text.rlike(pattern), scan).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _span(kind: int):
@@ -110,31 +111,59 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def battery(token: Column, alphabet: Column) -> Column:
-    """p-value of a token against uniform randomness over its alphabet: three times the least of three tests."""
+def _tests(t: Column, alphabet: Column) -> Column:
+    """Of a bound token without padding: three times the least p-value of the tests."""
+    symbol = lambda i: F.substring(alphabet, i + 1, F.lit(1))
+    squares = F.aggregate(
+        F.sequence(F.lit(0), F.length(alphabet) - 1),
+        F.lit(0.0),
+        lambda acc, i: acc + F.pow((F.length(t) - F.length(F.replace(t, symbol(i), F.lit("")))).cast("double"), 2),
+    )
+    half = F.length(alphabet) / 2
+
+    def step(acc: Column, c: Column) -> Column:
+        code = (F.instr(alphabet, c) - 1).cast("double")
+        high = F.when(code >= half, 1.0).otherwise(0.0)
+        start = acc["n"] == 0
+        return bind(
+            F.struct(code.alias("x"), high.alias("high")),
+            lambda v: F.struct(
+                (acc["n"] + 1).alias("n"),
+                F.when(start, v["x"]).otherwise(acc["first"]).alias("first"),
+                v["x"].alias("last"),
+                (acc["sum"] + v["x"]).alias("sum"),
+                (acc["squares"] + v["x"] * v["x"]).alias("squares"),
+                (acc["lagged"] + F.when(start, 0.0).otherwise(acc["last"] * v["x"])).alias("lagged"),
+                (acc["high"] + v["high"]).alias("high"),
+                v["high"].alias("side"),
+                (acc["runs"] + F.when(start | (acc["side"] != v["high"]), 1.0).otherwise(0.0)).alias("runs"),
+            ),
+        )
 
-    def tests(codes: Column) -> Column:
-        n = F.size(codes).cast("double")
-        a = F.length(alphabet).cast("double")
-        same = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + F.size(F.filter(codes, lambda d: d == c)))
-        chi, df = same * a / n - n, a - 1
-        p_chi = _upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+    names = ("n", "first", "last", "sum", "squares", "lagged", "high", "side", "runs")
+    zero = F.struct(*[F.lit(0.0).alias(x) for x in names])
+    symbols = F.filter(F.split(t, ""), lambda c: c != "")
+    sums = F.aggregate(symbols, zero, step)
 
-        high = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + F.when(c >= a / 2, 1.0).otherwise(0.0))
-        pairs = F.zip_with(F.slice(codes, 2, F.size(codes) - 1), F.slice(codes, 1, F.size(codes) - 1), lambda y, x: F.struct(x.alias("x"), y.alias("y")))
-        changes = F.aggregate(pairs, F.lit(1.0), lambda acc, p: acc + F.when((p["x"] >= a / 2) != (p["y"] >= a / 2), 1.0).otherwise(0.0))
-        mean = 2 * high * (n - high) / n + 1
+    def judged(v: Column) -> Column:
+        n, a = v["s"]["n"], F.length(alphabet).cast("double")
+        chi, df = v["q"] * a / n - n, a - 1
+        p_chi = _upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+        mean = 2 * v["s"]["high"] * (n - v["s"]["high"]) / n + 1
         var = (mean - 1) * (mean - 2) / (n - 1)
-        p_runs = F.when(var <= 0, 0.0).otherwise(2 * _upper_tail(F.abs(changes - mean) / F.sqrt(var)))
-
-        m = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + c) / n
-        spread = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + (c - m) * (c - m))
-        lagged = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + (p["x"] - m) * (p["y"] - m))
-        p_serial = F.when(spread <= 0, 0.0).otherwise(2 * _upper_tail(F.abs(lagged / spread + 1 / n) * F.sqrt(n)))
+        p_runs = F.when(var <= 0, 0.0).otherwise(2 * _upper_tail(F.abs(v["s"]["runs"] - mean) / F.sqrt(var)))
+        m = v["s"]["sum"] / n
+        spread = v["s"]["squares"] - n * m * m
+        lagged = v["s"]["lagged"] - m * (2 * v["s"]["sum"] - v["s"]["first"] - v["s"]["last"]) + (n - 1) * m * m
+        p_serial = F.when(spread <= 1e-9, 0.0).otherwise(2 * _upper_tail(F.abs(lagged / spread + 1 / n) * F.sqrt(n)))
         return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
-    codes = F.transform(F.split(F.rtrim(token, F.lit("=")), ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    return bind(F.filter(codes, lambda c: c >= 0), tests)
+    return bind(F.struct(sums.alias("s"), squares.alias("q")), judged)
+
+
+def battery(token: Column, alphabet: Column) -> Column:
+    """p-value of a token against uniform randomness over its alphabet: three times the least of three tests. Linear in the token's length."""
+    return bind(F.struct(F.rtrim(token, F.lit("=")).alias("t"), alphabet.alias("a")), lambda x: _tests(x["t"], x["a"]))
 
 
 def candidates(text: Column) -> Column:
@@ -184,8 +213,30 @@ def structured_from(found: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> lis
 def all_spans(base: Column, found: Column, structured: list[int]) -> Column:
     """Base spans and those the battery adds, sorted; a token that touches a base span adds nothing."""
     limit = F.array(*[F.lit(x) for x in structured])
-    extra = F.filter(found, lambda x: (x["cell"] < F.get(limit, x["band"])) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return F.sort_array(F.concat(base, F.transform(extra, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))))
+    random = F.filter(found, lambda x: x["cell"] < F.get(limit, x["band"]))
+    kind = "struct<s:int,k:int,e:int>"
+    as_span = lambda k: lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
+
+    def free(both: Column) -> Column:
+        # from the left, the end of what base spans have covered; from the right, where the next base span begins
+        behind = scanned(
+            both,
+            F.lit(0),
+            kind,
+            lambda end, x: F.when(x["k"] < 3, F.greatest(end, x["e"])).otherwise(end),
+            lambda end, x: F.struct(x["s"].alias("s"), F.when((x["k"] == 3) & (x["s"] < end), 4).otherwise(x["k"]).alias("k"), x["e"].alias("e")),
+        )
+        ahead = scanned(
+            F.reverse(behind),
+            F.lit((1 << 31) - 1),
+            kind,
+            lambda begin, x: F.when(x["k"] < 3, F.least(begin, x["s"])).otherwise(begin),
+            lambda begin, x: F.struct(x["s"].alias("s"), F.when((x["k"] == 3) & (begin < x["e"]), 4).otherwise(x["k"]).alias("k"), x["e"].alias("e")),
+        )
+        return F.sort_array(F.filter(ahead, lambda x: x["k"] < 4))
+
+    tokens = F.transform(random, as_span(3))
+    return F.when(F.size(random) == 0, base).otherwise(free(F.sort_array(F.concat(base, tokens))))
 
 
 def _listed(spans: Column) -> Column:
@@ -211,32 +262,37 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redacted_text(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by a placeholder; overlapping spans share one."""
-
-    def step(acc: Column, x: Column) -> Column:
-        return (
-            F.when(x["e"] <= acc["at"], acc)
-            .when(x["s"] < acc["at"], F.struct(acc["out"].alias("out"), x["e"].alias("at")))
-            .otherwise(
-                F.struct(
-                    F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(PLACEHOLDER)).alias("out"),
-                    x["e"].alias("at"),
-                )
-            )
+    kind = "struct<at:int,s:int,first:boolean>"
+
+    def written(symbols: Column) -> Column:
+        before = scanned(
+            spans,
+            F.lit(0),
+            kind,
+            lambda at, x: F.greatest(at, x["e"]),
+            lambda at, x: F.struct(at.alias("at"), x["s"].alias("s"), (x["s"] >= at).alias("first")),
         )
+        pieces = F.transform(
+            F.filter(before, lambda x: x["first"]),
+            lambda x: F.concat(F.array_join(F.slice(symbols, x["at"] + 1, x["s"] - x["at"]), ""), F.lit(PLACEHOLDER)),
+        )
+        end = F.aggregate(spans, F.lit(0), lambda at, x: F.greatest(at, x["e"]))
+        tail = bind(end, lambda at: F.array_join(F.slice(symbols, at + 1, F.size(symbols)), ""))
+        return F.concat(F.array_join(pieces, ""), tail)
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    )
+    return F.when(F.size(spans) == 0, text).otherwise(bind(F.split(text, ""), written))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets replaced in ``text`` and ``n_chars`` brought up to date; other columns and rows unchanged."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    structured = structured_from(docs.select(candidates(text).alias("candidates")))
-    new = bind(all_spans(base_spans(text), candidates(text), structured), lambda s: F.when(F.size(s) > 0, redacted_text(text, s)))
-    changed = docs.withColumn("_redacted", new)
-    out = {"text": F.coalesce(F.col("_redacted"), F.col("text"))}
+    base, found, spans, new = free_names(docs.columns, "base", "candidates", "spans", "redacted")
+    # the texts are scanned once: the false-discovery control needs all of them before any is redacted
+    scanned_docs = stored(docs.withColumns({base: base_spans(text), found: candidates(text)}), "scanned")
+    structured = structured_from(scanned_docs.select(F.col(found).alias("candidates")))
+    judged = scanned_docs.withColumn(spans, all_spans(F.col(base), F.col(found), structured))
+    changed = judged.withColumn(new, bind(F.col(spans), lambda s: F.when(F.size(s) > 0, redacted_text(text, s))))
+    out = {"text": F.coalesce(F.col(new), F.col("text"))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_redacted").isNull(), F.col("n_chars")).otherwise(F.length("_redacted")).cast(docs.schema["n_chars"].dataType)
-    return changed.withColumns(out).drop("_redacted")
+        out["n_chars"] = F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return changed.withColumns(out).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 
 import xxhash
@@ -73,3 +74,35 @@ def classes(ids, linked):
         if x is not None:
             least[find(i)] = min(x, least.get(find(i), x))
     return [least.get(find(i)) for i in range(len(ids))]
+
+
+def upper_tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def battery(token, alphabet):
+    """Three times the least p-value of chi-squared, runs and lag-1 serial correlation, by their formulas."""
+    codes = [alphabet.index(c) for c in token.rstrip("=")]
+    n, a = len(codes), len(alphabet)
+    chi = sum((codes.count(i) - n / a) ** 2 / (n / a) for i in range(a))
+    spread = 2 / (9 * (a - 1))
+    p = [upper_tail(((chi / (a - 1)) ** (1 / 3) - 1 + spread) / math.sqrt(spread))]
+    high = [2 * c >= a for c in codes]
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False))
+    mean = 2 * sum(high) * (n - sum(high)) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p.append(0 if var <= 0 else 2 * upper_tail(abs(runs - mean) / math.sqrt(var)))
+    m = sum(codes) / n
+    squares = sum((c - m) ** 2 for c in codes)
+    lagged = sum((x - m) * (y - m) for x, y in zip(codes, codes[1:], strict=False))
+    p.append(0 if squares == 0 else 2 * upper_tail(abs(lagged / squares + 1 / n) * math.sqrt(n)))
+    return min(1.0, 3 * min(p))
+
+
+def redacted(text, spans):
+    out, at = [], 0
+    for s, _, e in spans:
+        if s >= at:
+            out += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
