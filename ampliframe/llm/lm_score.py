@@ -3,17 +3,26 @@
 A target model (documents labelled as of high quality) and a background model
 (all documents) share one vocabulary, one order (bigrams) and one smoothing,
 so that a document's score, the mean over its words of the difference of their
-losses, tells how much more like the target it is than like the corpus.
+losses, tells how much more like the target it is than like the corpus. With c
+the word before w (or the start of the text), a model gives w the probability
+(n(c, w) + K p(w)) / (n(c) + K), where p is its add-one unigram model.
 
-Both models count all words and all bigrams of the corpus, in tables that grow
-with it and stay distributed: every text's bigrams, once each with their
-number, are joined with the losses of that bigram in both models and summed by
-text. Copies of a text add up in numerator and denominator of its mean alike.
+Both models count all words and all bigrams of the corpus and grow with it.
+Only what is frequent is sent to every task, ``FREQUENT_WORDS`` words and
+``FREQUENT_PAIRS`` bigrams at most with their counts over all documents. All
+other bigrams travel once, without being counted first: those of a rare word
+to one place, those of a frequent word by the bigram. There all occurrences
+meet, so the counts of the bigram, of a rare word and of a rare context are
+sums in place, and what goes back is a sum of losses by text. They travel
+packed, a row per task and part; parts have ``PART_WORDS`` words of the corpus
+each, so their number grows with it, not their size.
 
 Defined cases: a null or empty text has 0 words and null scores; repeated rows
-count as often as they occur; null ids match no label; without any labelled
-document the target model is uniform over all words; empty tables give
-empty results; texts of any length are scored whole.
+count as often as they occur, and copies of a text have one score; null ids
+match no label; without any labelled document the target model is uniform over
+all words; empty tables give empty results; texts of any length are scored
+whole; words as frequent as the last one told apart may be left to the rare
+ones, which changes the work only; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,104 +34,356 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliframe.llm.common import durable, words
-from ampliframe.llm.tokens import chunks, lowered, word_hashes, word_spans
+from ampliframe.llm.common import stored, words
+from ampliframe.llm.tokens import chunks, lowered, mixed, word_hashes, word_spans
 
 #: Weight of the unigram model in a word's context, in words.
 PRIOR_WORDS = 20.0
+#: Words and bigrams whose counts every task has; a word's number has 16 bits.
+FREQUENT_WORDS, FREQUENT_PAIRS = 1 << 16, 1 << 17
+#: Part of the texts in which frequent bigrams are looked for; they are then counted in all.
+SAMPLE_PART = 32
+PART_WORDS = 1 << 21
+START = np.uint64(0x5851F42D4C957F2D)
 _HELD = 1 << 20
+_COUNTS = ("ub", "ut", "cb", "ct")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``h, n``: hash and number of every distinct word of all texts."""
+def _pair_hashes(c: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(mixed(c + START) ^ w)
+
+
+def _word_arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a column of texts, in parts: row of each word, the word's hash, that of the word before (or START), and whether it ends its text."""
+    for lo, hi, data, offsets in chunks(column):
+        data = lowered(data)
+        starts, ends, first = word_spans(data, offsets)
+        w = word_hashes(data, starts, ends)
+        if not len(w):
+            continue
+        row = np.repeat(np.arange(lo, hi), np.diff(first))
+        c = np.empty_like(w)
+        c[1:] = w[:-1]
+        head = np.ones(len(w), bool)
+        head[1:] = row[1:] != row[:-1]
+        c[head] = START
+        yield row, w, c, np.concatenate([head[1:], [True]])
+
+
+class _Sums:
+    """Sums by 64-bit value, in bounded memory: what it holds beyond ``_HELD`` values is given out."""
+
+    def __init__(self, columns: int):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.columns = 0, columns
+
+    def add(self, values: np.ndarray, *amounts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """``amounts`` of each value by column; None: one each."""
+        found, place = np.unique(values, return_inverse=True)
+        sums = [np.bincount(place, x, len(found)).astype(np.int64) for x in amounts]
+        self.parts.append((found, np.stack(sums, axis=1)))
+        self.size += len(found)
+        if self.size > _HELD:
+            merged = self._merged()
+            if len(merged[0]) > _HELD // 2:
+                self.parts, self.size = [], 0
+                yield self._batch(merged)
+            else:
+                self.parts, self.size = [merged], len(merged[0])
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        values, place = np.unique(np.concatenate([v for v, _ in self.parts]), return_inverse=True)
+        sums = np.concatenate([s for _, s in self.parts])
+        return values, np.stack([np.bincount(place, sums[:, k], len(values)).astype(np.int64) for k in range(self.columns)], axis=1)
+
+    def _batch(self, merged: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        values, sums = merged
+        columns = [pa.array(np.ascontiguousarray(sums[:, k])) for k in range(self.columns)]
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *columns], ["h", *_COUNTS[: self.columns]])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield self._batch(self._merged())
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Of rows ``chosen, text``: ``h, ub, ut, cb, ct`` of every distinct word: how often it is a word and a context, in all texts and in the chosen ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sizes, total = [], [], 0
+        sums = _Sums(4)
+        for batch in batches:
+            chosen = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for row, w, _, last in _word_arrays(batch.column(1)):
+                yield from sums.add(w, None, chosen[row], ~last, ~last & chosen[row])
+        yield from sums.rest()
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            values, place = np.unique(np.concatenate(held), return_inverse=True)
-            return values, np.bincount(place, np.concatenate(sizes)).astype(np.int64)
+    found = rows.select("chosen", "text").mapInArrow(run, "h long, ub long, ut long, cb long, ct long")
+    return found.groupBy("h").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
+
+def _most(counts: DataFrame, column: str, limit: int) -> pa.Table:
+    """The rows with the largest values of ``column``, ``limit`` of them at most: cut off by bins of values, so that no more rows reach the driver."""
+    step = F.floor(F.log2(column) * 16).cast("int")
+    wanted, least = 0, None
+    for r in counts.groupBy(step.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect():
+        wanted += r["n"]
+        if wanted > limit:
+            break
+        least = r["bin"]
+    return (counts.where(step >= least) if least is not None else counts.where("false")).orderBy("h").toArrow()
+
+
+class _Frequent:
+    """Counts by sorted 64-bit value."""
+
+    def __init__(self, table: pa.Table, names: tuple[str, ...]):
+        h = table.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        self.h = h[order]
+        self.counts = np.stack([table.column(c).to_numpy()[order].astype(np.float64) for c in names], axis=1) if len(h) else np.zeros((0, len(names)))
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        """Place of each value, or -1."""
+        if not len(self.h):
+            return np.full(len(values), -1)
+        at = np.minimum(np.searchsorted(self.h, values), len(self.h) - 1)
+        return np.where(self.h[at] == values, at, -1)
+
+
+def _frequent_pairs(rows: DataFrame, limit: int = FREQUENT_PAIRS) -> _Frequent:
+    """Bigrams that a part of the texts has most, with their counts in all texts and in the chosen ones."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(1)
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
-                data = lowered(data)
-                starts, ends, _ = word_spans(data, offsets)
-                values, n = np.unique(word_hashes(data, starts, ends), return_counts=True)
-                held.append(values)
-                sizes.append(n)
-                total += len(values)
-                if total > _HELD:
-                    values, n = merged()
-                    if len(values) > _HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["h", "n"])
-                        held, sizes, total = [], [], 0
-                    else:
-                        held, sizes, total = [values], [n], len(values)
-        if held:
-            values, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["h", "n"])
+            for _, w, c, _ in _word_arrays(batch.column(0)):
+                yield from sums.add(_pair_hashes(c, w), None)
+        yield from sums.rest()
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    part = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_PART)) == 0)
+    seen = stored(part.mapInArrow(look, "h long, ub long").groupBy("h").agg(F.sum("ub").alias("ub")).where("ub > 1"), "sampled-bigrams")
+    wanted = np.sort(_most(seen, "ub", limit).column("h").to_numpy().view(np.uint64))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(wanted), 2), np.int64)
+        for batch in batches if len(wanted) else ():
+            chosen = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for row, w, c, _ in _word_arrays(batch.column(1)):
+                h = _pair_hashes(c, w)
+                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                hit = wanted[at] == h
+                total[:, 0] += np.bincount(at[hit], minlength=len(wanted))
+                total[:, 1] += np.bincount(at[hit & chosen[row]], minlength=len(wanted))
+        some = np.flatnonzero(total[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some, 0]), pa.array(total[some, 1])], ["h", "ub", "ut"])
 
-def text_bigrams(rows: DataFrame) -> DataFrame:
-    """``key, chosen, c, w, n``: of every row ``key, chosen, text`` its distinct bigrams and how often it has them; ``c`` is null at the start of a text."""
+    counted = rows.select("chosen", "text").mapInArrow(count, "h long, ub long, ut long").groupBy("h").agg(F.sum("ub").alias("ub"), F.sum("ut").alias("ut"))
+    return _Frequent(counted.toArrow(), ("ub", "ut"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class _Model:
+    """What every task knows: totals, and the counts of frequent words and bigrams. Column 0 is the background, column 1 the target."""
+
+    def __init__(self, totals: np.ndarray, texts: np.ndarray, size: int, words: _Frequent, pairs: _Frequent):
+        self.texts, self.words, self.pairs = texts, words, pairs
+        self.prior = PRIOR_WORDS / np.maximum(totals + size, 1.0)
+
+    def pair_losses(self, pairs: np.ndarray, unigrams: np.ndarray) -> np.ndarray:
+        return -np.log(pairs + self.prior * (unigrams + 1))
+
+    def context_losses(self, contexts: np.ndarray) -> np.ndarray:
+        return np.log(contexts + PRIOR_WORDS)
+
+
+_SCORED = "part long, packed binary, key long, n long, lb double, lt double"
+_FREQUENT_WORD = np.dtype([("g", "<u8"), ("word", "<u2"), ("text", "<u2"), ("n", "<u2")])
+_RARE_WORD = np.dtype([("g", "<u8"), ("h", "<u8"), ("text", "<u2"), ("n", "<u2")])
+_CONTEXT = np.dtype([("g", "<u8"), ("text", "<u2"), ("n", "<u2")])
+_KINDS = (_FREQUENT_WORD, _RARE_WORD, _CONTEXT)
+_TEXTS = np.dtype([("key", "<i8"), ("chosen", "u1")])
+_MOST = (1 << 16) - 1
+
+
+def _runs(text: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one of each equal (text, values), and how many there are; at most ``_MOST`` are counted at a time."""
+    order = np.lexsort((*values, text))
+    new = np.ones(len(order), bool)
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for x in (text, *values):
+        same &= x[order][1:] == x[order][:-1]
+    new[1:] = ~same
+    at = np.flatnonzero(new)
+    n = np.diff(at, append=len(order))
+    times = -(-n // _MOST)
+    count = np.full(times.sum(), _MOST)
+    count[np.cumsum(times) - 1] = n - (times - 1) * _MOST
+    return order[np.repeat(at, times)], count
+
+
+def _packed(kind: np.dtype, **fields: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(fields["g"]), kind)
+    for name, x in fields.items():
+        out[name] = x
+    return out
+
+
+def _scored_here(model: _Model, parts: int, key: np.ndarray, chosen: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Of at most ``_MOST`` texts: their losses by what is frequent, and what is left of them, packed by part."""
+    n, sums = np.zeros(len(key), np.int64), np.zeros((len(key), 2))
+    left: list[list[np.ndarray]] = [[], [], []]
+    for row, w, c, _ in _word_arrays(texts):
+        n += np.bincount(row, minlength=len(key))
+        word, context = model.words.places(w), model.words.places(c)
+        start = c == START
+        losses = np.zeros((len(w), 2))
+        known = np.flatnonzero(context >= 0)
+        losses[known] += model.context_losses(model.words.counts[context[known], 2:])
+        losses[start] += model.context_losses(model.texts)
+        h = _pair_hashes(c, w)
+        pair = np.where(word >= 0, model.pairs.places(h), -1)
+        known = np.flatnonzero(pair >= 0)
+        losses[known] += model.pair_losses(model.pairs.counts[pair[known]], model.words.counts[word[known], :2])
+        for k in (0, 1):
+            sums[:, k] += np.bincount(row, losses[:, k], len(key))
+        some = np.flatnonzero((pair < 0) & (word >= 0))
+        at, times = _runs(row[some], h[some])
+        at = some[at]
+        left[0].append(_packed(_FREQUENT_WORD, g=h[at], word=word[at], text=row[at], n=times))
+        some = np.flatnonzero(word < 0)
+        at, times = _runs(row[some], h[some])
+        at = some[at]
+        left[1].append(_packed(_RARE_WORD, g=w[at], h=h[at], text=row[at], n=times))
+        some = np.flatnonzero((context < 0) & ~start)
+        at, times = _runs(row[some], c[some])
+        at = some[at]
+        left[2].append(_packed(_CONTEXT, g=c[at], text=row[at], n=times))
+    some = np.flatnonzero(n)
+    if not len(some):
+        return
+    spread = (mixed(key[some].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    nothing = pa.nulls(len(some), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(spread), nothing, pa.array(key[some]), pa.array(n[some]), pa.array(sums[some, 0]), pa.array(sums[some, 1])], ["part", "packed", "key", "n", "lb", "lt"])
+    rows, numbers = [], []
+    for kind, found in zip(_KINDS, left, strict=True):
+        x = np.concatenate([np.zeros(0, kind), *found])
+        part = (mixed(x["g"]) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        rows.append(x[order])
+        numbers.append(part[order])
+    present = np.unique(np.concatenate(numbers))
+    cuts = [np.searchsorted(x, present).tolist() + [len(x)] for x in numbers]
+    own, packed = [], []
+    for i, p in enumerate(present.tolist()):
+        mine = [x[c[i] : c[i + 1]] for x, c in zip(rows, cuts, strict=True)]
+        used = np.unique(np.concatenate([x["text"] for x in mine]))
+        head = np.zeros(len(used), _TEXTS)
+        head["key"], head["chosen"] = key[used], chosen[used]
+        blob = [np.array([len(used), *map(len, mine)], "<i8").tobytes(), head.tobytes()]
+        for x in mine:
+            x = x.copy()
+            x["text"] = np.searchsorted(used, x["text"])
+            blob.append(x.tobytes())
+        own.append(p)
+        packed.append(b"".join(blob))
+    if own:
+        k = len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], ["part", "packed", "key", "n", "lb", "lt"])
+
+
+def _sum_by(values: tuple[np.ndarray, ...], n: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Of every row, the sums over the rows with equal values: of all and of chosen texts."""
+    order = np.lexsort(values)
+    new = np.ones(len(order), bool)
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for x in values:
+        same &= x[order][1:] == x[order][:-1]
+    new[1:] = ~same
+    group = np.cumsum(new) - 1
+    out = np.zeros((len(order), 2))
+    for k, x in enumerate((n[order], (n * chosen)[order])):
+        out[order, k] = np.bincount(group, x)[group] if len(order) else 0
+    return out
+
+
+def _scored_together(model: _Model, blobs: list[bytes]) -> pa.RecordBatch:
+    """Of all packed rows of a part: the sum of losses of each text in each blob."""
+    heads, kinds, at = [], ([], [], []), 0
+    for blob in blobs:
+        sizes = np.frombuffer(blob, "<i8", 4)
+        heads.append(np.frombuffer(blob, _TEXTS, sizes[0], 32))
+        place = 32 + sizes[0] * _TEXTS.itemsize
+        for kind, size, out in zip(_KINDS, sizes[1:].tolist(), kinds, strict=True):
+            x = np.frombuffer(blob, kind, size, place)
+            out.append((x, x["text"].astype(np.int64) + at))
+            place += size * kind.itemsize
+        at += int(sizes[0])
+    head = np.concatenate(heads)
+    sums = np.zeros((len(head), 2))
+    for i, found in enumerate(kinds):
+        x, text = np.concatenate([r for r, _ in found]), np.concatenate([t for _, t in found])
+        if not len(x):
+            continue
+        n, chosen = x["n"].astype(np.float64), head["chosen"][text]
+        together = _sum_by((x["g"],), n, chosen)
+        if i == 0:
+            losses = model.pair_losses(together, model.words.counts[x["word"], :2])
+        elif i == 1:
+            losses = model.pair_losses(_sum_by((x["h"], x["g"]), n, chosen), together)
+        else:
+            losses = model.context_losses(together)
+        for k in (0, 1):
+            sums[:, k] += np.bincount(text, n * losses[:, k], len(head))
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(head["key"])), pa.array(np.zeros(len(head), np.int64)), pa.array(np.ascontiguousarray(sums[:, 0])), pa.array(np.ascontiguousarray(sums[:, 1]))], ["key", "n", "lb", "lt"])
+
+
+def text_losses(rows: DataFrame, frequent_words: int = FREQUENT_WORDS, frequent_pairs: int = FREQUENT_PAIRS, part_words: int = PART_WORDS) -> DataFrame:
+    """Of rows ``key, chosen, text``: ``key, n, lb, lt``, words and losses of the text; copies of a text add up."""
+    counts = stored(word_counts(rows), "words")
+    total = counts.agg(F.sum("ub"), F.sum("ut"), F.sum("cb"), F.sum("ct"), F.count("*")).collect()[0]
+    ub, ut, cb, ct, size = (x or 0 for x in total)
+    frequent = _Frequent(_most(counts, "ub", min(frequent_words, _MOST)), _COUNTS)
+    # every text begins once: as many as words that end one
+    model = _Model(np.array([ub, ut], float), np.array([ub - cb, ut - ct], float), size, frequent, _frequent_pairs(rows, frequent_pairs))
+    known = rows.sparkSession.sparkContext.broadcast(model)
+    parts = max(1, -(-int(ub) // part_words))
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, chosen = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for lo, hi, data, offsets in chunks(batch.column(2)):
-                data = lowered(data)
-                starts, ends, first = word_spans(data, offsets)
-                w = word_hashes(data, starts, ends)
-                if not len(w):
-                    continue
-                text = np.repeat(np.arange(lo, hi), np.diff(first))
-                c = np.empty_like(w)
-                c[1:] = w[:-1]
-                head = np.ones(len(w), bool)
-                head[1:] = text[1:] != text[:-1]
-                c[head] = 0
-                order = np.lexsort((w, c, head, text))
-                text, head, c, w = text[order], head[order], c[order], w[order]
-                new = np.ones(len(w), bool)
-                new[1:] = (text[1:] != text[:-1]) | (head[1:] != head[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-                at = np.flatnonzero(new)
-                n = np.diff(at, append=len(w))
-                columns = [pa.array(key[text[at]]), pa.array(chosen[text[at]].astype(bool)), pa.array(c[at].view(np.int64), mask=head[at]), pa.array(w[at].view(np.int64)), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "chosen", "c", "w", "n"])
-
-    return rows.select("key", "chosen", "text").mapInArrow(run, "key long, chosen boolean, c long, w long, n long")
-
-
-def bigram_losses(bigrams: DataFrame) -> DataFrame:
-    """``c, w, lt, lb`` of every bigram: its loss in the target and in the background model, with Dirichlet smoothing towards add-one unigrams."""
-    sums = [F.sum("t").alias("t"), F.sum("b").alias("b")]
-    pairs = durable(bigrams.groupBy("c", "w").agg(F.sum(F.when(F.col("chosen"), F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("b")))
-    contexts = pairs.groupBy("c").agg(*sums).withColumnsRenamed({"c": "_c", "t": "ct", "b": "cb"})
-    unigrams = durable(pairs.groupBy("w").agg(*sums).withColumnsRenamed({"t": "ut", "b": "ub"}))
-    totals = unigrams.agg(F.sum("ut"), F.sum("ub"), F.count("*")).collect()[0]
-    every, size = (totals[0] or 0, totals[1] or 0), totals[2]
-
-    def loss(k: int, n: str, context: str, unigram: str):
-        prior = PRIOR_WORDS * (F.col(unigram) + 1) / float(every[k] + size or 1)
-        return -F.log((F.col(n) + prior) / (F.col(context) + PRIOR_WORDS))
-
-    both = pairs.join(unigrams, "w").join(contexts, F.col("c").eqNullSafe(F.col("_c")))
-    return both.select("c", "w", loss(0, "t", "ct", "ut").alias("lt"), loss(1, "b", "cb", "ub").alias("lb"))
-
-
-def score(docs: DataFrame, target: DataFrame) -> DataFrame:
+            for lo in range(0, batch.num_rows, _MOST):
+                part = batch.slice(lo, _MOST)
+                key, chosen = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                yield from _scored_here(known.value, parts, key, chosen.astype(bool), part.column(2))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            done = batch.filter(batch.column(1).is_null())
+            if done.num_rows:
+                yield done.select(["key", "n", "lb", "lt"])
+            rest = batch.filter(batch.column(1).is_valid())
+            for part, blob in zip(rest.column(0).to_pylist(), rest.column(1).to_pylist(), strict=True):
+                if part != at and held:
+                    yield _scored_together(known.value, held)
+                    held = []
+                at = part
+                held.append(blob)
+        if held:
+            yield _scored_together(known.value, held)
+
+    dealt = rows.select("key", "chosen", "text").mapInArrow(here, _SCORED).repartition(parts, "part").sortWithinPartitions("part")
+    sums = dealt.mapInArrow(together, "key long, n long, lb double, lt double")
+    return sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "lb", "lt")])
+
+
+def score(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, loss_difference`` of every row (losses are means in nats; lower difference: more like the target)."""
-    wanted = target.select(F.col("doc_id").alias("_wanted")).where("_wanted is not null").distinct()
+    # written, so that Spark knows its size when it chooses how to join
+    wanted = stored(target.select(F.col("doc_id").alias("_wanted")).where("_wanted is not null").distinct(), "targets")
     text = F.coalesce("text", F.lit(""))
-    # labels grow with the corpus: one way of joining them at every size
-    rows = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_wanted"), "left")
+    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_wanted"), "left")
     rows = rows.select(F.xxhash64(text).alias("key"), F.col("_wanted").isNotNull().alias("chosen"), text.alias("text"))
-    losses = bigram_losses(text_bigrams(rows)).withColumnsRenamed({"c": "_c", "w": "_w"})
-    own = text_bigrams(docs.select(F.xxhash64(text).alias("key"), F.lit(False).alias("chosen"), text.alias("text")))
-    met = own.join(losses, (F.col("w") == F.col("_w")) & F.col("c").eqNullSafe(F.col("_c")))
-    mean = lambda x: (F.sum(F.col("n") * F.col(x)) / F.sum("n")).alias(x)
-    means = met.groupBy("key").agg(mean("lt"), mean("lb"))
+    sums = text_losses(rows, **options)
+    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    means = sums.select("key", mean("lb").alias("lb"), mean("lt").alias("lt"))
     every = docs.select("doc_id", F.xxhash64(text).alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_tokens")).join(means, "key", "left")
     return every.select("doc_id", "n_tokens", F.col("lt").alias("target_loss"), F.col("lb").alias("background_loss"), (F.col("lt") - F.col("lb")).alias("loss_difference"))

@@ -296,7 +296,7 @@ def test_language_models(spark, docs, empty):
     assert all(i % 3 == 0 for i in order[:15])
     assert got[90]["n_tokens"] == got[91]["n_tokens"] == 0 and got[90]["loss_difference"] is None
     plain = collections.Counter(w for _, t in rows for w in brute.words((t or "").lower()))
-    assert sorted(r["n"] for r in lm_score.word_counts(df).collect()) == sorted(plain.values())
+    assert sorted(r["ub"] for r in lm_score.word_counts(df.withColumn("chosen", F.lit(False))).collect()) == sorted(plain.values())
     assert lm_score.score(docs, labels).count() == docs.count()
     assert lm_score.score(empty, labels).count() == 0
 
@@ -494,9 +494,11 @@ def test_battery_sees_values_after_an_equals_sign(spark):
     assert sum(x.startswith("random:") for x in spans) >= 55
 
 
-def test_language_models_count_all_words_and_bigrams(spark):
+@pytest.mark.parametrize("few", [None, 0, 300])
+def test_language_models_count_all_words_and_bigrams(spark, few):
     rng = random.Random(31)
     made = [" ".join(f"w{rng.randrange(30_000)}" for _ in range(150)) for _ in range(300)] + ["a b a b c", "a b a b c", ""]
+    made += ["A b " * 40_000, "w1 w2 w3 " * 30]
     made += [" ".join(f"x{i}" for i in range(k, k + 2000)) for k in range(0, 40_000, 2000)]
     chosen = set(range(0, 300, 4)) | {300}
     counts = [collections.defaultdict(collections.Counter) for _ in range(2)]
@@ -514,9 +516,11 @@ def test_language_models_count_all_words_and_bigrams(spark):
         return -sum(map(np.log, p)) / len(p)
 
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r for r in lm_score.score(df, spark.createDataFrame([(i,) for i in chosen], "doc_id long")).collect()}
+    target = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
+    options = {} if few is None else {"frequent_words": few, "frequent_pairs": few, "part_words": 5000}
+    got = {r["doc_id"]: r for r in lm_score.score(df, target, **options).collect()}
     assert size > 1 << 14 and len(got) == len(made) and got[302]["target_loss"] is None
-    for i in (0, 1, 2, 299, 300, 301, 303, 322):
+    for i in set(range(len(made))) - {302}:
         assert got[i]["n_tokens"] == len(made[i].split())
         assert got[i]["target_loss"] == pytest.approx(loss(0, made[i]))
         assert got[i]["background_loss"] == pytest.approx(loss(1, made[i]))
