@@ -10,12 +10,15 @@ the word before w (or the start of the text), a model gives w the probability
 Both models count all words and all bigrams of the corpus and grow with it.
 Only what is frequent is sent to every task, ``FREQUENT_WORDS`` words and
 ``FREQUENT_PAIRS`` bigrams at most with their counts over all documents. All
-other bigrams travel once, without being counted first: those of a rare word
-to one place, those of a frequent word by the bigram. There all occurrences
-meet, so the counts of the bigram, of a rare word and of a rare context are
-sums in place, and what goes back is a sum of losses by text. They travel
-packed, a row per task and part; parts have ``PART_WORDS`` words of the corpus
-each, so their number grows with it, not their size.
+other bigrams travel once, without being counted first: those that end in a
+rare word to one place, those of a frequent word by the bigram. There all
+occurrences meet, so the counts of the bigram, of a rare word and of a rare
+context are sums in place, and what goes back is a sum of losses by text. They
+travel packed, a row per task and part, hashes in 48 bits under the number of
+the part; parts have ``PART_WORDS`` words of the corpus each, so their number
+grows with it, not their size. The texts of the target are found by a join
+behind a Bloom filter of fixed size, so that only they are shuffled; they pass
+once more, to be counted and not scored.
 
 Defined cases: a null or empty text has 0 words and null scores; repeated rows
 count as often as they occur, and copies of a text have one score; null ids
@@ -43,10 +46,11 @@ PRIOR_WORDS = 20.0
 FREQUENT_WORDS, FREQUENT_PAIRS = 1 << 16, 1 << 17
 #: Part of the texts in which frequent bigrams are looked for; they are then counted in all.
 SAMPLE_PART = 32
-PART_WORDS = 1 << 21
+PART_WORDS = 1 << 22
+#: 64-bit words of the Bloom filter for the target's ids.
+FILTER_WORDS = 1 << 18
 START = np.uint64(0x5851F42D4C957F2D)
 _HELD = 1 << 20
-_COUNTS = ("ub", "ut", "cb", "ct")
 
 
 def _pair_hashes(c: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -71,54 +75,43 @@ def _word_arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 
 class _Sums:
-    """Sums by 64-bit value, in bounded memory: what it holds beyond ``_HELD`` values is given out."""
+    """Counts of 64-bit values, in bounded memory: what it holds beyond ``_HELD`` values is given out."""
 
-    def __init__(self, columns: int):
+    def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size, self.columns = 0, columns
-
-    def add(self, values: np.ndarray, *amounts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        """``amounts`` of each value by column; None: one each."""
-        found, place = np.unique(values, return_inverse=True)
-        sums = [np.bincount(place, x, len(found)).astype(np.int64) for x in amounts]
-        self.parts.append((found, np.stack(sums, axis=1)))
-        self.size += len(found)
+        self.size = 0
+
+    def add(self, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(np.unique(values, return_counts=True))
+        self.size += len(self.parts[-1][0])
         if self.size > _HELD:
-            merged = self._merged()
-            if len(merged[0]) > _HELD // 2:
-                self.parts, self.size = [], 0
-                yield self._batch(merged)
-            else:
-                self.parts, self.size = [merged], len(merged[0])
+            self.parts = [self._merged()]
+            self.size = len(self.parts[0][0])
+            if self.size > _HELD // 2:
+                yield from self.rest()
 
     def _merged(self) -> tuple[np.ndarray, np.ndarray]:
         values, place = np.unique(np.concatenate([v for v, _ in self.parts]), return_inverse=True)
-        sums = np.concatenate([s for _, s in self.parts])
-        return values, np.stack([np.bincount(place, sums[:, k], len(values)).astype(np.int64) for k in range(self.columns)], axis=1)
-
-    def _batch(self, merged: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        values, sums = merged
-        columns = [pa.array(np.ascontiguousarray(sums[:, k])) for k in range(self.columns)]
-        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *columns], ["h", *_COUNTS[: self.columns]])
+        return values, np.bincount(place, np.concatenate([n for _, n in self.parts])).astype(np.int64)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
-            yield self._batch(self._merged())
+            values, n = self._merged()
+            self.parts, self.size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """Of rows ``chosen, text``: ``h, ub, ut, cb, ct`` of every distinct word: how often it is a word and a context, in all texts and in the chosen ones."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``h, n``: hash and number of every distinct word of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(4)
+        sums = _Sums()
         for batch in batches:
-            chosen = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for row, w, _, last in _word_arrays(batch.column(1)):
-                yield from sums.add(w, None, chosen[row], ~last, ~last & chosen[row])
+            for _, w, _, _ in _word_arrays(batch.column(0)):
+                yield from sums.add(w)
         yield from sums.rest()
 
-    found = rows.select("chosen", "text").mapInArrow(run, "h long, ub long, ut long, cb long, ct long")
-    return found.groupBy("h").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _most(counts: DataFrame, column: str, limit: int) -> pa.Table:
@@ -133,59 +126,62 @@ def _most(counts: DataFrame, column: str, limit: int) -> pa.Table:
     return (counts.where(step >= least) if least is not None else counts.where("false")).orderBy("h").toArrow()
 
 
-class _Frequent:
-    """Counts by sorted 64-bit value."""
+def _place(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of each value among sorted ones, or -1."""
+    if not len(known):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
 
-    def __init__(self, table: pa.Table, names: tuple[str, ...]):
-        h = table.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        self.h = h[order]
-        self.counts = np.stack([table.column(c).to_numpy()[order].astype(np.float64) for c in names], axis=1) if len(h) else np.zeros((0, len(names)))
 
-    def places(self, values: np.ndarray) -> np.ndarray:
-        """Place of each value, or -1."""
-        if not len(self.h):
-            return np.full(len(values), -1)
-        at = np.minimum(np.searchsorted(self.h, values), len(self.h) - 1)
-        return np.where(self.h[at] == values, at, -1)
+def _sorted_hashes(table: pa.Table) -> np.ndarray:
+    return np.sort(table.column("h").to_numpy().view(np.uint64))
 
 
-def _frequent_pairs(rows: DataFrame, limit: int = FREQUENT_PAIRS) -> _Frequent:
-    """Bigrams that a part of the texts has most, with their counts in all texts and in the chosen ones."""
+def _frequent_pairs(docs: DataFrame, limit: int) -> np.ndarray:
+    """Sorted hashes of the bigrams that a part of the texts has most."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(1)
+        sums = _Sums()
         for batch in batches:
             for _, w, c, _ in _word_arrays(batch.column(0)):
-                yield from sums.add(_pair_hashes(c, w), None)
+                yield from sums.add(_pair_hashes(c, w))
         yield from sums.rest()
 
-    part = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_PART)) == 0)
-    seen = stored(part.mapInArrow(look, "h long, ub long").groupBy("h").agg(F.sum("ub").alias("ub")).where("ub > 1"), "sampled-bigrams")
-    wanted = np.sort(_most(seen, "ub", limit).column("h").to_numpy().view(np.uint64))
+    part = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_PART)) == 0)
+    return _sorted_hashes(_most(stored(part.mapInArrow(look, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "sampled-bigrams"), "n", limit))
+
+
+def _counted(docs: DataFrame, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over all texts: how often each of ``words`` is a word and a context, how often each of ``pairs`` occurs, and the numbers of words and of texts with words."""
+    cells = 2 * len(words) + len(pairs) + 2
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(wanted), 2), np.int64)
-        for batch in batches if len(wanted) else ():
-            chosen = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for row, w, c, _ in _word_arrays(batch.column(1)):
-                h = _pair_hashes(c, w)
-                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                hit = wanted[at] == h
-                total[:, 0] += np.bincount(at[hit], minlength=len(wanted))
-                total[:, 1] += np.bincount(at[hit & chosen[row]], minlength=len(wanted))
-        some = np.flatnonzero(total[:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some, 0]), pa.array(total[some, 1])], ["h", "ub", "ut"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for _, w, c, _ in _word_arrays(batch.column(0)):
+                for first, known, values in ((0, words, w), (len(words), words, c), (2 * len(words), pairs, _pair_hashes(c, w))):
+                    at = _place(known, values)
+                    total[first : first + len(known)] += np.bincount(at[at >= 0], minlength=len(known))
+                total[-2:] += len(w), int((c == START).sum())
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
-    counted = rows.select("chosen", "text").mapInArrow(count, "h long, ub long, ut long").groupBy("h").agg(F.sum("ub").alias("ub"), F.sum("ut").alias("ut"))
-    return _Frequent(counted.toArrow(), ("ub", "ut"))
+    out = np.zeros(cells)
+    found = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    k = len(words)
+    return out[: 2 * k].reshape(2, k).T, out[2 * k : -2], out[-2:]
 
 
 class _Model:
     """What every task knows: totals, and the counts of frequent words and bigrams. Column 0 is the background, column 1 the target."""
 
-    def __init__(self, totals: np.ndarray, texts: np.ndarray, size: int, words: _Frequent, pairs: _Frequent):
-        self.texts, self.words, self.pairs = texts, words, pairs
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, counted: tuple, size: int):
+        self.words, self.pairs = words, pairs
+        self.unigrams, self.contexts = (np.stack([c[0][:, k] for c in counted], axis=1) for k in (0, 1))
+        self.bigrams = np.stack([c[1] for c in counted], axis=1)
+        totals, self.texts = (np.array([c[2][k] for c in counted]) for k in (0, 1))
         self.prior = PRIOR_WORDS / np.maximum(totals + size, 1.0)
 
     def pair_losses(self, pairs: np.ndarray, unigrams: np.ndarray) -> np.ndarray:
@@ -196,102 +192,102 @@ class _Model:
 
 
 _SCORED = "part long, packed binary, key long, n long, lb double, lt double"
-_FREQUENT_WORD = np.dtype([("g", "<u8"), ("word", "<u2"), ("text", "<u2"), ("n", "<u2")])
-_RARE_WORD = np.dtype([("g", "<u8"), ("h", "<u8"), ("text", "<u2"), ("n", "<u2")])
-_CONTEXT = np.dtype([("g", "<u8"), ("text", "<u2"), ("n", "<u2")])
-_KINDS = (_FREQUENT_WORD, _RARE_WORD, _CONTEXT)
-_TEXTS = np.dtype([("key", "<i8"), ("chosen", "u1")])
-_MOST = (1 << 16) - 1
+#: Columns of packed rows: of a frequent word its number and the bigram, of a rare word its hash and the bigram; then text and number.
+_FREQUENT_ROW, _RARE_ROW = (("word", "<u2"), ("h", 6), ("text", "<u2"), ("n", "<u2")), (("g", 6), ("h", 6), ("text", "<u2"), ("n", "<u2"))
+_MOST_TEXTS = 1 << 16
+#: Bit of a row's number that says that the word ends its text there, and so is no context.
+_LAST, _MOST = 1 << 15, (1 << 15) - 1
+
 
+def _six(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-def _runs(text: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of one of each equal (text, values), and how many there are; at most ``_MOST`` are counted at a time."""
-    order = np.lexsort((*values, text))
+
+def _packed(kind: tuple, fields: dict[str, np.ndarray]) -> bytes:
+    return b"".join(_six(fields[name]) if width == 6 else fields[name].astype(width).tobytes() for name, width in kind)
+
+
+def _unpacked(kind: tuple, size: int, blob: bytes, at: int) -> tuple[dict[str, np.ndarray], int]:
+    out = {}
+    for name, width in kind:
+        if width == 6:
+            x = np.zeros((size, 8), np.uint8)
+            x[:, :6] = np.frombuffer(blob, np.uint8, 6 * size, at).reshape(-1, 6)
+            out[name], at = x.view("<u8").ravel(), at + 6 * size
+        else:
+            out[name], at = np.frombuffer(blob, width, size, at).astype(np.int64), at + 2 * size
+    return out, at
+
+
+def _runs(text: np.ndarray, h: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one of each equal row, and how many there are (``_MOST`` at a time), marked if the word ends its text."""
+    order = np.lexsort((last, h, text))
     new = np.ones(len(order), bool)
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for x in (text, *values):
-        same &= x[order][1:] == x[order][:-1]
-    new[1:] = ~same
+    new[1:] = (text[order][1:] != text[order][:-1]) | (h[order][1:] != h[order][:-1]) | (last[order][1:] != last[order][:-1])
     at = np.flatnonzero(new)
     n = np.diff(at, append=len(order))
     times = -(-n // _MOST)
     count = np.full(times.sum(), _MOST)
     count[np.cumsum(times) - 1] = n - (times - 1) * _MOST
-    return order[np.repeat(at, times)], count
+    at = order[np.repeat(at, times)]
+    return at, count | np.where(last[at], _LAST, 0)
 
 
-def _packed(kind: np.dtype, **fields: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(fields["g"]), kind)
-    for name, x in fields.items():
-        out[name] = x
-    return out
-
-
-def _scored_here(model: _Model, parts: int, key: np.ndarray, chosen: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Of at most ``_MOST`` texts: their losses by what is frequent, and what is left of them, packed by part."""
+def _scored_here(model: _Model, parts: int, scored: bool, key: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Of at most ``_MOST_TEXTS`` texts: their losses by what is frequent, and what is left of them, packed by part."""
     n, sums = np.zeros(len(key), np.int64), np.zeros((len(key), 2))
-    left: list[list[np.ndarray]] = [[], [], []]
-    for row, w, c, _ in _word_arrays(texts):
+    left: tuple[list, list] = ([], [])
+    for row, w, c, last in _word_arrays(texts):
         n += np.bincount(row, minlength=len(key))
-        word, context = model.words.places(w), model.words.places(c)
-        start = c == START
+        word, h = _place(model.words, w), _pair_hashes(c, w)
+        pair = np.where(word >= 0, _place(model.pairs, h), -1)
         losses = np.zeros((len(w), 2))
-        known = np.flatnonzero(context >= 0)
-        losses[known] += model.context_losses(model.words.counts[context[known], 2:])
+        start = np.flatnonzero(c == START)
         losses[start] += model.context_losses(model.texts)
-        h = _pair_hashes(c, w)
-        pair = np.where(word >= 0, model.pairs.places(h), -1)
+        # a word's loss as the context of the next is added where the word is
+        known = np.flatnonzero((word >= 0) & ~last)
+        losses[known] += model.context_losses(model.contexts[word[known]])
         known = np.flatnonzero(pair >= 0)
-        losses[known] += model.pair_losses(model.pairs.counts[pair[known]], model.words.counts[word[known], :2])
+        losses[known] += model.pair_losses(model.bigrams[pair[known]], model.unigrams[word[known]])
         for k in (0, 1):
             sums[:, k] += np.bincount(row, losses[:, k], len(key))
         some = np.flatnonzero((pair < 0) & (word >= 0))
-        at, times = _runs(row[some], h[some])
+        at, times = _runs(row[some], h[some], np.zeros(len(some), bool))
         at = some[at]
-        left[0].append(_packed(_FREQUENT_WORD, g=h[at], word=word[at], text=row[at], n=times))
+        left[0].append({"part": mixed(h[at]), "word": word[at], "h": h[at], "text": row[at], "n": times})
         some = np.flatnonzero(word < 0)
-        at, times = _runs(row[some], h[some])
-        at = some[at]
-        left[1].append(_packed(_RARE_WORD, g=w[at], h=h[at], text=row[at], n=times))
-        some = np.flatnonzero((context < 0) & ~start)
-        at, times = _runs(row[some], c[some])
+        at, times = _runs(row[some], h[some], last[some])
         at = some[at]
-        left[2].append(_packed(_CONTEXT, g=c[at], text=row[at], n=times))
+        left[1].append({"part": mixed(w[at]), "g": w[at], "h": h[at], "text": row[at], "n": times})
     some = np.flatnonzero(n)
     if not len(some):
         return
-    spread = (mixed(key[some].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    nothing = pa.nulls(len(some), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(spread), nothing, pa.array(key[some]), pa.array(n[some]), pa.array(sums[some, 0]), pa.array(sums[some, 1])], ["part", "packed", "key", "n", "lb", "lt"])
-    rows, numbers = [], []
-    for kind, found in zip(_KINDS, left, strict=True):
-        x = np.concatenate([np.zeros(0, kind), *found])
-        part = (mixed(x["g"]) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        rows.append(x[order])
-        numbers.append(part[order])
-    present = np.unique(np.concatenate(numbers))
-    cuts = [np.searchsorted(x, present).tolist() + [len(x)] for x in numbers]
-    own, packed = [], []
-    for i, p in enumerate(present.tolist()):
-        mine = [x[c[i] : c[i + 1]] for x, c in zip(rows, cuts, strict=True)]
+    if scored:
+        spread = (mixed(key[some].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(len(some), pa.binary()), pa.array(key[some]), pa.array(n[some]), pa.array(sums[some, 0]), pa.array(sums[some, 1])], ["part", "packed", "key", "n", "lb", "lt"])
+    rows = []
+    for found in left:
+        x = {name: np.concatenate([f[name] for f in found]) for name in found[0]}
+        x["part"] = (x["part"] % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(x["part"], kind="stable")
+        rows.append({name: v[order] for name, v in x.items()})
+    present = np.unique(np.concatenate([x["part"] for x in rows]))
+    cuts = [[*np.searchsorted(x["part"], present).tolist(), len(x["part"])] for x in rows]
+    packed = []
+    for i in range(len(present)):
+        mine = [{name: v[c[i] : c[i + 1]] for name, v in x.items()} for x, c in zip(rows, cuts, strict=True)]
         used = np.unique(np.concatenate([x["text"] for x in mine]))
-        head = np.zeros(len(used), _TEXTS)
-        head["key"], head["chosen"] = key[used], chosen[used]
-        blob = [np.array([len(used), *map(len, mine)], "<i8").tobytes(), head.tobytes()]
-        for x in mine:
-            x = x.copy()
-            x["text"] = np.searchsorted(used, x["text"])
-            blob.append(x.tobytes())
-        own.append(p)
+        blob = [np.array([scored, len(used), *(len(x["text"]) for x in mine)], "<i8").tobytes(), key[used].tobytes()]
+        for kind, x in zip((_FREQUENT_ROW, _RARE_ROW), mine, strict=True):
+            blob.append(_packed(kind, x | {"text": np.searchsorted(used, x["text"])}))
         packed.append(b"".join(blob))
-    if own:
-        k = len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], ["part", "packed", "key", "n", "lb", "lt"])
+    k = len(present)
+    if k:
+        yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(packed, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], ["part", "packed", "key", "n", "lb", "lt"])
 
 
-def _sum_by(values: tuple[np.ndarray, ...], n: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Of every row, the sums over the rows with equal values: of all and of chosen texts."""
+def _sum_by(values: tuple[np.ndarray, ...], n: np.ndarray, scored: np.ndarray) -> np.ndarray:
+    """Of every row, the sums over the rows with equal values: of all documents and of the target."""
     order = np.lexsort(values)
     new = np.ones(len(order), bool)
     same = np.ones(max(len(order) - 1, 0), bool)
@@ -300,59 +296,61 @@ def _sum_by(values: tuple[np.ndarray, ...], n: np.ndarray, chosen: np.ndarray) -
     new[1:] = ~same
     group = np.cumsum(new) - 1
     out = np.zeros((len(order), 2))
-    for k, x in enumerate((n[order], (n * chosen)[order])):
-        out[order, k] = np.bincount(group, x)[group] if len(order) else 0
+    for k, x in enumerate((n * scored, n * ~scored)):
+        out[order, k] = np.bincount(group, x[order])[group]
     return out
 
 
 def _scored_together(model: _Model, blobs: list[bytes]) -> pa.RecordBatch:
-    """Of all packed rows of a part: the sum of losses of each text in each blob."""
-    heads, kinds, at = [], ([], [], []), 0
+    """Of all packed rows of a part: the sum of losses of each scored text in each blob."""
+    keys, flags, found, at = [], [], ([], []), 0
     for blob in blobs:
-        sizes = np.frombuffer(blob, "<i8", 4)
-        heads.append(np.frombuffer(blob, _TEXTS, sizes[0], 32))
-        place = 32 + sizes[0] * _TEXTS.itemsize
-        for kind, size, out in zip(_KINDS, sizes[1:].tolist(), kinds, strict=True):
-            x = np.frombuffer(blob, kind, size, place)
-            out.append((x, x["text"].astype(np.int64) + at))
-            place += size * kind.itemsize
-        at += int(sizes[0])
-    head = np.concatenate(heads)
-    sums = np.zeros((len(head), 2))
-    for i, found in enumerate(kinds):
-        x, text = np.concatenate([r for r, _ in found]), np.concatenate([t for _, t in found])
-        if not len(x):
+        scored, texts, *sizes = np.frombuffer(blob, "<i8", 4).tolist()
+        keys.append(np.frombuffer(blob, "<i8", texts, 32))
+        flags.append(np.full(texts, bool(scored)))
+        place = 32 + 8 * texts
+        for kind, size, out in zip((_FREQUENT_ROW, _RARE_ROW), sizes, found, strict=True):
+            x, place = _unpacked(kind, size, blob, place)
+            x["text"] += at
+            out.append(x)
+        at += texts
+    key, scored = np.concatenate(keys), np.concatenate(flags)
+    sums = np.zeros((len(key), 2))
+    for rare, parts in enumerate(found):
+        x = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+        if not len(x["n"]):
             continue
-        n, chosen = x["n"].astype(np.float64), head["chosen"][text]
-        together = _sum_by((x["g"],), n, chosen)
-        if i == 0:
-            losses = model.pair_losses(together, model.words.counts[x["word"], :2])
-        elif i == 1:
-            losses = model.pair_losses(_sum_by((x["h"], x["g"]), n, chosen), together)
+        n, own = (x["n"] & _MOST).astype(np.float64), scored[x["text"]]
+        if rare:
+            inner = np.where(x["n"] & _LAST, 0.0, n)
+            unigrams = _sum_by((x["g"],), n, own)
+            losses = n[:, None] * model.pair_losses(_sum_by((x["h"], x["g"]), n, own), unigrams)
+            losses += inner[:, None] * model.context_losses(_sum_by((x["g"],), inner, own))
         else:
-            losses = model.context_losses(together)
+            losses = n[:, None] * model.pair_losses(_sum_by((x["h"], x["word"]), n, own), model.unigrams[x["word"]])
         for k in (0, 1):
-            sums[:, k] += np.bincount(text, n * losses[:, k], len(head))
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(head["key"])), pa.array(np.zeros(len(head), np.int64)), pa.array(np.ascontiguousarray(sums[:, 0])), pa.array(np.ascontiguousarray(sums[:, 1]))], ["key", "n", "lb", "lt"])
+            sums[:, k] += np.bincount(x["text"][own], losses[own, k], len(key))
+    some = np.flatnonzero(scored)
+    return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(np.zeros(len(some), np.int64)), pa.array(sums[some, 0]), pa.array(sums[some, 1])], ["key", "n", "lb", "lt"])
 
 
-def text_losses(rows: DataFrame, frequent_words: int = FREQUENT_WORDS, frequent_pairs: int = FREQUENT_PAIRS, part_words: int = PART_WORDS) -> DataFrame:
-    """Of rows ``key, chosen, text``: ``key, n, lb, lt``, words and losses of the text; copies of a text add up."""
+def text_losses(rows: DataFrame, target: DataFrame, frequent_words: int = FREQUENT_WORDS, frequent_pairs: int = FREQUENT_PAIRS, part_words: int = PART_WORDS) -> DataFrame:
+    """Of rows ``key, text``: ``key, n, lb, lt``, words and losses of the text; copies of a text add up. ``target`` has the texts of the target."""
     counts = stored(word_counts(rows), "words")
-    total = counts.agg(F.sum("ub"), F.sum("ut"), F.sum("cb"), F.sum("ct"), F.count("*")).collect()[0]
-    ub, ut, cb, ct, size = (x or 0 for x in total)
-    frequent = _Frequent(_most(counts, "ub", min(frequent_words, _MOST)), _COUNTS)
-    # every text begins once: as many as words that end one
-    model = _Model(np.array([ub, ut], float), np.array([ub - cb, ut - ct], float), size, frequent, _frequent_pairs(rows, frequent_pairs))
+    words = _sorted_hashes(_most(counts, "n", min(frequent_words, 1 << 16)))
+    pairs = _frequent_pairs(rows, frequent_pairs)
+    model = _Model(words, pairs, (_counted(rows, words, pairs), _counted(target, words, pairs)), counts.count())
     known = rows.sparkSession.sparkContext.broadcast(model)
-    parts = max(1, -(-int(ub) // part_words))
+    parts = max(1, -(-int(counts.agg(F.sum("n")).collect()[0][0] or 0) // part_words))
 
-    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, _MOST):
-                part = batch.slice(lo, _MOST)
-                key, chosen = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                yield from _scored_here(known.value, parts, key, chosen.astype(bool), part.column(2))
+    def here(scored: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, _MOST_TEXTS):
+                    part = batch.slice(lo, _MOST_TEXTS)
+                    yield from _scored_here(known.value, parts, scored, part.column(0).to_numpy(zero_copy_only=False), part.column(1))
+
+        return run
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -370,19 +368,39 @@ def text_losses(rows: DataFrame, frequent_words: int = FREQUENT_WORDS, frequent_
         if held:
             yield _scored_together(known.value, held)
 
-    dealt = rows.select("key", "chosen", "text").mapInArrow(here, _SCORED).repartition(parts, "part").sortWithinPartitions("part")
-    sums = dealt.mapInArrow(together, "key long, n long, lb double, lt double")
+    dealt = rows.select("key", "text").mapInArrow(here(True), _SCORED).unionByName(target.select(F.lit(0).cast("long").alias("key"), "text").mapInArrow(here(False), _SCORED))
+    sums = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(together, "key long, n long, lb double, lt double")
     return sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "lb", "lt")])
 
 
+def target_texts(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """``text`` of every row of ``docs`` whose ``doc_id`` is in ``target``.
+
+    A Bloom filter of the wanted ids, ``FILTER_WORDS`` words however many they are, keeps most other texts out of the join.
+    """
+    wanted = target.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).where("doc_id is not null").distinct()
+    h = F.xxhash64("doc_id")
+    bits = wanted.select(F.pmod(h, F.lit(FILTER_WORDS)).alias("word"), F.shiftrightunsigned(h, 58).cast("int").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    words = np.zeros(FILTER_WORDS, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False)
+            hit = words[h % FILTER_WORDS] >> (h.view(np.uint64) >> np.uint64(58)) & np.uint64(1)
+            yield batch.select(["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.where("doc_id is not null").select(h.alias("h"), "doc_id", "text").mapInArrow(passed, f"doc_id {kind}, text string")
+    return stored(rows.join(wanted, "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text")), "target-texts")
+
+
 def score(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, loss_difference`` of every row (losses are means in nats; lower difference: more like the target)."""
-    # written, so that Spark knows its size when it chooses how to join
-    wanted = stored(target.select(F.col("doc_id").alias("_wanted")).where("_wanted is not null").distinct(), "targets")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_wanted"), "left")
-    rows = rows.select(F.xxhash64(text).alias("key"), F.col("_wanted").isNotNull().alias("chosen"), text.alias("text"))
-    sums = text_losses(rows, **options)
+    rows = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
+    sums = text_losses(rows, target_texts(docs, target), **options)
     mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
     means = sums.select("key", mean("lb").alias("lb"), mean("lt").alias("lt"))
     every = docs.select("doc_id", F.xxhash64(text).alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_tokens")).join(means, "key", "left")
