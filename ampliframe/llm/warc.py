@@ -8,12 +8,15 @@ the offset where its record ends by its own headers. Candidates that follow
 each other without a gap are joined into segments, and pointer jumping over
 the segments, from offset 0 of each file, keeps what the chain of records
 reaches. A magic inside a payload is never reached and is given back to the
-record that holds it.
+record that holds it: files with such records are read a second time, into a
+table of pieces with their own offsets, so that it doesn't matter how either
+reading splits them.
 
 Defined cases: a null html is an empty payload; a null url is an empty target;
 pages with equal payloads and equal ids are one response and revisits of that
-id; null ids come last; an empty table gives an empty result; further columns
-are ignored.
+id; null ids come last; ids of any type come back as they were; an empty table
+gives an empty result; further columns are ignored; payloads of any length are
+kept whole (a record is one row while it is read).
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampliframe.llm.common import durable, scratch_path
+from ampliframe.llm.common import durable, scratch_path, stored
 
 MAGIC = "WARC/1.0\r\n"
 RECORD_DATE = "2024-01-01T00:00:00Z"
@@ -70,13 +73,13 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
         rows = rows.where(~F.coalesce(tied, F.lit(False))).unionByName(same)
     revisit = F.col("revisit")
     clean_url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x1F\x7F]", "%20")
-    page = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    urn = lambda c: F.concat(F.lit("<urn:page"), F.coalesce(F.concat(F.lit(":"), F.url_encode(c.cast("string"))), F.lit("")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     record = F.concat(
         F.lit(MAGIC),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page(F.col("page_id")), F.lit(">"))),
+        line("WARC-Record-ID", urn(F.col("page_id"))),
         line("WARC-Date", F.lit(RECORD_DATE)),
         line("WARC-Target-URI", clean_url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -85,7 +88,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
             revisit,
             F.concat(
                 line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")),
-                line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), page(F.col("first_id")), F.lit(">"))),
+                line("WARC-Refers-To", urn(F.col("first_id"))),
             ),
         ).otherwise(F.lit("")),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
@@ -100,14 +103,33 @@ def _header(value: Column, name: str) -> Column:
     return F.regexp_extract(value, rf"(?i)(?:^|\r\n){name}: *([^\r\n]*)", 1)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every magic of every file: ``file, at, next`` (offsets), the piece up to the next magic, and its parsed headers."""
-    pieces = spark.read.option("lineSep", MAGIC).text(path).select(
-        "value",
+def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """What lies between two magics: ``file, block, piece, value``; pieces of a file are in the order of block and number."""
+    return spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("piece"),
+        "value",
     )
+
+
+def _with_offsets(pieces: DataFrame) -> DataFrame:
+    """``pieces``, a durable table with ``size``, with the offset ``at`` of the magic before each; the first one of a file has none.
+
+    Bytes are summed within each block, then over the blocks before it, so that a file isn't one task's.
+    """
+    size = F.col("size") + len(MAGIC)
+    blocks = pieces.groupBy("file", "block").agg(F.sum(size).alias("bytes"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("file", "block").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("start") + F.coalesce(F.sum(size).over(inside), F.lit(0)) - len(MAGIC)
+    return pieces.join(starts, ["file", "block"]).withColumn("at", at).drop("start").where("at >= 0")
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Every magic of every file: ``file, at, next`` (offsets), and the parsed headers of the piece up to the next magic."""
+    pieces = _pieces(spark, path)
     split = F.instr("value", F.lit(_END))
     head = F.when(split > 0, F.substring_index("value", _END, 1)).otherwise(F.lit(""))
     length = _header(F.col("head"), "Content-Length").try_cast("long")
@@ -131,10 +153,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         _header(F.col("head"), "X-Payload-Length").try_cast("long").alias("stated_bytes"),
         F.when(whole == F.col("size"), base32_sha1(content)).alias("digest"),
     )
-    narrow = durable(narrow)
-    before = Window.partitionBy("file").orderBy("block", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(before), F.lit(0)) - len(MAGIC)
-    return narrow.withColumn("at", at).where("at >= 0").withColumn("next", F.col("at") + len(MAGIC) + F.col("length"))
+    return _with_offsets(durable(narrow)).withColumn("next", F.col("at") + len(MAGIC) + F.col("length"))
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -160,13 +179,22 @@ def reachable(found: DataFrame) -> DataFrame:
     return marked.join(reached, ["file", "segment"]).where("at >= entry").drop("entry")
 
 
-def _spanning_digests(spark: SparkSession, path: str, found: DataFrame, kept: DataFrame) -> DataFrame:
-    """``file, at, joined``: digests of records whose payload holds a magic, put together from their pieces."""
-    long = kept.where(F.col("digest").isNull()).select("file", F.col("at").alias("owner"), "next", "skip", "content")
-    parts = found.select("file", "piece", "at").join(long, "file").where((F.col("at") >= F.col("owner")) & (F.col("at") < F.col("next")))
-    pieces = spark.read.option("lineSep", MAGIC).text(path).select("value", F.monotonically_increasing_id().alias("piece"))
+def _spanning_digests(spark: SparkSession, kept: DataFrame) -> DataFrame:
+    """``file, at, joined``: digests of records whose payload holds a magic, put together from their pieces.
+
+    The files of such records are read again, once, into a table; offsets are taken from that table alone.
+    """
+    long = durable(kept.where(F.col("digest").isNull()).select("file", F.col("at").alias("owner"), "next", "skip", "content"))
+    files = [r["file"] for r in long.select("file").distinct().collect()]
+    pieces = stored(_pieces(spark, files).withColumn("size", F.octet_length("value").cast("long")), "pieces")
+    offsets = _with_offsets(pieces.drop("value"))
+    # records don't overlap, so a piece belongs to the last owner before it, if that reaches so far
+    owners = offsets.join(long, (offsets["file"] == long["file"]) & (offsets["at"] == long["owner"]), "left").select(offsets["file"], "piece", "at", "owner", "next", "skip", "content")
+    so_far = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far).alias(c)
+    parts = owners.select("file", "piece", "at", *[last(c) for c in ("owner", "next", "skip", "content")]).where(F.col("at") < F.col("next"))
     whole = (
-        parts.join(pieces, "piece")
+        parts.join(pieces.select("file", "piece", "value"), ["file", "piece"])
         .groupBy("file", "owner", "skip", "content")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
     )
@@ -174,24 +202,24 @@ def _spanning_digests(spark: SparkSession, path: str, found: DataFrame, kept: Da
     return whole.select("file", F.col("owner").alias("at"), base32_sha1(content).alias("joined"))
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """One row per record that the chains reach: ``page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri, intact``.
 
-    ``intact``: a response's payload has the digest that its header states.
+    ``id_type`` is the type of the ids that were written. ``intact``: a response's payload has the digest that its header states.
     """
     found = durable(candidates(spark, path))
     kept = durable(reachable(found))
     if kept.where(F.col("digest").isNull()).limit(1).count():
-        kept = kept.join(_spanning_digests(spark, path, found, kept), ["file", "at"], "left").withColumn("digest", F.coalesce("digest", "joined"))
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
-    number = lambda c: F.when(page(c) != "", page(c).try_cast("long"))
+        kept = kept.join(_spanning_digests(spark, kept), ["file", "at"], "left").withColumn("digest", F.coalesce("digest", "joined"))
+    known = r"^<urn:page:([^>]*)>$"
+    page = lambda c: F.when(c.rlike(known), F.try_url_decode(F.regexp_extract(c, known, 1)).try_cast(id_type))
     response = F.col("type") == "response"
     return kept.select(
-        number(F.col("id")).alias("page_id"),
+        page(F.col("id")).alias("page_id"),
         F.when(response, F.col("content")).otherwise(F.col("stated_bytes")).alias("payload_bytes"),
         F.when(response, F.col("digest")).otherwise(F.substring_index("stated", ":", -1)).alias("payload_digest"),
         F.col("type").alias("record_type"),
-        number(F.col("refers")).alias("refers_to"),
+        page(F.col("refers")).alias("refers_to"),
         F.col("uri").alias("target_uri"),
         (~response | (F.col("digest") == F.substring_index("stated", ":", -1))).alias("intact"),
     )
@@ -201,4 +229,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Archive ``pages`` in the shared folder and read the archives back."""
     path = scratch_path(pages.sparkSession, "warc")
     write_archive(pages, path)
-    return read_archive(pages.sparkSession, path)
+    return read_archive(pages.sparkSession, path, pages.schema["page_id"].dataType.simpleString())
