@@ -15,7 +15,8 @@ Defined cases: null or empty texts have size 0 and are never taken; a null
 source is a source of its own, after all others; rows with equal ids, also null
 ones, are separate documents (their order is by size, and equal rows are
 interchangeable); an empty table gives an empty result; further columns of the
-input are ignored by :func:`mix_plan`, kept by :func:`mix_documents`.
+input are ignored by :func:`mix_plan`, kept by :func:`mix_documents`; a text of
+any length counts whole.
 """
 
 from __future__ import annotations
@@ -124,16 +125,21 @@ def by_position(plan: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of ``docs`` that the mix takes, with all their columns and ``mix_words`` and ``mix_position``, range-sorted by position.
+    """The mixed corpus in training order: a row for each pass over a row of ``docs``, range-sorted by position.
 
-    ``mix_words`` counts repeats: a row with more of them than its text has is
-    read again later in training, at ``mix_second_position``.
+    All columns of ``docs`` are kept; ``mix_position`` is the pass' place in training, ``mix_pass`` its number and
+    ``mix_words`` how many of the text's first words it takes. A column of ``docs`` with one of these names is replaced.
     """
-    clash = {"size", "source_size", "target", "taken", "first_position", "second_position"} & set(docs.columns)
-    own = {c: f"_own_{c}" for c in clash}
-    sized = docs.withColumnsRenamed(own).withColumn("size", F.size(words(F.col("text"))).cast("long"))
-    plan = plan_of_sizes(sized, **options).where(F.col("taken") > 0)
-    plan = plan.drop("size", "source_size", "target").withColumnsRenamed(
-        {"taken": "mix_words", "first_position": "mix_position", "second_position": "mix_second_position"}
+    mine = ("mix_position", "mix_pass", "mix_words")
+    own = [c for c in docs.columns if c.lower() not in mine]
+    # the plan's own names are free of those of docs: these travel as one struct
+    held = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+    plan = plan_of_sizes(held, **options).where(F.col("taken") > 0)
+    first = F.least("size", "taken")
+    passes = F.array(
+        F.struct(F.col("first_position").alias("at"), F.lit(1).alias("pass"), first.alias("words")),
+        F.struct(F.col("second_position").alias("at"), F.lit(2).alias("pass"), (F.col("taken") - first).alias("words")),
     )
-    return plan.withColumnsRenamed({v: k for k, v in own.items()}).orderBy("mix_position", "doc_id")
+    rows = plan.select("row", F.explode(F.filter(passes, lambda p: p["words"] > 0)).alias("p"))
+    out = rows.select(*[F.col("row").getField(c).alias(c) for c in own], F.col("p.at").alias(mine[0]), F.col("p.pass").alias(mine[1]), F.col("p.words").alias(mine[2]))
+    return out.orderBy(mine[0], "doc_id", mine[1])
