@@ -1,13 +1,16 @@
 """Quality rules as a short-circuit cascade (native).
 
-Every rule is a column that is true where a document fails. Cost and
-selectivity of each rule are measured on a small sample, and the rules are
-ordered by rejections per cost; the cascade stops at the first failing rule of
-a document. The order changes the work, never the verdict.
+Every rule is a column that is true where a document fails. Some need no more
+than counts of words and symbols, others read every line or character of the
+text. Cost and selectivity of each rule are measured on a sample, and the rules
+are ordered by rejections per cost; the cascade stops at the first failing rule
+of a document, and a document that fails a base rule runs none of them. The
+order changes the work, never the verdict.
 
 Defined cases: a null text has no words and fails the word count; ties and
 repeated rows are judged alike, row by row; an empty table gives an empty
-result; other columns pass through :func:`passing`.
+result; other columns pass through :func:`passing` and are ignored by
+:func:`judged`; texts of any length are judged whole.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampliframe.llm.common import bind, words
+from ampliframe.llm.common import bind, stored, words
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -26,7 +29,12 @@ MAX_REPEAT_PERCENT = 20
 MAX_SYMBOL_PERCENT = 10
 MIN_WORD_CHARS, MAX_WORD_CHARS = 2, 25
 MAX_DUP_LINE_PERCENT = 60
-#: Rows of the sample on which cost and selectivity are measured.
+MIN_LETTER_WORD_PERCENT = 50
+MAX_DIGIT_PERCENT = 30
+MAX_UPPER_PERCENT = 60
+MAX_ELLIPSIS_PERCENT, MAX_BULLET_PERCENT = 40, 90
+MIN_LINES = 3
+#: Rows of the sample, about, on which cost and selectivity are measured.
 SAMPLE_ROWS = 400
 
 
@@ -98,16 +106,39 @@ def base_rules() -> dict[str, Column]:
     }
 
 
+def lines_like(text: Column, pattern: str, percent: int) -> Column:
+    """Whether more than ``percent`` of at least ``MIN_LINES`` lines with a word match."""
+    return bind(
+        F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
+        lambda lines: (F.size(lines) >= MIN_LINES) & (100 * F.size(F.filter(lines, lambda line: line.rlike(pattern))) > percent * F.size(lines)),
+    )
+
+
+def costly_rules() -> dict[str, Column]:
+    """Rules that read every word, line or character of ``text``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    share = lambda pattern, percent: bind(count(r"[^\x20\x09-\x0D]"), lambda n: 100 * count(pattern) > percent * n)
+    return {
+        "words_without_letters": bind(words(text), lambda w: 100 * F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))) < MIN_LETTER_WORD_PERCENT * F.size(w)),
+        "digits": share(r"[0-9]", MAX_DIGIT_PERCENT),
+        "upper_case": share(r"[A-Z]", MAX_UPPER_PERCENT),
+        "broken_lines": lines_like(text, r"(\.\.\.|\x{2026})[\x20\x09-\x0D]*$", MAX_ELLIPSIS_PERCENT),
+        "bullets": lines_like(text, r"^[\x20\x09-\x0D]*[-*\x{2022}]", MAX_BULLET_PERCENT),
+    }
+
+
 def rules_of_statistics() -> dict[str, Column]:
-    return base_rules() | {
+    """Over the columns of :func:`statistics` and the text."""
+    return {
         "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words"),
         "word_length": (F.col("word_chars") < MIN_WORD_CHARS * F.col("n_words")) | (F.col("word_chars") > MAX_WORD_CHARS * F.col("n_words")),
         "duplicate_lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")),
-    }
+    } | costly_rules()
 
 
 def rules_of_text() -> dict[str, Column]:
-    """The same rules, each from the text alone, so that a cascade computes only what it needs."""
+    """All rules, each from the text alone, so that a cascade computes only what it needs."""
     text = F.col("text")
     n = lambda w: F.size(w)
     on_words = lambda f: bind(words(text), f)
@@ -119,19 +150,18 @@ def rules_of_text() -> dict[str, Column]:
             lambda w: bind(F.length(F.array_join(w, "")), lambda c: (c < MIN_WORD_CHARS * n(w)) | (c > MAX_WORD_CHARS * n(w)))
         ),
         "duplicate_lines": 100 * duplicate_lines(text) > MAX_DUP_LINE_PERCENT * F.size(F.split(F.coalesce(text, F.lit("")), "\n")),
-    }
+    } | costly_rules()
 
 
-def rank_rules(docs: DataFrame, rules: Mapping[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of ``rules`` by rejections per second on a sample of ``docs``, best first.
+def rule_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``rows`` random rows of ``docs``, in a table of one part; no text reaches the driver."""
+    total = docs.count()
+    part = docs if total <= rows else docs.sample(fraction=rows / total, seed=7)
+    return stored(part.coalesce(1), "rule-sample")
 
-    The sample is the first rows that Spark returns, so only a few partitions
-    are read; it decides on the order alone.
-    """
-    spark = docs.sparkSession
-    rows = docs.select("text").limit(sample_rows).collect()
-    sample = spark.createDataFrame(rows, docs.select("text").schema).coalesce(1).cache()
-    sample.count()
+
+def rank_rules(sample: DataFrame, rules: Mapping[str, Column]) -> list[str]:
+    """Names of ``rules`` by rejections per second over the rows of ``sample``, best first."""
     gain = {}
     for name, failed in rules.items():
         job = sample.agg(F.count_if(failed).alias("n"))
@@ -139,7 +169,6 @@ def rank_rules(docs: DataFrame, rules: Mapping[str, Column], sample_rows: int =
         began = time.perf_counter()
         rejected = job.collect()[0]["n"]
         gain[name] = (rejected + 1) / max(time.perf_counter() - began, 1e-4)
-    sample.unpersist()
     return sorted(gain, key=lambda name: (-gain[name], name))
 
 
@@ -154,12 +183,16 @@ def first_failure(rules: Mapping[str, Column], order: list[str]) -> Column:
 def passing(docs: DataFrame) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
     rules = rules_of_text()
-    return docs.where(first_failure(rules, rank_rules(docs, rules)).isNull())
+    return docs.where(first_failure(rules, rank_rules(rule_sample(docs.select("text")), rules)).isNull())
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the statistics, ``base_failed`` and ``kept`` of every document."""
-    order = rank_rules(docs, rules_of_text())
+    """``doc_id``, the statistics, ``base_failed`` and ``kept`` of every document.
+
+    The statistics are wanted of every document, so the cascade begins behind the base rules, with what reads the text again ranked among what doesn't.
+    """
+    rules = rules_of_statistics()
+    order = rank_rules(stored(statistics(rule_sample(docs.select("text"))), "rule-sample"), rules)
     stats = statistics(docs.select("doc_id", "text"))
     base_failed = F.coalesce(base_rules()["too_few_words"] | base_rules()["repeated_words"], F.lit(False))
     return stats.select(
@@ -170,5 +203,5 @@ def judged(docs: DataFrame) -> DataFrame:
         "n_dup_lines",
         "n_repeat_words",
         base_failed.alias("base_failed"),
-        first_failure(rules_of_statistics(), order).isNull().alias("kept"),
+        F.when(base_failed, False).otherwise(first_failure(rules, order).isNull()).alias("kept"),
     )

@@ -107,6 +107,15 @@ def test_mixing(docs, texts, empty):
     assert sorted(map(str, rows)) == sorted(map(str, collected(mixing.mix_plan(docs))))
     mixed = mixing.mix_documents(docs)
     assert mixed.columns[:6] == docs.columns and {r["size"] for r in mixed.collect()} == {"own"}
+    plan = [r for r in rows if r["taken"]]
+    passes = [r for r in mixed.collect() if r["mix_pass"] == 2]
+    assert len(passes) == sum(r["second_position"] is not None for r in plan) and mixed.count() == len(plan) + len(passes)
+    assert sum(r["mix_words"] for r in mixed.collect()) == sum(r["taken"] for r in rows)
+    order = [r["mix_position"] for r in mixed.collect()]
+    assert order == sorted(order)
+    clash = docs.withColumn("_part", F.lit("p")).withColumn("mix_words", F.lit("m")).withColumn("taken", F.lit("t")).withColumn("row", F.lit("r"))
+    again = mixing.mix_documents(clash)
+    assert again.count() == mixed.count() and {(r["_part"], r["taken"], r["row"]) for r in again.collect()} == {("p", "t", "r")}
     assert mixing.mix_plan(empty).count() == 0
 
 
@@ -396,7 +405,7 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert out and len({r["doc_id"] for r in out}) == len(out)
+    assert out and len({(r["doc_id"], r["mix_pass"]) for r in out}) == len(out)
     assert [r["mix_position"] for r in out] == sorted(r["mix_position"] for r in out)
     assert not [r for r in out if brute.secret_spans(r["text"])]
 
