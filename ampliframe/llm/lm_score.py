@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +44,11 @@ from ampliframe.llm.tokens import chunks, lowered, mixed, word_hashes, word_span
 #: Weight of the unigram model in a word's context, in words.
 PRIOR_WORDS = 20.0
 #: Words and bigrams whose counts every task has; a word's number has 16 bits.
-FREQUENT_WORDS, FREQUENT_PAIRS = 1 << 16, 1 << 17
+FREQUENT_WORDS, FREQUENT_PAIRS = 1 << 16, 1 << 18
 #: Part of the texts in which frequent bigrams are looked for; they are then counted in all.
-SAMPLE_PART = 32
-PART_WORDS = 1 << 22
+SAMPLE_PART = 8
+#: Words of the corpus to a part, steps in which a task works through one, and bytes of texts that are packed at a time.
+PART_WORDS, STEPS, PACKED_BYTES = 1 << 23, 8, 4 << 20
 #: 64-bit words of the Bloom filter for the target's ids.
 FILTER_WORDS = 1 << 18
 START = np.uint64(0x5851F42D4C957F2D)
@@ -302,34 +304,37 @@ def _sum_by(values: tuple[np.ndarray, ...], n: np.ndarray, scored: np.ndarray) -
 
 
 def _scored_together(model: _Model, blobs: list[bytes]) -> pa.RecordBatch:
-    """Of all packed rows of a part: the sum of losses of each scored text in each blob."""
-    keys, flags, found, at = [], [], ([], []), 0
-    for blob in blobs:
-        scored, texts, *sizes = np.frombuffer(blob, "<i8", 4).tolist()
-        keys.append(np.frombuffer(blob, "<i8", texts, 32))
-        flags.append(np.full(texts, bool(scored)))
-        place = 32 + 8 * texts
-        for kind, size, out in zip((_FREQUENT_ROW, _RARE_ROW), sizes, found, strict=True):
-            x, place = _unpacked(kind, size, blob, place)
-            x["text"] += at
-            out.append(x)
-        at += texts
-    key, scored = np.concatenate(keys), np.concatenate(flags)
+    """Of all packed rows of a part: the sum of losses of each scored text in each blob. Rows are unpacked in ``STEPS`` by their hashes, equal ones together."""
+    heads = [np.frombuffer(blob, "<i8", 4).tolist() for blob in blobs]
+    texts = np.array([h[1] for h in heads])
+    key = np.concatenate([np.frombuffer(blob, "<i8", h[1], 32) for blob, h in zip(blobs, heads, strict=True)])
+    scored = np.repeat([bool(h[0]) for h in heads], texts)
+    first = np.cumsum(texts) - texts
     sums = np.zeros((len(key), 2))
-    for rare, parts in enumerate(found):
-        x = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
-        if not len(x["n"]):
-            continue
-        n, own = (x["n"] & _MOST).astype(np.float64), scored[x["text"]]
-        if rare:
-            inner = np.where(x["n"] & _LAST, 0.0, n)
-            unigrams = _sum_by((x["g"],), n, own)
-            losses = n[:, None] * model.pair_losses(_sum_by((x["h"], x["g"]), n, own), unigrams)
-            losses += inner[:, None] * model.context_losses(_sum_by((x["g"],), inner, own))
-        else:
-            losses = n[:, None] * model.pair_losses(_sum_by((x["h"], x["word"]), n, own), model.unigrams[x["word"]])
-        for k in (0, 1):
-            sums[:, k] += np.bincount(x["text"][own], losses[own, k], len(key))
+    for step in range(STEPS):
+        found: tuple[list, list] = ([], [])
+        for blob, (_, n_texts, *sizes), at in zip(blobs, heads, first.tolist(), strict=True):
+            place = 32 + 8 * n_texts
+            for kind, size, out in zip((_FREQUENT_ROW, _RARE_ROW), sizes, found, strict=True):
+                x, place = _unpacked(kind, size, blob, place)
+                mine = np.flatnonzero((x["g" if "g" in x else "h"] >> np.uint64(32)) % np.uint64(STEPS) == step)
+                x = {name: v[mine] for name, v in x.items()}
+                x["text"] += at
+                out.append(x)
+        for rare, parts in enumerate(found):
+            x = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+            if not len(x["n"]):
+                continue
+            n, own = (x["n"] & _MOST).astype(np.float64), scored[x["text"]]
+            if rare:
+                inner = np.where(x["n"] & _LAST, 0.0, n)
+                unigrams = _sum_by((x["g"],), n, own)
+                losses = n[:, None] * model.pair_losses(_sum_by((x["h"], x["g"]), n, own), unigrams)
+                losses += inner[:, None] * model.context_losses(_sum_by((x["g"],), inner, own))
+            else:
+                losses = n[:, None] * model.pair_losses(_sum_by((x["h"], x["word"]), n, own), model.unigrams[x["word"]])
+            for k in (0, 1):
+                sums[:, k] += np.bincount(x["text"][own], losses[own, k], len(key))
     some = np.flatnonzero(scored)
     return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(np.zeros(len(some), np.int64)), pa.array(sums[some, 0]), pa.array(sums[some, 1])], ["key", "n", "lb", "lt"])
 
@@ -346,8 +351,12 @@ def text_losses(rows: DataFrame, target: DataFrame, frequent_words: int = FREQUE
     def here(scored: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, _MOST_TEXTS):
-                    part = batch.slice(lo, _MOST_TEXTS)
+                size = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+                lo = 0
+                while lo < batch.num_rows:
+                    hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PACKED_BYTES, "right"))
+                    part = batch.slice(lo, min(max(hi - lo, 1), _MOST_TEXTS))
+                    lo += part.num_rows
                     yield from _scored_here(known.value, parts, scored, part.column(0).to_numpy(zero_copy_only=False), part.column(1))
 
         return run
