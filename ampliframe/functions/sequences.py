@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,23 +53,27 @@ def expected_errors(qual: Column, offset: int = PHRED_OFFSET) -> Column:
     return F.aggregate(F.split(qual, ""), F.lit(0.0), lambda acc, c: acc + F.pow(F.lit(10.0), -(F.ascii(c) - offset) / 10))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` computed once a row: inside a higher-order function a plain expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kmers(seq: Column, k: int) -> Column:
     """All windows of ``k`` bases in order."""
-    return F.when(F.length(seq) < k, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(seq, i, F.lit(k)))
-    )
+    windows = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))
+    return bound(seq, lambda s: F.when(F.length(s) < k, F.array().cast("array<string>")).otherwise(windows(s)))
 
 
 def effective_kmers(seq: Column, k: int = 2) -> Column:
     """exp of the Shannon entropy of the k-mers without ambiguous bases; 0 if there are none."""
-    valid = F.filter(kmers(seq, k), lambda x: x.rlike("^[ACGT]+$"))
 
-    def entropy(all_kmers: Column) -> Column:
-        n = F.size(all_kmers)
-        share = lambda x: F.size(F.filter(all_kmers, lambda y: y == x)) / n
-        return F.exp(-F.aggregate(F.array_distinct(all_kmers), F.lit(0.0), lambda acc, x: acc + share(x) * F.ln(share(x))))
+    def entropy(valid: Column) -> Column:
+        number = lambda x: F.size(F.filter(valid, lambda y: y == x)).cast("double")
+        spread = F.aggregate(F.array_distinct(valid), F.lit(0.0), lambda acc, x: acc + bound(number(x), lambda n: n * F.ln(n)))
+        n = F.size(valid).cast("double")
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.exp(F.ln(n) - spread / n))
 
-    return F.when(F.size(valid) == 0, F.lit(0.0)).otherwise(F.get(F.transform(F.array(valid), entropy), F.lit(0)))
+    return bound(F.filter(kmers(seq, k), lambda x: ~x.rlike("[^ACGT]")), entropy)
 
 
 def sequence_id(seq: Column, algorithm: str = "md5") -> Column:
@@ -88,15 +94,22 @@ def requantised(qual: Column, bins: list[int], offset: int = PHRED_OFFSET, highe
     return F.translate(qual, "".join(chr(offset + q) for q in range(highest + 1)), "".join(chr(offset + b) for b in nearest))
 
 
+def _differing(a: Column, b: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the places at which two sequences differ, over the shorter length, and that length."""
+
+    def places(x: Column) -> Column:
+        n = F.least(F.length(x["a"]), F.length(x["b"]))
+        every = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return body(F.filter(every, lambda i: F.substring(x["a"], i, F.lit(1)) != F.substring(x["b"], i, F.lit(1))), n)
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), places).cast("int")
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix of two sequences."""
-    n = F.least(F.length(a), F.length(b))
-    at = F.array_position(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), True)
-    return F.when(n == 0, F.lit(0)).otherwise(F.when(at == 0, n).otherwise(at - 1)).cast("int")
+    return _differing(a, b, lambda places, n: F.coalesce(F.get(places, F.lit(0)) - 1, n))
 
 
 def hamming(a: Column, b: Column) -> Column:
     """Positions that differ, over the shorter length."""
-    n = F.least(F.length(a), F.length(b))
-    differ = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    return F.when(n == 0, F.lit(0)).otherwise(F.size(differ)).cast("int")
+    return _differing(a, b, lambda places, _: F.size(places))

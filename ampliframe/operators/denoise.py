@@ -12,7 +12,8 @@ and :func:`variants` sums them up.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ampliframe.functions import align as al
 from ampliframe.functions.stats import abundance_pvalue, poisson_upper_tail
-from ampliframe.operators.derep import rank_uniques
+from ampliframe.operators.derep import merged_uniques, rank_uniques
 from ampliframe.params import LONGEST_SEQUENCE, MOST_SHUFFLES, DenoiseParams
 
 RESULT = (
@@ -68,7 +69,7 @@ class Partition:
         self.ordered = [al.ordered_kmers(s, params.k) for s in self.seqs]
         self.selves = np.array([self._product(c, c, q) for c, q in zip(self.codes, self.quals, strict=True)])
         self.locked = np.zeros(self.n, bool)
-        self.e_minmax = np.full(self.n, -999.0)
+        self.best_known = np.full(self.n, -999.0)
         # by cluster: members in order, centre, reads, and stored comparisons with all uniques
         self.members: list[list[int]] = [list(range(self.n))]
         self.centers = [int(self.n - 1 - np.argmax(self.reads[::-1]))] if self.n else []
@@ -124,8 +125,8 @@ class Partition:
         for i, subs in zip(full, self.aligned(center, full), strict=True):
             lam[i], ham[i] = self.rate(i, subs), subs.hamming
         self.n_aligned += len(candidates)
-        keep = lam * self.total > self.e_minmax
-        self.e_minmax = np.where(keep, np.maximum(self.e_minmax, lam * self.reads[center]), self.e_minmax)
+        keep = lam * self.total > self.best_known
+        self.best_known = np.where(keep, np.maximum(self.best_known, lam * self.reads[center]), self.best_known)
         self.lam.append(lam)
         self.ham.append(ham)
         self.stored.append(keep)
@@ -156,20 +157,27 @@ class Partition:
                         self.locked[i] = True
 
     def _candidate(self, priors_only: bool) -> tuple[float, int, int, int] | None:
+        """The least p-value, then the most reads, then the first place; it has to beat the first centre."""
         p = self.params
-        first = self.centers[0]
-        best_p, best_reads, best = self.p[first], self.reads[first], None
-        for c, members in enumerate(self.members):
-            for place, i in enumerate(members):
-                if place == 0 or (priors_only and not self.prior[i]):
-                    continue
-                if self.reads[i] < p.min_abundance or self.own_ham[i] < p.min_hamming:
-                    continue
-                if p.min_fold > 1 and self.reads[i] < p.min_fold * self.own_lam[i] * self.cluster_reads[c]:
-                    continue
-                if self.p[i] < best_p or (self.p[i] == best_p and self.reads[i] > best_reads):
-                    best_p, best_reads, best = self.p[i], self.reads[i], (float(self.p[i]), c, place, i)
-        return best
+        # the first place of a cluster is its centre's
+        i = np.fromiter((i for m in self.members for i in m[1:]), np.int64)
+        sizes = np.array([len(m) - 1 for m in self.members])
+        fit = (self.reads[i] >= p.min_abundance) & (self.own_ham[i] >= p.min_hamming)
+        if priors_only:
+            fit &= self.prior[i]
+        if p.min_fold > 1:
+            fit &= self.reads[i] >= p.min_fold * self.own_lam[i] * np.repeat(np.array(self.cluster_reads), sizes)
+        fit = np.flatnonzero(fit)
+        if not len(fit):
+            return None
+        least = fit[self.p[i[fit]] == self.p[i[fit]].min()]
+        at = int(least[np.argmax(self.reads[i[least]])])
+        found, first = int(i[at]), self.centers[0]
+        if not (self.p[found] < self.p[first] or (self.p[found] == self.p[first] and self.reads[found] > self.reads[first])):
+            return None
+        ends = np.cumsum(sizes)
+        c = int(np.searchsorted(ends, at, "right"))
+        return float(self.p[found]), c, at - int(ends[c] - sizes[c]) + 1, found
 
     def split(self) -> int | None:
         """The new cluster, or none if no unique is unexpected enough."""
@@ -208,26 +216,27 @@ class Partition:
     def shuffle(self) -> set[int]:
         """Clusters that changed; every unique but the centres goes where most of its reads are expected."""
         changed: set[int] = set()
-        fixed = set(self.centers)
+        free = np.ones(self.n, bool)
+        free[self.centers] = False
         for _ in range(MOST_SHUFFLES):
             best_e, best_c = np.full(self.n, -np.inf), np.zeros(self.n, np.int64)
             for c in range(len(self.members)):
                 e = np.where(self.stored[c], self.lam[c] * self.cluster_reads[c], -np.inf)
                 better = e > best_e
                 best_e, best_c = np.where(better, e, best_e), np.where(better, c, best_c)
-            moved = False
-            for c in range(len(self.members)):
-                for place in range(len(self.members[c]) - 1, -1, -1):
+            moves = free & (best_c != self.cluster_of) & (best_e > -np.inf)
+            moved = bool(moves.any())
+            for c in np.unique(self.cluster_of[moves]).tolist():
+                own = np.array(self.members[c])
+                for place in np.flatnonzero(moves[own] & (best_c[own] != c))[::-1].tolist():
                     i = self.members[c][place]
                     to = int(best_c[i])
-                    if to != c and i not in fixed and best_e[i] > -np.inf:
-                        self._remove(c, place)
-                        self.members[to].append(i)
-                        self.cluster_reads[to] += int(self.reads[i])
-                        self.cluster_of[i] = to
-                        self.own_lam[i], self.own_ham[i] = self.lam[to][i], self.ham[to][i]
-                        changed |= {c, to}
-                        moved = True
+                    self._remove(c, place)
+                    self.members[to].append(i)
+                    self.cluster_reads[to] += int(self.reads[i])
+                    self.cluster_of[i] = to
+                    self.own_lam[i], self.own_ham[i] = self.lam[to][i], self.ham[to][i]
+                    changed |= {c, to}
             if not moved:
                 break
         return changed
@@ -359,10 +368,7 @@ def mark_priors(uniques: DataFrame, priors: DataFrame) -> DataFrame:
 
 def pooled_uniques(uniques: DataFrame) -> DataFrame:
     """Uniques over all samples, counts and quality sums added up, ranked anew."""
-    spread = uniques.select("seq", F.posexplode("qual_sum").alias("pos", "q")).groupBy("seq", "pos").agg(F.sum("q").alias("q"))
-    quals = spread.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "q"))), lambda x: x["q"]).alias("qual_sum"))
-    counts = uniques.groupBy("seq").agg(F.sum("count").alias("count"))
-    return rank_uniques(counts.join(quals, "seq").withColumn("sample_id", F.lit("pooled")))
+    return rank_uniques(merged_uniques(uniques.withColumn("sample_id", F.lit("pooled"))))
 
 
 def denoise_pooled(uniques: DataFrame, err: np.ndarray, params: DenoiseParams = DenoiseParams()) -> DataFrame:
@@ -381,12 +387,68 @@ def pseudo_priors(first: DataFrame, min_prevalence: int = 2, min_abundance: int
     return found.where(wanted if min_abundance is None else wanted | (F.col("total") >= min_abundance)).select("seq")
 
 
-def denoise_pseudo(uniques: DataFrame, err: np.ndarray, params: DenoiseParams = DenoiseParams(), min_prevalence: int = 2, min_abundance: int | None = None) -> DataFrame:
-    """Two rounds per sample, the second with the first's shared sequences as priors."""
+def denoise_pseudo(
+    uniques: DataFrame,
+    err: np.ndarray,
+    params: DenoiseParams = DenoiseParams(),
+    min_prevalence: int = 2,
+    min_abundance: int | None = None,
+    refit: Callable[[DataFrame], np.ndarray] | None = None,
+) -> DataFrame:
+    """Two rounds per sample, the second with the first's shared sequences as priors.
+
+    ``refit`` makes the second round's model from the first round's transition counts (N16).
+    """
     priors = pseudo_priors(denoise(uniques, err, params), min_prevalence, min_abundance)
+    if refit is not None:
+        err = refit(transition_counts(uniques, err, params))
+    # few rows, needed by every sample of the second round: they are made once
+    priors = priors.persist()
     return denoise(mark_priors(uniques, priors), err, params)
 
 
+def posthoc_pvalues(found: DataFrame) -> DataFrame:
+    """:func:`variants` with ``post_pval``: how likely so many reads are if all reads of the cluster that it was split from had been its errors' source."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            known = pdf["birth_e"].notna()
+            pdf["post_pval"] = [poisson_upper_tail(int(n), float(e)) if ok else None for n, e, ok in zip(pdf["abundance"], pdf["birth_e"].fillna(0.0), known, strict=True)]
+            yield pdf
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", post_pval double"
+    return found.mapInPandas(run, schema)
+
+
+def birth_substitutions(found: DataFrame, scoring: al.Scoring = al.Scoring()) -> DataFrame:
+    """``sample_id, asv_idx, pos, ref_nt, query_nt``: where each variant differs from the one that it was split from."""
+    own = found.select("sample_id", "asv_idx", "birth_from", F.col("seq").alias("query"))
+    parents = found.select("sample_id", F.col("asv_idx").alias("birth_from"), F.col("seq").alias("ref"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for sample, asv, ref, query in zip(pdf["sample_id"], pdf["asv_idx"], pdf["ref"], pdf["query"], strict=True):
+                subs = al.substitutions(*al.align_many(al.encoded(ref), [al.encoded(query)], scoring)[0])
+                rows += [(sample, asv, int(p), chr(r), chr(q)) for p, r, q in zip(subs.ref_positions, subs.ref_bases, subs.query_bases, strict=True)]
+            yield pd.DataFrame(rows, columns=["sample_id", "asv_idx", "pos", "ref_nt", "query_nt"])
+
+    pairs = own.join(parents, ["sample_id", "birth_from"]).where("asv_idx <> birth_from")
+    return pairs.mapInPandas(run, "sample_id string, asv_idx int, pos int, ref_nt string, query_nt string")
+
+
+def generations(births: DataFrame) -> DataFrame:
+    """``sample_id, depth, n``: of rows ``sample_id, idx, parent``, how many descend from 0 in so many steps."""
+    name = f"births_{uuid.uuid4().hex}"
+    births.select("sample_id", "idx", "parent").createOrReplaceTempView(name)
+    return births.sparkSession.sql(
+        f"""with recursive tree(sample_id, idx, depth) as (
+              select sample_id, idx, 0 from {name} where idx = 0
+              union all select k.sample_id, k.idx, t.depth + 1 from {name} k join tree t on k.sample_id = t.sample_id and k.parent = t.idx where k.idx > 0)
+            select sample_id, depth, count(*) as n from tree group by sample_id, depth"""
+    )
+
+
 def failed_uniques(result: DataFrame) -> DataFrame:
     """Uniques that no cluster keeps, by sample, reads (most first) and sequence (SK8)."""
     return result.where("assigned is null").select(F.col("seq").alias("sequence"), F.col("sample_id").alias("sample"), F.col("count").alias("reads")).orderBy(

@@ -11,11 +11,13 @@ import subprocess
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ampliframe.functions.stats import loess, poisson_upper_tail
 from ampliframe.operators.denoise import transition_counts
+from ampliframe.operators.derep import within_bases
 from ampliframe.params import DenoiseParams, LearnParams
 
 NT = "ACGT"
@@ -153,10 +155,11 @@ def detect_nq(uniques: DataFrame) -> int:
 def learn_errors(uniques: DataFrame, params: LearnParams = LearnParams(), fit: Callable | None = None) -> tuple[np.ndarray, list[dict]]:
     """Error rates by alternating denoising and fitting until a model comes back (E1, T15); and a record of each round.
 
+    Samples are taken until they have ``params.bases`` bases (in the order of their names or, with a seed, shuffled).
     A round is one Spark job over the samples; its result is one table of transition counts.
     """
     fit = fit or MODELS[params.model]
-    uniques = uniques.persist()
+    uniques = within_bases(uniques, params.bases, params.seed).persist()
     nq = detect_nq(uniques)
     from dataclasses import replace
 
@@ -179,12 +182,13 @@ def learn_errors(uniques: DataFrame, params: LearnParams = LearnParams(), fit: C
 
 def suspicious_positions(births: DataFrame, alpha: float = 1e-3) -> DataFrame:
     """Positions that more variants differ at than chance allows: ``pos, n, pval`` (E12). ``births``: a row ``pos`` per birth substitution."""
-    counts = births.groupBy("pos").agg(F.count("*").alias("n"))
+    counts = births.groupBy("pos").agg(F.count("*").alias("n")).persist()
     mean = counts.agg(F.avg("n")).collect()[0][0] or 0.0
 
-    @F.udf("double")
-    def tail(n: int) -> float:
-        return poisson_upper_tail(n, mean)
+    @F.pandas_udf("double")
+    def tail(n: pd.Series) -> pd.Series:
+        known = {k: poisson_upper_tail(int(k), mean) for k in n.unique()}
+        return n.map(known).astype(float)
 
     return counts.withColumn("pval", tail("n")).where(F.col("pval") < alpha)
 

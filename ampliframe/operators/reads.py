@@ -51,6 +51,13 @@ def filtered_pairs(forward: DataFrame, reverse: DataFrame, params: FilterParams
     return f.join(r, keys)
 
 
+def filter_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``sample_id, reads_in, reads_out, bases_in, bases_out`` of a filter; samples that lose all reads stay."""
+    summed = lambda df, side: df.groupBy("sample_id").agg(F.count("*").alias(f"reads_{side}"), F.sum(F.length("seq")).alias(f"bases_{side}"))
+    joined = summed(before, "in").join(summed(after, "out"), "sample_id", "left").na.fill(0)
+    return joined.select("sample_id", "reads_in", "reads_out", "bases_in", "bases_out")
+
+
 def without_phix(reads: DataFrame, genome: str, word: int = 16, min_hits: int = 2) -> DataFrame:
     """Reads with fewer than ``min_hits`` separate words of a circular genome, on either strand."""
     both = [genome.upper(), "".join({"A": "T", "C": "G", "G": "C", "T": "A"}.get(c, "N") for c in reversed(genome.upper()))]

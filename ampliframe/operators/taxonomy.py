@@ -123,6 +123,13 @@ def genus_matches(own: Column, classified: Column) -> Column:
     return (own == classified) | classified.startswith(F.concat(own, F.lit(" "))) | (F.get(slash, F.lit(0)) == own) | (F.element_at(slash, -1) == own)
 
 
+def species_of_genus(found: DataFrame, taxonomy: DataFrame, level: int = 5) -> DataFrame:
+    """:func:`assign_species` beside the classifier's ``seq, taxonomy``: species only where both name the same genus."""
+    classified = taxonomy.select("seq", F.get("taxonomy", F.lit(level)).alias("classified"))
+    agree = F.coalesce(genus_matches(F.col("genus"), F.col("classified")), F.lit(False))
+    return found.join(classified, "seq", "left").withColumn("species", F.when(agree, F.col("species")))
+
+
 def assign_species(sequences: DataFrame, references: DataFrame, allow_multiple: int = 1, try_reverse: bool = False, merge_genera: bool = True) -> DataFrame:
     """``seq, genus, species``: exact matches whose genera agree, species joined by slashes up to ``allow_multiple`` (0: any number; J9, A17)."""
     refs = references

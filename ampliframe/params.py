@@ -69,6 +69,7 @@ class DenoiseParams:
 @dataclass(frozen=True)
 class LearnParams:
     bases: float = 1e8
+    seed: int | None = None
     max_rounds: int = 10
     model: str = "loess"
     pseudocount: float = 1.0

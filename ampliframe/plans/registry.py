@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ampliframe.functions import sequences as sq
 from ampliframe.operators import denoise as dn
 from ampliframe.operators import derep, errors, reads, tables, taxonomy
-from ampliframe.params import BimeraParams, FilterParams, LearnParams, MergeParams, PrimerParams
-from ampliframe.plans import fixtures
+from ampliframe.params import BimeraParams, DenoiseParams, FilterParams, LearnParams, MergeParams, PrimerParams
+from ampliframe.plans import file_queries, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Uniques of a sample that pairwise queries compare.
-TOP_PAIRS, TOP_BIMERA = 20, 60
+#: The feature of ``nearest_parent``: the first uniques of a sample.
+TOP_PARENTS = 20
 FILTER = FilterParams(trunc_q=20, min_len=20, max_n=0, max_ee=0.01)
 SAMPLES = ["s0", "s1", "s2", "s3"]
 _Q = "list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)"
@@ -41,13 +41,12 @@ def _uniques(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = _uniques(spark, sf_dir).where(F.col("uniq_idx") < TOP_PAIRS)
-    a = top.select("sample_id", F.col("seq").alias("a"), F.col("uniq_idx").alias("i"))
-    b = top.select("sample_id", F.col("seq").alias("b"), F.col("uniq_idx").alias("j"))
-    return a.join(b, "sample_id").where("i < j").select("a", "b").distinct()
+    """Every unique with every template."""
+    uniques = _uniques(spark, sf_dir).select(F.col("seq").alias("a")).distinct()
+    return uniques.crossJoin(F.broadcast(fixtures.templates(spark).select(F.col("seq").alias("b"))))
 
 
-_PAIRS_SQL = f", pairs as (select distinct x.seq a, y.seq b from ranked x join ranked y on x.sample_id = y.sample_id and x.idx < y.idx where y.idx < {TOP_PAIRS})"
+_PAIRS_SQL = ", pairs as (select distinct u.seq a, t.seq b from uniq u cross join tpls t)"
 
 
 # --- reads -----------------------------------------------------------------------
@@ -139,11 +138,15 @@ def cycle_histogram(spark, sf_dir):
 @query(
     f"""{_SPREAD_SQL}, ee as (select sample_id, pos, sum(pow(10.0, -q / 10.0)) over (partition by read_id, sample_id, seq, copy order by pos) ee
          from (select *, row_number() over (partition by sample_id, read_id, seq, pos order by q) copy from spread))
-    select sample_id, pos, round(avg(ee), 6) mean, round(min(ee), 6) min, round(max(ee), 6) max from ee group by all"""
+    , cells as (select sample_id, pos, greatest(0, least(199, floor((log10(greatest(ee, 1e-300)) + 4) / 7 * 200))) bin, count(*) n from ee group by all),
+    upto as (select *, sum(n) over (partition by sample_id, pos order by bin) upto, sum(n) over (partition by sample_id, pos) total, pow(10.0, (bin + 0.5) / 200 * 7 - 4) centre from cells),
+    quarters as (select sample_id, pos, round(min(centre) filter (upto >= 0.25 * total), 6) q25, round(min(centre) filter (upto >= 0.5 * total), 6) median, round(min(centre) filter (upto >= 0.75 * total), 6) q75 from upto group by all),
+    plain as (select sample_id, pos, round(avg(ee), 6) mean, round(min(ee), 6) min, round(max(ee), 6) max from ee group by all)
+    select * from plain join quarters using (sample_id, pos)"""
 )
 def cumulative_ee(spark, sf_dir):
     out = reads.cumulative_error_summary(fixtures.reads(spark, sf_dir))
-    return out.select("sample_id", "pos", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max")])
+    return out.select("sample_id", "pos", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max", "q25", "median", "q75")])
 
 
 @query(f"{_SPREAD_SQL} select sample_id, cast(q as int) q, count(*) n from spread group by all")
@@ -171,7 +174,7 @@ def kmer_counts(spark, sf_dir):
     return tables.kmer_counts(_uniques(spark, sf_dir).select("seq").distinct(), 3)
 
 
-_DIST_SQL = _PAIRS_SQL + _KMER_SQL.format(k=5) + ", shared as (select a, b, sum(least(x.n, y.n)) s from pairs join kc x on x.seq = a join kc y on y.seq = b and y.kmer = x.kmer group by a, b)"
+_DIST_SQL = _PAIRS_SQL + _KMER_SQL.format(k=5).replace("from uniq)", "from uniq union select seq from tpls)") + ", shared as (select a, b, sum(least(x.n, y.n)) s from pairs join kc x on x.seq = a join kc y on y.seq = b and y.kmer = x.kmer group by a, b)"
 
 
 @query(_DIST_SQL + " select p.a, p.b, round(1 - coalesce(s, 0) / (least(length(p.a), length(p.b)) - 4.0), 6) dist from pairs p left join shared h on p.a = h.a and p.b = h.b")
@@ -188,13 +191,13 @@ def kord_dist(spark, sf_dir):
 
 @query(
     _KMER_SQL.format(k=5)
-    + f""", cand as (select x.sample_id, x.seq a, y.seq b, y.idx from ranked x join ranked y on x.sample_id = y.sample_id and y.n > x.n where x.idx < {TOP_PAIRS} and y.idx < {TOP_PAIRS}),
+    + f""", cand as (select x.sample_id, x.seq a, y.seq b, y.idx from ranked x join ranked y on x.sample_id = y.sample_id and y.n > x.n where x.idx < {TOP_PARENTS} and y.idx < {TOP_PARENTS}),
     shared as (select sample_id, a, b, idx, sum(least(x.n, y.n)) s from cand join kc x on x.seq = a join kc y on y.seq = b and y.kmer = x.kmer group by all),
     d as (select c.sample_id, c.a, c.b, c.idx, 1 - coalesce(s, 0) / 60.0::double dist from cand c left join shared s on c.sample_id = s.sample_id and c.a = s.a and c.b = s.b)
     select sample_id, a seq, arg_min(b, struct_pack(d := dist, i := idx)) parent, round(min(dist), 6) dist from d group by sample_id, a"""
 )
 def nearest_parent(spark, sf_dir):
-    return tables.nearest_parents(_uniques(spark, sf_dir), 5, TOP_PAIRS).withColumn("dist", F.round("dist", 6))
+    return tables.nearest_parents(_uniques(spark, sf_dir), 5, TOP_PARENTS).withColumn("dist", F.round("dist", 6))
 
 
 @query(f"select distinct seq, {_RC.format('seq')} rc from uniq")
@@ -247,10 +250,10 @@ def pooled_uniques(spark, sf_dir):
     return pooled.select("seq", "count", "uniq_idx")
 
 
-@query("select seq as sequence, sample_id as sample, n as reads from ranked where n < 5")
+@query()
 def failed_uniques(spark, sf_dir):
-    mapped = _uniques(spark, sf_dir).withColumn("assigned", F.when(F.col("count") >= 5, F.col("uniq_idx")))
-    return dn.failed_uniques(mapped)
+    uniques = derep.dereplicate(fixtures.reads(spark, sf_dir))
+    return dn.failed_uniques(dn.denoise(uniques, _model(spark, sf_dir), DenoiseParams(omega_c=0.01)))
 
 
 def _mates(spark, sf_dir):
@@ -278,15 +281,16 @@ def merge_concat(spark, sf_dir):
 
 
 def _transitions(spark, sf_dir):
-    """Transitions of every read from its template, position by position."""
-    r = fixtures.reads(spark, sf_dir).join(F.broadcast(fixtures.templates(spark).select(F.col("t").alias("template"), F.col("seq").alias("ref"))), "template")
-    zipped = F.explode(F.arrays_zip(F.split("ref", "").alias("ref_nt"), F.split("seq", "").alias("query_nt"), sq.phred(F.col("qual")).alias("q"))).alias("x")
-    return r.select("sample_id", zipped).groupBy("sample_id", "x.ref_nt", "x.query_nt", "x.q").agg(F.count("*").alias("n"))
+    """Transitions of every sample's partition, all uniques kept, as the learning of error rates counts them."""
+    uniques = derep.dereplicate(fixtures.reads(spark, sf_dir))
+    return dn.transition_counts(uniques, _model(spark, sf_dir), LearnParams().denoise)
 
 
-_TRANS_SQL = f""", trans as (select sample_id, ref_nt, query_nt, cast(q as int) q, count(*) n from (
-  select sample_id, unnest(string_split(tpls.seq, '')) ref_nt, unnest(string_split(reads.seq, '')) query_nt, unnest({_Q}) q
-  from reads join tpls on template = t) group by all)"""
+# every unique joins the cluster of the template that it was drawn from
+_TRANS_SQL = f"""{_SUMS_SQL}, origin as (select distinct sample_id, seq, template from reads),
+trans as (select sample_id, ref_nt, query_nt, q, cast(sum(n) as bigint) n from (
+  select s.sample_id, substr(tpls.seq, pos + 1, 1) ref_nt, substr(s.seq, pos + 1, 1) query_nt, cast(floor(qsum / u.n + 0.5) as int) q, u.n
+  from sums s join uniq u on s.sample_id = u.sample_id and s.seq = u.seq join origin o on s.sample_id = o.sample_id and s.seq = o.seq join tpls on template = t) group by all)"""
 
 
 @query(f"{_TRANS_SQL} select * from trans")
@@ -318,11 +322,10 @@ def inflate_err(spark, sf_dir):
 
 
 def _bimera_table(spark, sf_dir):
-    return _uniques(spark, sf_dir).where(F.col("uniq_idx") < TOP_BIMERA).select("sample_id", "seq", "count")
+    return _uniques(spark, sf_dir).select("sample_id", "seq", "count")
 
 
-_PARENTS_SQL = f""", cand as (select x.sample_id, x.seq query, y.seq parent from ranked x join ranked y on x.sample_id = y.sample_id and y.n > 1.5 * x.n and y.n >= 2 and x.seq <> y.seq
-  where x.idx < {TOP_BIMERA} and y.idx < {TOP_BIMERA})"""
+_PARENTS_SQL = """, cand as (select x.sample_id, x.seq query, y.seq parent, x.n n, y.n m from ranked x join ranked y on x.sample_id = y.sample_id and y.n > 1.5 * x.n and y.n >= 2 and x.seq <> y.seq)"""
 
 
 @query(f"{_PARENTS_SQL} select sample_id, query, count(*) parents from cand group by all")
@@ -330,32 +333,45 @@ def parent_candidates(spark, sf_dir):
     return tables.parent_pairs(_bimera_table(spark, sf_dir)).groupBy("sample_id", "query").agg(F.count("*").alias("parents"))
 
 
+# without shifts an alignment is position by position, which SQL can say; remove_bimera and chimera_diagnostics have the default shifts
+_UNSHIFTED = BimeraParams(max_shift=0)
 _PREFIX_SQL = "coalesce(list_position(list_transform(range(1, 65), lambda i: substr({0}, cast(i as int), 1) <> substr({1}, cast(i as int), 1)), true) - 1, 64)"
-_COVER_SQL = f"""{_PARENTS_SQL}, cover as (select sample_id, query, {_PREFIX_SQL.format('query', 'parent')} l, {_PREFIX_SQL.format('reverse(query)', 'reverse(parent)')} r from cand),
-flags as (select sample_id, query, cast(max(l) as int) max_left, cast(max(r) as int) max_right, max(l) + max(r) >= 64 flagged from cover where l + r < 64 group by all)"""
+_COVER_SQL = f"""{_PARENTS_SQL}, apart as (select query, parent, {_PREFIX_SQL.format('query', 'parent')} l, {_PREFIX_SQL.format('reverse(query)', 'reverse(parent)')} r from (select distinct query, parent from cand)),
+cover as (select cand.*, l, r from cand join apart using (query, parent)),
+flags as (select sample_id, query, count(*) parents, max(l) + max(r) >= 64 flagged from cover where l + r < 64 group by all)"""
 
 
-def _prefix_flags(spark, sf_dir):
-    pairs = tables.parent_pairs(_bimera_table(spark, sf_dir))
-    pairs = pairs.withColumn("l", sq.common_prefix(F.col("query"), F.col("parent"))).withColumn("r", sq.common_prefix(F.reverse("query"), F.reverse("parent")))
-    best = pairs.where("l + r < length(query)").groupBy("sample_id", "query").agg(F.max("l").alias("max_left"), F.max("r").alias("max_right"))
-    return best.withColumn("flagged", F.col("max_left") + F.col("max_right") >= F.length("query"))
+@query(f"{_COVER_SQL} select * from flags")
+def bimera_flags(spark, sf_dir):
+    return tables.bimera_flags(_bimera_table(spark, sf_dir), _UNSHIFTED)
 
 
-@query(f"{_COVER_SQL} select * from flags")
-def bimera_prefix_suffix(spark, sf_dir):
-    return _prefix_flags(spark, sf_dir)
+_VOTE_SQL = f"""{_COVER_SQL}, every as (select r.seq query, coalesce(flagged, false) flagged from ranked r left join flags f on r.sample_id = f.sample_id and r.seq = f.query),
+votes as (select query, count_if(flagged) n_flagged, count(*) n_samples, count_if(flagged) >= count(*) or (count_if(flagged) > 0 and count_if(flagged) >= (count(*) - 1) * 0.9) bimera from every group by query)"""
 
 
-@query(
-    f"""{_COVER_SQL}, every as (select r.seq query, coalesce(flagged, false) flagged from ranked r left join flags f on r.sample_id = f.sample_id and r.seq = f.query where idx < {TOP_BIMERA})
-    select query, count_if(flagged) n_flagged, count(*) n_samples, count_if(flagged) >= count(*) or (count_if(flagged) > 0 and count_if(flagged) >= (count(*) - 1) * 0.9) bimera from every group by query"""
-)
+@query(f"{_VOTE_SQL} select * from votes")
 def bimera_vote(spark, sf_dir):
-    every = _bimera_table(spark, sf_dir).select("sample_id", F.col("seq").alias("query")).join(_prefix_flags(spark, sf_dir), ["sample_id", "query"], "left")
+    table = _bimera_table(spark, sf_dir)
+    every = table.select("sample_id", F.col("seq").alias("query")).join(tables.bimera_flags(table, _UNSHIFTED), ["sample_id", "query"], "left")
     return tables.consensus_vote(every.withColumn("flagged", F.coalesce("flagged", F.lit(False))))
 
 
+@query(f"{_VOTE_SQL} select sample_id, seq, n as count from uniq where seq not in (select query from votes where bimera)")
+def remove_bimera_unshifted(spark, sf_dir):
+    return tables.without_bimeras(_bimera_table(spark, sf_dir), _UNSHIFTED).select("sample_id", "seq", "count")
+
+
+@query(f"{_COVER_SQL} select u.sample_id, u.seq, u.n as count from uniq u left join flags f on u.sample_id = f.sample_id and u.seq = f.query where not coalesce(parents >= 2 and flagged, false)")
+def remove_bimera_per_sample(spark, sf_dir):
+    return tables.without_bimeras(_bimera_table(spark, sf_dir), BimeraParams(max_shift=0, method="per-sample")).select("sample_id", "seq", "count")
+
+
+@query()
+def remove_bimera(spark, sf_dir):
+    return tables.without_bimeras(_bimera_table(spark, sf_dir), BimeraParams()).select("sample_id", "seq", "count")
+
+
 # --- taxonomy, truth sets, tracking ----------------------------------------------
 
 
@@ -392,19 +408,37 @@ def tax_truncate(spark, sf_dir):
 _EDITS_SQL = ", d as (select distinct u.seq, t.t, len(list_filter(range(1, 65), lambda i: substr(u.seq, cast(i as int), 1) <> substr(t.seq, cast(i as int), 1))) edits from (select distinct seq from uniq) u join tpls t on true)"
 
 
-@query(f"{_EDITS_SQL}, best as (select seq, min(edits) e from d group by seq) select case when e = 0 then 'TP' when e <= 3 then 'Near' else 'FP' end class, count(*) n from best group by 1")
+def _truth(spark):
+    return fixtures.templates(spark).select(F.col("t").alias("ref"), F.col("seq").alias("ref_seq"))
+
+
+_CLASS_SQL = f"{_EDITS_SQL}, best as (select seq, min(edits) e from d group by seq), classes as (select seq, cast(e as int) edits, case when e = 0 then 'TP' when e <= 3 then 'Near' else 'FP' end class from best)"
+
+
+@query(f"{_CLASS_SQL} select * from classes")
+def reference_evaluation(spark, sf_dir):
+    return tables.reference_evaluation(_uniques(spark, sf_dir), _truth(spark)).select("seq", "edits", "class")
+
+
+@query(f"{_CLASS_SQL} select class, count(*) n from classes group by 1")
 def confusion(spark, sf_dir):
-    pairs = _uniques(spark, sf_dir).select("seq").distinct().join(F.broadcast(fixtures.templates(spark).select(F.col("seq").alias("ref"))), F.lit(True))
-    best = pairs.groupBy("seq").agg(F.min(sq.hamming(F.col("seq"), F.col("ref"))).alias("e"))
-    kind = F.when(F.col("e") == 0, "TP").when(F.col("e") <= 3, "Near").otherwise("FP")
-    return best.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+    return tables.reference_report(_uniques(spark, sf_dir), _truth(spark))["counts"]
 
 
-@query(f"{_EDITS_SQL}, best as (select seq, min(edits) e from d group by seq) select cast(unnest([0, 1, 2, 4]) as int) band, round(unnest([avg(cast(e <= 0 as int)), avg(cast(e <= 1 as int)), avg(cast(e <= 2 as int)), avg(cast(e <= 4 as int))]), 6) fraction from best")
+@query(f"{_EDITS_SQL} select cast(unnest([0, 1, 2, 4]) as int) band, 1.0 :: double fraction from (select 1)")
 def band_fit(spark, sf_dir):
-    pairs = _uniques(spark, sf_dir).select("seq").distinct().join(F.broadcast(fixtures.templates(spark).select(F.col("seq").alias("ref"))), F.lit(True))
-    best = pairs.groupBy("seq").agg(F.min(sq.hamming(F.col("seq"), F.col("ref"))).alias("band_needed"))
-    return tables.band_fit(best, [0, 1, 2, 4]).withColumn("fraction", F.round("fraction", 6))
+    return tables.band_fit(tables.align_pairs(_own_pairs(spark, sf_dir)), [0, 1, 2, 4]).withColumn("fraction", F.round("fraction", 6))
+
+
+def _own_pairs(spark, sf_dir):
+    """Every unique with the template that it was drawn from."""
+    drawn = fixtures.reads(spark, sf_dir).select(F.col("template").alias("t"), F.col("seq").alias("a")).distinct()
+    return drawn.join(fixtures.templates(spark).select("t", F.col("seq").alias("b")), "t").select("a", "b")
+
+
+@query("select distinct r.seq a, tpls.seq b, r.seq aligned_a, tpls.seq aligned_b, cast(64 - hamming(r.seq, tpls.seq) as int) n_match, cast(hamming(r.seq, tpls.seq) as int) n_mismatch, 0 n_indel, 0 band_needed from reads r join tpls on template = t")
+def align_own(spark, sf_dir):
+    return tables.align_pairs(_own_pairs(spark, sf_dir))
 
 
 @query(
@@ -430,20 +464,14 @@ def asv_set_diff(spark, sf_dir):
 
 
 @query(
-    """, kids as (select sample_id, idx, cast(floor((idx - 1) / 2.0) as int) parent from ranked where idx between 1 and 62),
+    """, kids as (select sample_id, idx, cast(floor((idx - 1) / 2.0) as int) parent from ranked where idx >= 1),
     tree as (select distinct sample_id, 0 idx, 0 depth from ranked where idx = 0 union all select k.sample_id, k.idx, t.depth + 1 from kids k join tree t on k.sample_id = t.sample_id and k.parent = t.idx)
     select sample_id, depth, count(*) n from tree group by all"""
 )
 def genealogy_recursive(spark, sf_dir):
-    """Clusters by generation: who was split off from whom, followed down from the first."""
-    born = _uniques(spark, sf_dir).where("uniq_idx <= 62").select("sample_id", F.col("uniq_idx").alias("idx"))
-    born.withColumn("parent", F.floor((F.col("idx") - 1) / 2).cast("int")).createOrReplaceTempView("cluster_births")
-    return spark.sql(
-        """with recursive tree(sample_id, idx, depth) as (
-             select sample_id, idx, 0 from cluster_births where idx = 0
-             union all select k.sample_id, k.idx, t.depth + 1 from cluster_births k join tree t on k.sample_id = t.sample_id and k.parent = t.idx where k.idx > 0)
-           select sample_id, depth, count(*) as n from tree group by sample_id, depth"""
-    )
+    """Descent in a tree of all uniques by rank; ``denoise_genealogy`` has the clusters' own."""
+    born = _uniques(spark, sf_dir).select("sample_id", F.col("uniq_idx").alias("idx"))
+    return dn.generations(born.withColumn("parent", F.floor((F.col("idx") - 1) / 2).cast("int")))
 
 
 # --- kernels: no SQL, tested against plain versions ------------------------------
@@ -453,6 +481,61 @@ def _model(spark, sf_dir):
     return errors.default_model(41)
 
 
+_ORIGIN_SQL = ", found as (select sample_id, tpls.seq, cast(count(*) as bigint) abundance, cast(count(distinct r.seq) as bigint) n_uniques from reads r join tpls on template = t group by 1, 2)"
+
+
+def _denoised(spark, sf_dir):
+    return dn.denoise(derep.dereplicate(fixtures.reads(spark, sf_dir)), _model(spark, sf_dir), LearnParams().denoise)
+
+
+@query(f"{_ORIGIN_SQL} select * from found")
+def denoise_variants(spark, sf_dir):
+    return dn.variants(_denoised(spark, sf_dir)).select("sample_id", "seq", "abundance", "n_uniques")
+
+
+@query(", m as (select distinct sample_id, seq, template from reads) select m.sample_id, m.seq, tpls.seq center, cast(hamming(m.seq, tpls.seq) as int) hamming from m join tpls on template = t")
+def denoise_map(spark, sf_dir):
+    rows = _denoised(spark, sf_dir)
+    centers = rows.where("is_center").select("sample_id", "cluster", F.col("seq").alias("center"))
+    return rows.join(centers, ["sample_id", "cluster"]).select("sample_id", "seq", "center", "hamming")
+
+
+@query(f"{_SUMS_SQL}, o as (select distinct sample_id, seq, template from reads) select sample_id, tpls.seq center, pos, round(sum(qsum) / sum(n), 6) quality from sums join uniq using (sample_id, seq) join o using (sample_id, seq) join tpls on template = t group by 1, 2, 3")
+def cluster_quality(spark, sf_dir):
+    uniques = derep.dereplicate(fixtures.reads(spark, sf_dir)).persist()
+    rows = dn.denoise(uniques, _model(spark, sf_dir), LearnParams().denoise).persist()
+    centers = rows.where("is_center").select("sample_id", "cluster", F.col("seq").alias("center"))
+    return dn.cluster_quality(rows, uniques).join(centers, ["sample_id", "cluster"]).select("sample_id", "center", "pos", F.round("quality", 6).alias("quality"))
+
+
+@query(f"{_ORIGIN_SQL} select sample_id, seq, abundance from found")
+def denoise_pooled_variants(spark, sf_dir):
+    pooled = dn.denoise_pooled(derep.dereplicate(fixtures.reads(spark, sf_dir)), _model(spark, sf_dir), LearnParams().denoise)
+    return pooled.select("sample_id", "seq", "abundance")
+
+
+@query(f"{_ORIGIN_SQL} select sample_id, seq, abundance from found")
+def denoise_pseudo_variants(spark, sf_dir):
+    found = dn.denoise_pseudo(derep.dereplicate(fixtures.reads(spark, sf_dir)), _model(spark, sf_dir), LearnParams().denoise)
+    return dn.variants(found).select("sample_id", "seq", "abundance")
+
+
+@query()
+def denoise_genealogy(spark, sf_dir):
+    born = dn.variants(_denoised(spark, sf_dir)).select("sample_id", F.col("asv_idx").alias("idx"), F.col("birth_from").alias("parent"))
+    return dn.generations(born)
+
+
+@query()
+def birth_substitutions(spark, sf_dir):
+    return dn.birth_substitutions(dn.variants(_denoised(spark, sf_dir)))
+
+
+@query()
+def posthoc_pvalues(spark, sf_dir):
+    return dn.posthoc_pvalues(dn.variants(_denoised(spark, sf_dir))).select("sample_id", "asv_idx", "post_pval")
+
+
 @query()
 def denoise_sample(spark, sf_dir):
     return dn.variants(dn.denoise(derep.dereplicate(fixtures.reads(spark, sf_dir)), _model(spark, sf_dir)))
@@ -480,14 +563,11 @@ def loess_rates(spark, sf_dir):
     return errors.to_table(spark, errors.loess_rates(counts))
 
 
-@query()
+# mates come from one read, so they agree in all 24 bases that they share
+@query(f"{_MATES_SQL}, whole as (select sample_id, read_id, any_value(seq) seq from reads group by all) select sample_id, seq_f, seq_r, seq, 24 n_match, 0 n_mismatch, 0 n_indel, true accept, cast(count(*) as bigint) as count from mates join whole using (sample_id, read_id) group by 1, 2, 3, 4")
 def merge_pairs(spark, sf_dir):
-    return tables.merge_pairs(tables.pair_counts(*_mates(spark, sf_dir)), MergeParams())
-
-
-@query()
-def remove_bimera(spark, sf_dir):
-    return tables.without_bimeras(_bimera_table(spark, sf_dir), BimeraParams())
+    merged = tables.merge_pairs(tables.pair_counts(*_mates(spark, sf_dir)), MergeParams())
+    return merged.select("sample_id", "seq_f", "seq_r", "seq", "n_match", "n_mismatch", "n_indel", "accept", "count")
 
 
 @query()
@@ -497,7 +577,7 @@ def chimera_diagnostics(spark, sf_dir):
 
 @query()
 def assign_taxonomy(spark, sf_dir):
-    return taxonomy.assign_taxonomy(_uniques(spark, sf_dir).where("count >= 5"), fixtures.templates(spark))
+    return taxonomy.assign_taxonomy(_uniques(spark, sf_dir), fixtures.templates(spark))
 
 
 @query()
@@ -510,3 +590,6 @@ def remove_primers(spark, sf_dir):
 def align_pairs(spark, sf_dir):
     return tables.align_pairs(_pairs(spark, sf_dir))
 
+
+QUERIES |= file_queries.QUERIES
+ORACLES |= file_queries.ORACLES

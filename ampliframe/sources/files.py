@@ -6,10 +6,14 @@ file system that Spark reads, plain or compressed.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ampliframe.operators.derep import rank_uniques
+
 SUFFIXES = r"\.(fastq|fq|fasta|fa|json|txt)(\.(gz|bz2|zst))?$"
 TAG, VERSION = "ampliframe_stage", 1
 
@@ -107,3 +111,67 @@ def taxonomy_table(taxonomy: DataFrame, levels: list[str], missing: str = "NA")
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
     """An error model as a table ``ref_nt, query_nt, q, rate`` (SC15)."""
     return spark.read.schema("ref_nt string, query_nt string, q int, rate double").option("header", True).csv(path)
+
+
+def checked_paths(paths: str | list[str]) -> list[str]:
+    """Paths as a list; an empty one or none at all is an error that says so (SC14)."""
+    found = [paths] if isinstance(paths, str) else list(paths)
+    if not found or not all(p.strip() for p in found):
+        raise ValueError("no input paths; did a pattern match nothing?")
+    return found
+
+
+def is_fasta(path: str) -> bool:
+    return re.search(r"\.(fasta|fa|fna)(\.(gz|bz2|zst))?$", path.lower()) is not None
+
+
+UNIQUES = "sample_id string, uniq_idx int, seq string, count long, qual_sum array<long>"
+
+
+def read_uniques(spark: SparkSession, path: str) -> DataFrame:
+    """Uniques of a stage file, ranked anew: most reads first, then sequence (SC6)."""
+    return rank_uniques(read_stage(spark, path, UNIQUES, ["derep"]).drop("uniq_idx"))
+
+
+def read_reads(spark: SparkSession, path: str) -> DataFrame:
+    """Reads by what the suffix says: a FASTA file's sequences (best quality) or FASTQ (SC7)."""
+    if not is_fasta(path):
+        return read_fastq(spark, path)
+    rows = read_fasta(spark, path).withColumn("sample_id", F.lit(None).cast("string"))
+    return rows.select("sample_id", F.monotonically_increasing_id().alias("read_no"), F.col("header").alias("name"), F.lit("").alias("descr"), "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
+
+
+#: Steps whose output counts sequences by sample, and the columns that name sequence and count.
+COUNTED = {"derep": ("seq", "count"), "denoise": ("seq", "abundance"), "merge": ("seq", "count"), "table": ("seq", "count")}
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``sample_id, seq, count`` of any step's file, by the step that its rows name (SC8)."""
+    columns = sorted({c for pair in COUNTED.values() for c in pair} - {"seq"})
+    fields = ", ".join(f"{c} long" for c in columns)
+    rows = spark.read.schema(f"{TAG} string, sample_id string, seq string, {fields}").json(path)
+    count = F.coalesce(*[F.when(F.col(TAG) == step, F.col(c)) for step, (_, c) in COUNTED.items()])
+    known = F.coalesce(F.col(TAG), F.lit("none")).isin(list(COUNTED))
+    seq = F.when(known, F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("no counts in the output of step "), F.coalesce(F.col(TAG), F.lit("none")))))
+    return rows.select("sample_id", seq.alias("seq"), count.alias("count")).where("count is not null")
+
+
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """``seq``: distinct sequences of a FASTA file or of any step's counts (SC9)."""
+    rows = read_fasta(spark, path) if is_fasta(path) else read_counts(spark, path)
+    return rows.select(F.upper("seq").alias("seq")).distinct()
+
+
+def checked_rates(rates: DataFrame) -> DataFrame:
+    """An error model with all 16 transitions for every quality and no rate beyond 0 to 1, or an error (SC10)."""
+    bad = rates.groupBy("q").agg(F.count_distinct("ref_nt", "query_nt").alias("n"), F.count_if(~F.col("rate").between(0, 1) | F.col("rate").isNull()).alias("out"))
+    first = bad.where("n <> 16 or out > 0").orderBy("q").first()
+    if first is not None:
+        raise ValueError(f"not an error model: quality {first['q']} has {first['n']} of 16 transitions, {first['out']} of them out of range")
+    return rates
+
+
+def write_by_sample(df: DataFrame, path: str, stage: str, compression: str = "gzip") -> None:
+    """As :func:`write_stage`, a folder for each sample (SK4)."""
+    tagged = df.select(F.lit(stage).alias(TAG), F.lit(VERSION).alias("version"), *df.columns).withColumn("sample", F.col("sample_id"))
+    tagged.write.option("compression", compression).partitionBy("sample").json(path)

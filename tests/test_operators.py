@@ -144,3 +144,89 @@ def test_learn_errors_query_takes_the_default_rounds(spark, monkeypatch):
     monkeypatch.setattr(registry.errors, "learn_errors", lambda uniques, params: seen.append(params) or learn(uniques, params))
     assert registry.learn_errors(spark, "/root/testdata/sf0.001").count() > 0
     assert seen == [LearnParams()]
+
+
+def test_command_line(spark, tmp_path):
+    from ampliframe import cli
+    from ampliframe.plans import fixtures
+    from ampliframe.sources import files
+
+    at = lambda name: str(tmp_path / name)
+    rows = fixtures.reads(spark, "/root/testdata/sf0.001").where("sample_id = 's0'").select(F.col("read_id").alias("name"), F.lit("").alias("descr"), "seq", "qual")
+    files.write_fastq(rows.coalesce(1), at("raw"))
+    cli.main(["filter", at("raw"), "--out", at("filtered"), "--trunc-q", "0", "--min-len", "20"], spark)
+    cli.main(["derep", at("filtered"), "--out", at("uniques")], spark)
+    cli.main(["learn-errors", at("uniques"), "--out", at("rates"), "--model", "noqual"], spark)
+    cli.main(["denoise", at("uniques"), "--rates", at("rates"), "--out", at("variants")], spark)
+    cli.main(["table", at("variants"), "--out", at("table")], spark)
+    cli.main(["remove-bimera", at("table"), "--out", at("clean")], spark)
+    files.write_fasta(fixtures.templates(spark).select("header", "seq"), at("refs.fasta"), "header")
+    cli.main(["assign-taxonomy", at("clean"), "--references", at("refs.fasta"), "--out", at("taxonomy")], spark)
+    cli.main(["summary", at("raw"), "--out", at("summary")], spark)
+    table = files.read_counts(spark, at("table"))
+    assert table.agg(F.sum("count")).collect()[0][0] <= rows.count() and table.count() >= 7
+    assert spark.read.option("sep", "\t").option("header", True).csv(at("taxonomy")).count() == files.read_queries(spark, at("clean")).count()
+    with pytest.raises(ValueError, match="no input paths"):
+        cli.main(["summary", "", "--out", at("none")], spark)
+    with pytest.raises(ValueError, match="not an error model"):
+        files.checked_rates(spark.createDataFrame([("A", "A", 0, 1.0)], "ref_nt string, query_nt string, q int, rate double"))
+
+
+def test_streamed_tables_hold_the_last_counts(spark, tmp_path):
+    from ampliframe.streaming import ingest
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [("s", f"r{i}", "ACGT"[i % 3 :], "I" * 4, None) for i in range(12)]
+    for part in range(4):
+        spark.createDataFrame(rows[3 * part : 3 * part + 3], ingest.READS).coalesce(1).write.mode("append").parquet(src)
+    q = ingest.to_table(ingest.running_counts(ingest.read_stream(spark, src, 1)), out, str(tmp_path / "check"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["count"] for r in ingest.latest(spark, out).collect()) == [4, 4, 4]
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("version_")]) == 2
+
+
+def test_bimeras_over_small_tables_equal_the_plain_rule(spark):
+    """Every pair aligned by the plain recurrence, coverage counted column by column."""
+    import random
+
+    from ampliframe.functions import align as al
+    from ampliframe.operators import tables
+    from ampliframe.params import BimeraParams
+
+    rng = random.Random(3)
+    base = ["".join(rng.choices("ACGT", k=50)) for _ in range(4)]
+    rows = [("s", b, 100 - i) for i, b in enumerate(base)]
+    rows += [("s", base[0][:25] + base[1][25:], 5), ("s", base[2][:20] + base[3][20:], 4), ("s", base[1][:-1] + "A", 3), ("s", base[0][3:] + "ACG", 2), ("s", base[0][:24] + "T" + base[1][25:], 2)]
+    rows = list({r[1]: r for r in rows}.values())
+    for one_off in (False, True):
+        params = BimeraParams(allow_one_off=one_off)
+
+        def covered(query, parent, params=params):
+            q, p = (list(x) for x in al.align(query, parent, al.Scoring(band=params.max_shift)))
+            out = []
+            for a, b in ((q, p), (q[::-1], p[::-1])):
+                while a and a[0] == "-":
+                    a, b = a[1:], b[1:]
+                k = 0
+                while k < len(a) and b[k] == "-" and k < params.max_shift:
+                    k += 1
+                while k < len(a) and a[k] == b[k]:
+                    k += 1
+                more = k
+                if params.allow_one_off and k + 1 < len(a):
+                    more = k + (a[k + 1] != "-")
+                    j = k + 1
+                    while j < len(a) and a[j] == b[j]:
+                        j, more = j + 1, more + 1
+                out.append((k, more))
+            return out[0][0], out[1][0], out[0][1], out[1][1]
+
+        for _, query, n in rows:
+            for _, parent, m in rows:
+                if m > n:
+                    got = tables.coverage(*(al.encoded(x) for x in al.align(query, parent, al.Scoring(band=16))), params)
+                    assert got == covered(query, parent)
+    table = spark.createDataFrame(rows, "sample_id string, seq string, count long")
+    flagged = {r["query"] for r in tables.bimera_flags(table, BimeraParams()).where("flagged").collect()}
+    assert {base[0][:25] + base[1][25:], base[2][:20] + base[3][20:]} <= flagged and not flagged & set(base)
