@@ -48,11 +48,11 @@ FREQUENT_WORDS, FREQUENT_PAIRS = 1 << 16, 1 << 18
 #: Part of the texts in which frequent bigrams are looked for; they are then counted in all.
 SAMPLE_PART = 8
 #: Words of the corpus to a part, steps in which a task works through one, and bytes of texts that are packed at a time.
-PART_WORDS, STEPS, PACKED_BYTES = 1 << 23, 8, 4 << 20
+PART_WORDS, STEPS, PACKED_BYTES = 1 << 23, 16, 1 << 20
 #: 64-bit words of the Bloom filter for the target's ids.
 FILTER_WORDS = 1 << 18
 START = np.uint64(0x5851F42D4C957F2D)
-_HELD = 1 << 20
+_HELD = 1 << 19
 
 
 def _pair_hashes(c: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def _packed(kind: tuple, fields: dict[str, np.ndarray]) -> bytes:
     return b"".join(_six(fields[name]) if width == 6 else fields[name].astype(width).tobytes() for name, width in kind)
 
 
-def _unpacked(kind: tuple, size: int, blob: bytes, at: int) -> tuple[dict[str, np.ndarray], int]:
+def _unpacked(kind: tuple, size: int, blob: pa.Buffer, at: int) -> tuple[dict[str, np.ndarray], int]:
     out = {}
     for name, width in kind:
         if width == 6:
@@ -303,7 +303,7 @@ def _sum_by(values: tuple[np.ndarray, ...], n: np.ndarray, scored: np.ndarray) -
     return out
 
 
-def _scored_together(model: _Model, blobs: list[bytes]) -> pa.RecordBatch:
+def _scored_together(model: _Model, blobs: list[pa.Buffer]) -> pa.RecordBatch:
     """Of all packed rows of a part: the sum of losses of each scored text in each blob. Rows are unpacked in ``STEPS`` by their hashes, equal ones together."""
     heads = [np.frombuffer(blob, "<i8", 4).tolist() for blob in blobs]
     texts = np.array([h[1] for h in heads])
@@ -368,12 +368,12 @@ def text_losses(rows: DataFrame, target: DataFrame, frequent_words: int = FREQUE
             if done.num_rows:
                 yield done.select(["key", "n", "lb", "lt"])
             rest = batch.filter(batch.column(1).is_valid())
-            for part, blob in zip(rest.column(0).to_pylist(), rest.column(1).to_pylist(), strict=True):
+            for part, packed in zip(rest.column(0).to_pylist(), rest.column(1), strict=True):
                 if part != at and held:
                     yield _scored_together(known.value, held)
                     held = []
                 at = part
-                held.append(blob)
+                held.append(packed.as_buffer())  # of the batch, not copied
         if held:
             yield _scored_together(known.value, held)
 
