@@ -48,7 +48,7 @@ FREQUENT_WORDS, FREQUENT_PAIRS = 1 << 16, 1 << 18
 #: Part of the texts in which frequent bigrams are looked for; they are then counted in all.
 SAMPLE_PART = 8
 #: Words of the corpus to a part, steps in which a task works through one, and bytes of texts that are packed at a time.
-PART_WORDS, STEPS, PACKED_BYTES = 1 << 23, 16, 1 << 20
+PART_WORDS, STEPS, PACKED_BYTES = 1 << 22, 8, 1 << 20
 #: 64-bit words of the Bloom filter for the target's ids.
 FILTER_WORDS = 1 << 18
 START = np.uint64(0x5851F42D4C957F2D)
@@ -378,7 +378,8 @@ def text_losses(rows: DataFrame, target: DataFrame, frequent_words: int = FREQUE
             yield _scored_together(known.value, held)
 
     dealt = rows.select("key", "text").mapInArrow(here(True), _SCORED).unionByName(target.select(F.lit(0).cast("long").alias("key"), "text").mapInArrow(here(False), _SCORED))
-    sums = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(together, "key long, n long, lb double, lt double")
+    # so many tasks that few have more than one part
+    sums = dealt.repartition(4 * parts, "part").sortWithinPartitions("part").mapInArrow(together, "key long, n long, lb double, lt double")
     return sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "lb", "lt")])
 
 
