@@ -48,7 +48,7 @@ FREQUENT_WORDS, FREQUENT_PAIRS = 1 << 16, 1 << 18
 #: Part of the texts in which frequent bigrams are looked for; they are then counted in all.
 SAMPLE_PART = 8
 #: Words of the corpus to a part, steps in which a task works through one, and bytes of texts that are packed at a time.
-PART_WORDS, STEPS, PACKED_BYTES = 1 << 22, 8, 1 << 20
+PART_WORDS, STEPS, PACKED_BYTES = 1 << 22, 16, 1 << 20
 #: 64-bit words of the Bloom filter for the target's ids.
 FILTER_WORDS = 1 << 18
 START = np.uint64(0x5851F42D4C957F2D)
@@ -357,6 +357,8 @@ def text_losses(rows: DataFrame, target: DataFrame, frequent_words: int = FREQUE
                     hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PACKED_BYTES, "right"))
                     part = batch.slice(lo, min(max(hi - lo, 1), _MOST_TEXTS))
                     lo += part.num_rows
+                    # what a worker has freed, it gives back
+                    pa.default_memory_pool().release_unused()
                     yield from _scored_here(known.value, parts, scored, part.column(0).to_numpy(zero_copy_only=False), part.column(1))
 
         return run
@@ -372,6 +374,7 @@ def text_losses(rows: DataFrame, target: DataFrame, frequent_words: int = FREQUE
                 if part != at and held:
                     yield _scored_together(known.value, held)
                     held = []
+                    pa.default_memory_pool().release_unused()
                 at = part
                 held.append(packed.as_buffer())  # of the batch, not copied
         if held:
