@@ -420,7 +420,18 @@ def posthoc_pvalues(found: DataFrame) -> DataFrame:
     return found.mapInPandas(run, schema)
 
 
-def birth_substitutions(found: DataFrame, scoring: al.Scoring = al.Scoring()) -> DataFrame:
+def _compared(ref: str, query: str, params: DenoiseParams) -> al.Substitutions:
+    """Substitutions as the partition counts them: position by position where the k-mers say that there are no indels."""
+    a, b = al.encoded(ref), al.encoded(query)
+    plain = params.scoring.band == 0
+    if params.gapless and params.use_kmers and len(a) == len(b):
+        vectors = [al.kmer_vector(x, params.k) for x in (a, b)]
+        distance = al.kmer_distances(vectors[0], len(a), vectors[1][None, :], np.array([len(b)]), params.k)[0]
+        plain |= abs(al.ordered_distance(al.ordered_kmers(a, params.k), al.ordered_kmers(b, params.k)) - distance) < 1e-12
+    return al.substitutions(*(al.gapless(a, b) if plain else al.align_many(a, [b], params.scoring)[0]))
+
+
+def birth_substitutions(found: DataFrame, params: DenoiseParams = DenoiseParams()) -> DataFrame:
     """``sample_id, asv_idx, pos, ref_nt, query_nt``: where each variant differs from the one that it was split from."""
     own = found.select("sample_id", "asv_idx", "birth_from", F.col("seq").alias("query"))
     parents = found.select("sample_id", F.col("asv_idx").alias("birth_from"), F.col("seq").alias("ref"))
@@ -429,7 +440,7 @@ def birth_substitutions(found: DataFrame, scoring: al.Scoring = al.Scoring()) ->
         for pdf in batches:
             rows = []
             for sample, asv, ref, query in zip(pdf["sample_id"], pdf["asv_idx"], pdf["ref"], pdf["query"], strict=True):
-                subs = al.substitutions(*al.align_many(al.encoded(ref), [al.encoded(query)], scoring)[0])
+                subs = _compared(ref, query, params)
                 rows += [(sample, asv, int(p), chr(r), chr(q)) for p, r, q in zip(subs.ref_positions, subs.ref_bases, subs.query_bases, strict=True)]
             yield pd.DataFrame(rows, columns=["sample_id", "asv_idx", "pos", "ref_nt", "query_nt"])
 

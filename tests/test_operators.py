@@ -230,3 +230,28 @@ def test_bimeras_over_small_tables_equal_the_plain_rule(spark):
     table = spark.createDataFrame(rows, "sample_id string, seq string, count long")
     flagged = {r["query"] for r in tables.bimera_flags(table, BimeraParams()).where("flagged").collect()}
     assert {base[0][:25] + base[1][25:], base[2][:20] + base[3][20:]} <= flagged and not flagged & set(base)
+
+
+def test_births_descent_and_failed_reads(spark):
+    from ampliframe.params import DenoiseParams, LearnParams
+    from ampliframe.plans import fixtures
+
+    uniques = derep.dereplicate(fixtures.reads(spark, "/root/testdata/sf0.001")).persist()
+    model = errors.default_model(41)
+    found = dn.variants(dn.denoise(uniques, model, LearnParams().denoise)).persist()
+    rows = {(r["sample_id"], r["asv_idx"]): r for r in found.collect()}
+    subs = {(r["sample_id"], r["asv_idx"]): r["n"] for r in dn.birth_substitutions(found).groupBy("sample_id", "asv_idx").agg(F.count("*").alias("n")).collect()}
+    for key, r in rows.items():
+        if key[1]:
+            assert subs.get(key, 0) == r["birth_hamming"]
+    depth = {}
+    for s, i in sorted(rows):
+        depth[s, i] = depth[s, rows[s, i]["birth_from"]] + 1 if i else 0
+    tree = dn.generations(found.select("sample_id", F.col("asv_idx").alias("idx"), F.col("birth_from").alias("parent"))).collect()
+    assert sum(r["n"] for r in tree) == len(rows)
+    assert all(r["n"] == sum(d == r["depth"] for (s, _), d in depth.items() if s == r["sample_id"]) for r in tree)
+    post = {(r["sample_id"], r["asv_idx"]): r["post_pval"] for r in dn.posthoc_pvalues(found).collect()}
+    assert all((p is None) == (i == 0) and (p is None or 0 <= p <= 1) for (_, i), p in post.items())
+    strict = dn.denoise(uniques, model, DenoiseParams(omega_c=0.01)).persist()
+    failed = dn.failed_uniques(strict).agg(F.sum("reads")).collect()[0][0] or 0
+    assert failed + dn.variants(strict).agg(F.sum("kept_abundance")).collect()[0][0] == uniques.agg(F.sum("count")).collect()[0][0]
