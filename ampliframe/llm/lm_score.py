@@ -364,25 +364,20 @@ def text_losses(rows: DataFrame, target: DataFrame, frequent_words: int = FREQUE
         return run
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        held = []
         for batch in batches:
             done = batch.filter(batch.column(1).is_null())
             if done.num_rows:
                 yield done.select(["key", "n", "lb", "lt"])
-            rest = batch.filter(batch.column(1).is_valid())
-            for part, packed in zip(rest.column(0).to_pylist(), rest.column(1), strict=True):
-                if part != at and held:
-                    yield _scored_together(known.value, held)
-                    held = []
-                    pa.default_memory_pool().release_unused()
-                at = part
-                held.append(packed.as_buffer())  # of the batch, not copied
+            held += [packed.as_buffer() for packed in batch.column(1).drop_null()]  # of the batch, not copied
         if held:
             yield _scored_together(known.value, held)
+            del held
+            pa.default_memory_pool().release_unused()
 
     dealt = rows.select("key", "text").mapInArrow(here(True), _SCORED).unionByName(target.select(F.lit(0).cast("long").alias("key"), "text").mapInArrow(here(False), _SCORED))
-    # so many tasks that few have more than one part
-    sums = dealt.repartition(4 * parts, "part").sortWithinPartitions("part").mapInArrow(together, "key long, n long, lb double, lt double")
+    # a task for each part, by its number: no task has two
+    sums = dealt.repartitionById(parts, F.col("part").cast("int")).mapInArrow(together, "key long, n long, lb double, lt double")
     return sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "lb", "lt")])
 
 
