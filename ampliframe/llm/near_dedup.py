@@ -165,14 +165,15 @@ def choose_plans(texts: DataFrame) -> list[simhash.Plan]:
 
     buckets = texts.select(*_lane_names()).mapInArrow(run, "sig long").groupBy("sig").count()
     part = F.shiftrightunsigned("sig", 56)
-    pairs = buckets.groupBy(part.alias("part")).agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).collect()
-    same = {r["part"]: float(r["pairs"]) for r in pairs}
+    # a bucket compares its members with their leaders, not all its pairs
+    compared = F.least(F.col("count") * (F.col("count") - 1) / 2, F.col("count") * LEADERS)
+    same = {r["part"]: float(r["compared"]) for r in buckets.groupBy(part.alias("part")).agg(F.sum(compared).alias("compared")).collect()}
     costs = []
     for i in range(LANES * PARTITIONS_A_LANE):
         bits = groups[i // PARTITIONS_A_LANE][i % PARTITIONS_A_LANE]
         near = 1 + sum((1 - agree[i // PARTITIONS_A_LANE][b]) / max(agree[i // PARTITIONS_A_LANE][b], 1e-9) for b in bits)
         s = same.get(i, 0.0)
-        costs.append({-1: 0.0, 0: s + n, 1: s * near + n * len(bits)})
+        costs.append({-1: 0.0, 0: s + n, 1: min(s * near, LEADERS * n * len(bits)) + n * len(bits)})
     _, thresholds = simhash.allocate(costs, TAU - len(costs) + 1)
     k = PARTITIONS_A_LANE
     return [simhash.Plan(g, thresholds[i * k : (i + 1) * k]) for i, g in enumerate(groups)]
