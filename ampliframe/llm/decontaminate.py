@@ -3,10 +3,10 @@
 1. Every passage (``PASSAGE`` words, one every ``STRIDE``) of every document is
    a TF-IDF vector over hashed words; document frequencies are counted over the
    passages of all documents.
-2. A randomised SVD, distributed over a bounded
-   sample of passages together with all benchmark items, gives ``RANK`` latent
-   axes. The sample fits the axes only; every passage is projected and searched.
-   Of a benchmark of more than ``ITEM_BLOCK`` items, so many take part in the fit.
+2. A randomised SVD of all documents, cut into consecutive passages so that
+   each word takes part once, together with all benchmark items gives ``RANK``
+   latent axes: a sketch of the rows' span, then the rows' energy inside it.
+   Every passage, also the overlapping ones, is projected and searched.
 3. Passages whose latent vector has a cosine of ``MIN_COSINE`` or more with an
    item are candidates.
 4. A candidate is confirmed on the words themselves: the longest common
@@ -39,32 +39,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ampliframe.llm.common import durable, free_names, stored
-from ampliframe.llm.tokens import chunks, lowered, window_hashes, word_hashes, word_spans
+from ampliframe.llm.common import free_names, stored
+from ampliframe.llm.tokens import chunks, lowered, mixed, window_hashes, word_hashes, word_spans
 
 FEATURES = 1 << 16
 STRIDE, PASSAGE = 16, 48
 RANK, OVERSAMPLE = 64, 48
 #: Axes that owe less of their length to the items than this part of what axes usually do are what all texts of a language share; they are left out.
 ITEM_SHARE = 0.9
-#: An item counts as so many passages of the sample.
-ITEM_WEIGHT = 5.0
-SAMPLE_PASSAGES = 4096
+#: Length of an item's row, where a passage's is 1; all passages together weigh as so many at most, so that items are told apart in a corpus of any size.
+ITEM_WEIGHT, CORPUS_WEIGHT = 5.0, 4096
+#: Columns of the sketch that a row is added to, and parts that sketches travel in.
+SIGNS, PARTS = 8, 64
 MIN_COSINE = 0.6
 MIN_COMMON, MIN_ANSWER, ANSWER_WORDS = 0.65, 0.5, 6
 MAX_STRETCH = 1.5
 MIN_ITEM_WORDS = 5
 ITEM_BLOCK = 2000
-_TASKS_OF_SAMPLE = 4
+#: Stride blocks of the corpus to a task that sketches, where that is more tasks than cores keep busy.
+_SKETCHED_BLOCKS = 1 << 22
+_ROWS = 1 << 10
 
 
-def _passage_words(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts whose words begin at ``first``: the first word of every stride block, and each block's text."""
+def _passage_words(first: np.ndarray, words: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts whose words begin at ``first``: the first word of every block of ``words``, and each block's text."""
     size = np.diff(first)
-    blocks = -(-size // STRIDE)
+    blocks = -(-size // words)
     text = np.repeat(np.arange(len(size)), blocks)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    return first[:-1][text] + nth * STRIDE, text
+    return first[:-1][text] + nth * words, text
 
 
 def _windows(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +82,12 @@ def _windows(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[whole], end[whole]
 
 
-def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
-    """In how many stride blocks of all documents each hashed word occurs, and the numbers of blocks and documents."""
+def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many stride blocks of all documents each hashed word occurs, and the number of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, texts = np.zeros(FEATURES, np.int64), 0, 0
+        total, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
-            texts += batch.num_rows
             for _, _, data, offsets in chunks(batch.column(0)):
                 data = lowered(data)
                 starts, ends, first = word_spans(data, offsets)
@@ -100,125 +102,149 @@ def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
                 n += len(heads)
         if n:
             used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(used, [FEATURES, FEATURES + 1])), pa.array(np.append(total[used], [n, texts]))], ["feature", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(used, FEATURES)), pa.array(np.append(total[used], n))], ["feature", "n"])
 
     rows = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(FEATURES + 2, np.int64)
+    counts = np.zeros(FEATURES + 1, np.int64)
     counts[rows["feature"]] = rows["n"]
-    return counts[:-2], int(counts[-2]), int(counts[-1])
+    return counts[:-1], int(counts[-1])
+
+
+def _block_sums(table: np.ndarray, feature: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``table`` (the last one zero) over the words of consecutive blocks, a word of each block at a time."""
+    size = np.diff(heads, append=len(feature))
+    out = np.zeros((len(heads), table.shape[1]), np.float32)
+    rows = np.empty((_ROWS, table.shape[1]), np.float32)
+    for lo in range(0, len(heads), _ROWS):
+        at, n, own = heads[lo : lo + _ROWS], size[lo : lo + _ROWS], out[lo : lo + _ROWS]
+        for k in range(int(n.max())):
+            long = n > k
+            if 2 * np.count_nonzero(long) < len(n):
+                some = np.flatnonzero(long)
+                own[some] += table[feature[at[some] + k]]
+            else:
+                row = np.where(long, feature[np.minimum(at + k, len(feature) - 1)], len(table) - 1)
+                own += np.take(table, row, axis=0, out=rows[: len(n)], mode="clip")
+    return out
+
 
+def _with_zero(table: np.ndarray) -> np.ndarray:
+    return np.concatenate([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
 
-def sampled_passages(docs: DataFrame, n_docs: int, limit: int = SAMPLE_PASSAGES) -> DataFrame:
-    """Texts of a bounded sample of passages: documents by hash, about ``limit`` of them, one passage of each, chosen by hash."""
-    grid = 1 << 30
-    chosen = docs.withColumn("h", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).where(F.pmod("h", F.lit(grid)) < grid * min(1.0, limit / max(n_docs, 1)))
-    w = F.split(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
-    at = F.pmod(F.col("h"), F.greatest(F.size("w") - PASSAGE, F.lit(1))) + 1
-    return chosen.withColumn("w", w).select(F.array_join(F.slice("w", at.cast("int"), PASSAGE), " ").alias("text"), "h").orderBy("h", "text").limit(2 * limit).select("text")
 
+def _rows_of(texts: pa.Array, idf: np.ndarray, words: int) -> Iterator[tuple]:
+    """Consecutive passages of ``words`` words as TF-IDF rows: each one's text and first word, features of the words; rows, features and weights without repeats; squared length and factor.
 
-def _rows_of(texts: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, feature and weight of the TF-IDF vectors (length 1) of whole texts."""
-    for lo, hi, data, offsets in chunks(texts):
+    A whole passage has length 1; what is left at a text's end weighs as its part of one.
+    """
+    for lo, _, data, offsets in chunks(texts):
         data = lowered(data)
         starts, ends, first = word_spans(data, offsets)
+        if not len(starts):
+            continue
         feature = (word_hashes(data, starts, ends) & np.uint64(FEATURES - 1)).astype(np.int64)
-        row = np.repeat(np.arange(hi - lo), np.diff(first))
-        weight = idf[feature]
-        norm = np.sqrt(np.bincount(row, _summed_squares(row, feature, weight), hi - lo))
-        yield lo + row, feature, weight / np.maximum(norm[row], 1e-9)
-
-
-def _summed_squares(row: np.ndarray, feature: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Shares of each word in the squared length of its row: equal words of a row add up before squaring."""
-    order = np.lexsort((feature, row))
-    r, f = row[order], feature[order]
-    new = np.concatenate([[True], (r[1:] != r[:-1]) | (f[1:] != f[:-1])]) if len(r) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    n = np.bincount(group)[group] if len(r) else np.zeros(0)
-    out = np.empty(len(row))
-    out[order] = n * weight[order] ** 2
-    return out
+        heads, text = _passage_words(first, words)
+        size = np.diff(heads, append=len(feature))
+        both = np.sort(np.repeat(np.arange(len(heads)), size) << 16 | feature)
+        at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        row, own = both[at] >> 16, both[at] & (FEATURES - 1)
+        weight = np.diff(at, append=len(both)) * idf[own]
+        square = np.minimum(size / PASSAGE, 1.0) if words == PASSAGE else np.ones(len(size))
+        factor = np.sqrt(square / np.maximum(np.bincount(row, weight**2, len(heads)), 1e-18))
+        yield lo + text, heads, feature, row, own, weight * factor[row], square, factor
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], idf: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
+    """Of ``seed, text``: this task's share of A' times a sparse random matrix of signs, by parts of the features; and of the squared length of A, as part ``PARTS``."""
+    width = RANK + OVERSAMPLE
+    out, length = np.zeros((FEATURES, width), np.float32), 0.0
+    cells = out.reshape(-1)
+    for batch in batches:
+        seeds = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for text, heads, _, row, own, weight, square, _ in _rows_of(batch.column(1), idf, words):
+            length += square.sum()
+            nth = heads - heads[np.searchsorted(text, text)]
+            seed = mixed(seeds[text] ^ mixed(nth.astype(np.uint64)))
+            for k in range(SIGNS):
+                # of each of SIGNS groups of columns a row is in one, so none of its signs meet
+                h = mixed(seed + np.uint64(k))
+                lo, hi = k * width // SIGNS, (k + 1) * width // SIGNS
+                column, sign = lo + ((h >> np.uint64(1)) % np.uint64(hi - lo)).astype(np.int64), 1.0 - 2.0 * (h & np.uint64(1))
+                np.add.at(cells, own * width + column[row], (sign[row] * weight).astype(np.float32))
+    if length:
+        yield from _parts([*out.reshape(PARTS, -1), np.array([length], np.float32)])
+
+
+def _energy(batches: Iterator[pa.RecordBatch], idf: np.ndarray, words: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of ``seed, text``: this task's share of (A Q)' A Q, by its rows, where ``table`` has Q's rows times their idf."""
+    total = np.zeros((table.shape[1], table.shape[1]))
+    for batch in batches:
+        for _, heads, feature, _, _, _, _, factor in _rows_of(batch.column(1), idf, words):
+            y = _block_sums(table, feature, heads) * factor[:, None].astype(np.float32)
+            total += y.T @ y
+    if total.any():
+        yield from _parts(list(total))
 
 
-def _random_axes() -> np.ndarray:
-    """The range finder's test matrix; every task draws the same one, so it needn't be sent."""
-    return np.random.default_rng(7).standard_normal((FEATURES, RANK + OVERSAMPLE), np.float32)
+def _parts(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for i, x in enumerate(arrays):
+        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], ["part", "v"])
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of ``row, text, weight``: each TF-IDF row times the test matrix."""
-    test = _random_axes()
-    for batch in batches:
-        out = np.zeros((batch.num_rows, test.shape[1]), np.float32)
-        heavy = batch.column(2).to_numpy(zero_copy_only=False)
-        for row, feature, weight in _rows_of(batch.column(1), idf):
-            if len(row):
-                cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                out[row[cut]] = np.add.reduceat(test[feature] * (weight * heavy[row])[:, None], cut, axis=0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out)], ["row", "v"])
-
-
-def _projected(batches: Iterator[pa.RecordBatch], idf: np.ndarray, rows: np.ndarray, basis: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """By feature, this task's share of basis' A."""
-    out, some = np.zeros((FEATURES, basis.shape[1]), np.float32), False
-    for batch in batches:
-        mine = np.searchsorted(rows, batch.column(0).to_numpy(zero_copy_only=False))
-        heavy = batch.column(2).to_numpy(zero_copy_only=False)
-        for row, feature, weight in _rows_of(batch.column(1), idf):
-            some = some or len(row) > 0
-            np.add.at(out, feature, basis[mine[row]] * (weight * heavy[row])[:, None].astype(np.float32))
-    if some:
-        used = np.flatnonzero(out.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), _lists(out[used])], ["feature", "v"])
-
-
-def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = list(batches)
-    if parts:
-        feature = np.concatenate([x.column(0).to_numpy(zero_copy_only=False) for x in parts])
-        v = np.concatenate([np.stack(x.column(1).to_numpy(zero_copy_only=False)) for x in parts if x.num_rows])
-        used, place = np.unique(feature, return_inverse=True)
-        out = np.zeros((len(used), v.shape[1]), np.float32)
-        np.add.at(out, place, v)
-        yield pa.RecordBatch.from_arrays([pa.array(used), _lists(out)], ["feature", "v"])
-
-
-def _lists(x: np.ndarray) -> pa.Array:
-    cut = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-    return pa.ListArray.from_arrays(pa.array(cut), pa.array(np.ascontiguousarray(x, np.float32).ravel()))
-
-
-def latent_axes(docs: DataFrame, n_docs: int, items: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """``FEATURES`` by ``RANK``: orthonormal axes of a randomised SVD of the sample and the items, without those that are common to all texts.
-
-    Tasks hold the rows of A. Sketches A times a random matrix reach the
-    driver (a row per passage of the bounded sample), their orthonormal basis
-    goes back, and basis' A is added up by feature.
+def _added_up(rows: DataFrame, kind: type) -> dict[int, np.ndarray]:
+    """The sum of each part's arrays; parts are added up by tasks, each sum reaches the driver once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(v.as_buffer(), kind).astype(np.float64)
+                sums[part] = sums[part] + x if part in sums else x
+        for part, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([x.astype(kind).tobytes()], pa.binary())], ["part", "v"])
+
+    found = rows.repartition(F.col("part")).mapInArrow(run, "part long, v binary").toArrow()
+    return {part: np.frombuffer(v.as_buffer(), kind) for part, v in zip(found.column("part").to_pylist(), found.column("v"), strict=True)}
+
+
+def latent_axes(docs: DataFrame, blocks: int, items: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """``FEATURES`` by ``RANK``: orthonormal axes of a randomised SVD of all documents and items, without those that are common to all texts.
+
+    A has a row for each passage and each item. One pass adds up A' times a
+    random matrix of signs; its orthonormal basis Q goes back, and a second pass
+    adds up (A Q)' A Q, whose eigenvectors are the axes. What tasks send has the
+    size of a sketch, whatever number of rows they have; ``blocks`` of the
+    corpus (its stride blocks) tell how many tasks share the first pass.
     """
-    sample = sampled_passages(docs, n_docs).withColumn("weight", F.lit(1.0))
-    sample = sample.unionByName(items.orderBy(F.xxhash64("text"), "text").limit(ITEM_BLOCK).select("text", F.lit(ITEM_WEIGHT).alias("weight"))).repartition(_TASKS_OF_SAMPLE)
-    sample = durable(sample.select(F.monotonically_increasing_id().alias("row"), "text", "weight"))
-    sketch = sample.mapInArrow(lambda it: _sketched(it, idf), "row long, v array<float>").join(sample.select("row", "weight"), "row").orderBy("row").toArrow()
+    sc = docs.sparkSession.sparkContext
     width = RANK + OVERSAMPLE
-    y = sketch.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("seed"), "text")
+    items = items.select(F.xxhash64("text").alias("seed"), "text").distinct()
+    own = [(texts, PASSAGE), (items, 1 << 40)]
+    sketch, length = [], []
+    for rows, words in own:
+        rows = rows.coalesce(max(2 * sc.defaultParallelism, blocks // _SKETCHED_BLOCKS))
+        parts = _added_up(rows.mapInArrow(lambda it, words=words: _sketched(it, idf, words), "part long, v binary"), np.float32)
+        length.append(float(parts.pop(PARTS, [0.0])[0]))
+        sketch.append(np.concatenate([parts[i] for i in range(PARTS)]).reshape(FEATURES, width) if parts else np.zeros((FEATURES, width), np.float32))
+    weights = min(1.0, CORPUS_WEIGHT / max(length[0], 1.0)), ITEM_WEIGHT**2
     axes = np.zeros((FEATURES, RANK))
-    if not len(y):
+    if not sum(length):
         return axes
-    basis, _ = np.linalg.qr(y.astype(np.float64))
-    rows, basis = sketch.column("row").to_numpy(), basis.astype(np.float32)
-    parts = sample.mapInArrow(lambda it: _projected(it, idf, rows, basis), "feature long, v array<float>")
-    sums = parts.repartition(_TASKS_OF_SAMPLE, "feature").mapInArrow(_added_up, "feature long, v array<float>").orderBy("feature").toArrow()
-    b = sums.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, basis.shape[1]).astype(np.float64)
-    if not len(b):
-        return axes
-    values, vectors = np.linalg.eigh(b.T @ b)
+    basis, _ = np.linalg.qr(sum(np.sqrt(w) * x.astype(np.float64) for w, x in zip(weights, sketch, strict=True)))
+    table = sc.broadcast(_with_zero(basis * idf[:, None]))
+    energy = []
+    for (rows, words), w in zip(own, weights, strict=True):
+        parts = _added_up(rows.mapInArrow(lambda it, words=words: _energy(it, idf, words, table.value), "part long, v binary"), np.float64)
+        energy.append(w * np.stack([parts[i] for i in range(width)]) if parts else np.zeros((width, width)))
+    values, vectors = np.linalg.eigh(sum(energy))
     order = np.argsort(-values)
     order = order[values[order] > 1e-6 * max(values.max(), 1e-9)]
-    along = (basis @ vectors[:, order]) ** 2  # of each row, along each axis
-    of_items = along[sketch.column("weight").to_numpy() == ITEM_WEIGHT].sum(axis=0) / np.maximum(along.sum(axis=0), 1e-9)
+    if not len(order):
+        return axes
+    of_items = np.einsum("ik,ij,jk->k", vectors[:, order], energy[1], vectors[:, order]) / np.maximum(values[order], 1e-9)
     order = order[of_items >= ITEM_SHARE * np.median(of_items[:RANK])][:RANK]
-    axes[sums.column("feature").to_numpy(), : len(order)] = b @ vectors[:, order] / np.sqrt(values[order])
+    axes[:, : len(order)] = basis @ vectors[:, order]
     return axes
 
 
@@ -348,9 +374,9 @@ def _short_matches(items: _Items, texts: pa.Array) -> Iterator[tuple[int, object
 def matches(docs: DataFrame, benchmark: DataFrame, block: int = ITEM_BLOCK) -> DataFrame:
     """``doc_id, item_id, cosine, common`` for every document and benchmark item that it contains or paraphrases."""
     spark = docs.sparkSession
-    counts, blocks, n_docs = passage_frequencies(docs)
+    counts, blocks = passage_frequencies(docs)
     idf = np.log((1 + blocks) / (1 + counts))
-    axes = latent_axes(docs, n_docs, benchmark, idf)
+    axes = latent_axes(docs, blocks, benchmark, idf)
     projection = spark.sparkContext.broadcast((axes * idf[:, None]).astype(np.float32))
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     batch_type = to_arrow_type(benchmark.schema["item_id"].dataType)

@@ -4,9 +4,10 @@ import random
 import re
 
 import brute
+import numpy as np
 from pyspark.sql import functions as F
 
-from ampliframe.llm import decontaminate, quality
+from ampliframe.llm import decontaminate, quality, tokens
 
 
 def plain_failures(t):
@@ -93,3 +94,56 @@ def test_recall_of_the_cosine_search(spark):
                 wanted.add((d, i))
     assert len(wanted) >= 100 and found <= planted
     assert len(found & wanted) >= 0.9 * len(wanted)
+
+
+def dense_rows(texts, idf, words):
+    """TF-IDF rows of consecutive passages of texts, one after the other."""
+    rows = []
+    for t in texts:
+        w = np.array([h & 0xFFFF for x in brute.words(t or "") for h in word_number(x)], np.int64)
+        for lo in range(0, len(w), words):
+            part = w[lo : lo + words]
+            v = np.bincount(part, minlength=decontaminate.FEATURES) * idf
+            rows.append(v / max(np.linalg.norm(v), 1e-9) * min(1.0, len(part) / decontaminate.PASSAGE if words == decontaminate.PASSAGE else 1.0) ** 0.5)
+    return np.array(rows)
+
+
+def word_number(word):
+    data = np.frombuffer(word.lower().encode(), np.uint8)
+    return tokens.word_hashes(data, np.array([0]), np.array([len(data)])).tolist()
+
+
+def test_axes_are_fitted_to_all_passages_and_items(spark):
+    """Few long documents: the axes hold nearly the most that as many axes can of all passages, not of one of each document."""
+    rng = random.Random(54)
+    topics = [["".join(rng.choices("abcdefghij", k=6)) for _ in range(12)] for _ in range(40)]
+    texts = [" ".join(rng.choice(topics[(7 * d + p // 2) % 40]) for p in range(80) for _ in range(48)) + " the end" for d in range(4)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(rng.choice(topics[i]) for _ in range(30))) for i in range(5)], "item_id long, text string")
+    counts, blocks = decontaminate.passage_frequencies(docs)[:2]
+    idf = np.log((1 + blocks) / (1 + counts))
+    a = dense_rows(texts, idf, decontaminate.PASSAGE)
+    assert len(a) == 4 * 81
+    for items in (bench.where("false"), bench):
+        axes = decontaminate.latent_axes(docs, blocks, items, idf)
+        used = axes[:, np.linalg.norm(axes, axis=0) > 0]
+        assert np.allclose(used.T @ used, np.eye(used.shape[1]), atol=1e-4)
+    axes = decontaminate.latent_axes(docs, blocks, bench.where("false"), idf)
+    most = np.sort(np.linalg.eigvalsh(a @ a.T))[::-1][: decontaminate.RANK].sum()
+    assert np.linalg.norm(a @ axes) ** 2 >= 0.9 * most
+    assert not decontaminate.latent_axes(docs.where("false"), 0, bench.where("false"), idf).any()
+
+
+def test_every_item_takes_part_in_the_axes(spark, monkeypatch):
+    """Items with words of their own, more than a block of them: the axes know the words of all."""
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 4)
+    rng = random.Random(55)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    docs = spark.createDataFrame([(i, " ".join(["same", "old"] * 20)) for i in range(6)], "doc_id long, text string")
+    items = [" ".join(word() for _ in range(20)) for _ in range(20)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    counts, blocks = decontaminate.passage_frequencies(docs)[:2]
+    idf = np.log((1 + blocks) / (1 + counts))
+    axes = decontaminate.latent_axes(docs, blocks, bench, idf)
+    known = np.linalg.norm(dense_rows(items, idf, 1 << 20) @ axes, axis=1)
+    assert known.min() > 0.95
