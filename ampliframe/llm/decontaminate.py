@@ -129,11 +129,13 @@ def _block_sums(table: np.ndarray, feature: np.ndarray, heads: np.ndarray) -> np
 
 
 def _with_zero(table: np.ndarray) -> np.ndarray:
-    return np.concatenate([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
+    out = np.zeros((len(table) + 1, table.shape[1]), np.float32)
+    out[:-1] = table
+    return out
 
 
 def _rows_of(texts: pa.Array, idf: np.ndarray, words: int) -> Iterator[tuple]:
-    """Consecutive passages of ``words`` words as TF-IDF rows: each one's text and first word, features of the words; rows, features and weights without repeats; squared length and factor.
+    """Consecutive passages of ``words`` words as TF-IDF rows: each one's text and first word, features of the words; rows, features and weights without repeats; and each row's factor.
 
     A whole passage has length 1; what is left at a text's end weighs as its part of one.
     """
@@ -151,35 +153,35 @@ def _rows_of(texts: pa.Array, idf: np.ndarray, words: int) -> Iterator[tuple]:
         weight = np.diff(at, append=len(both)) * idf[own]
         square = np.minimum(size / PASSAGE, 1.0) if words == PASSAGE else np.ones(len(size))
         factor = np.sqrt(square / np.maximum(np.bincount(row, weight**2, len(heads)), 1e-18))
-        yield lo + text, heads, feature, row, own, weight * factor[row], square, factor
+        yield lo + text, heads, feature, row, own, weight * factor[row], factor
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], idf: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
-    """Of ``seed, text``: this task's share of A' times a sparse random matrix of signs, by parts of the features; and of the squared length of A, as part ``PARTS``."""
+def _sketched(batches: Iterator[pa.RecordBatch], idf: np.ndarray, words: int, length: float) -> Iterator[pa.RecordBatch]:
+    """Of ``seed, text``: this task's share of A' times a sparse random matrix of signs, by parts of the features; a whole passage has ``length``."""
     width = RANK + OVERSAMPLE
-    out, length = np.zeros((FEATURES, width), np.float32), 0.0
+    out, some = np.zeros((FEATURES, width), np.float32), False
     cells = out.reshape(-1)
     for batch in batches:
         seeds = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for text, heads, _, row, own, weight, square, _ in _rows_of(batch.column(1), idf, words):
-            length += square.sum()
+        for text, heads, _, row, own, weight, _ in _rows_of(batch.column(1), idf, words):
+            some = True
             nth = heads - heads[np.searchsorted(text, text)]
             seed = mixed(seeds[text] ^ mixed(nth.astype(np.uint64)))
             for k in range(SIGNS):
                 # of each of SIGNS groups of columns a row is in one, so none of its signs meet
                 h = mixed(seed + np.uint64(k))
                 lo, hi = k * width // SIGNS, (k + 1) * width // SIGNS
-                column, sign = lo + ((h >> np.uint64(1)) % np.uint64(hi - lo)).astype(np.int64), 1.0 - 2.0 * (h & np.uint64(1))
+                column, sign = lo + ((h >> np.uint64(1)) % np.uint64(hi - lo)).astype(np.int64), length * (1.0 - 2.0 * (h & np.uint64(1)))
                 np.add.at(cells, own * width + column[row], (sign[row] * weight).astype(np.float32))
-    if length:
-        yield from _parts([*out.reshape(PARTS, -1), np.array([length], np.float32)])
+    if some:
+        yield from _parts(list(out.reshape(PARTS, -1)))
 
 
 def _energy(batches: Iterator[pa.RecordBatch], idf: np.ndarray, words: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of ``seed, text``: this task's share of (A Q)' A Q, by its rows, where ``table`` has Q's rows times their idf."""
     total = np.zeros((table.shape[1], table.shape[1]))
     for batch in batches:
-        for _, heads, feature, _, _, _, _, factor in _rows_of(batch.column(1), idf, words):
+        for _, heads, feature, _, _, _, factor in _rows_of(batch.column(1), idf, words):
             y = _block_sums(table, feature, heads) * factor[:, None].astype(np.float32)
             total += y.T @ y
     if total.any():
@@ -207,6 +209,17 @@ def _added_up(rows: DataFrame, kind: type) -> dict[int, np.ndarray]:
     return {part: np.frombuffer(v.as_buffer(), kind) for part, v in zip(found.column("part").to_pylist(), found.column("v"), strict=True)}
 
 
+def _basis(sketch: np.ndarray) -> np.ndarray:
+    """Orthonormal columns of the sketch's span, by way of its products: in single precision nothing as large as the sketch is held twice."""
+    products = np.zeros((sketch.shape[1], sketch.shape[1]))
+    for lo in range(0, len(sketch), _ROWS):
+        part = sketch[lo : lo + _ROWS].astype(np.float64)
+        products += part.T @ part
+    values, vectors = np.linalg.eigh(products)
+    kept = values > 1e-10 * max(values.max(), 1e-30)
+    return sketch @ (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)
+
+
 def latent_axes(docs: DataFrame, blocks: int, items: DataFrame, idf: np.ndarray) -> np.ndarray:
     """``FEATURES`` by ``RANK``: orthonormal axes of a randomised SVD of all documents and items, without those that are common to all texts.
 
@@ -214,37 +227,37 @@ def latent_axes(docs: DataFrame, blocks: int, items: DataFrame, idf: np.ndarray)
     random matrix of signs; its orthonormal basis Q goes back, and a second pass
     adds up (A Q)' A Q, whose eigenvectors are the axes. What tasks send has the
     size of a sketch, whatever number of rows they have; ``blocks`` of the
-    corpus (its stride blocks) tell how many tasks share the first pass.
+    corpus (its stride blocks) tell how much its passages weigh and how many
+    tasks share the first pass.
     """
     sc = docs.sparkSession.sparkContext
-    width = RANK + OVERSAMPLE
     texts = docs.select(F.xxhash64("doc_id", "text").alias("seed"), "text")
     items = items.select(F.xxhash64("text").alias("seed"), "text").distinct()
-    own = [(texts, PASSAGE), (items, 1 << 40)]
-    sketch, length = [], []
-    for rows, words in own:
-        rows = rows.coalesce(max(2 * sc.defaultParallelism, blocks // _SKETCHED_BLOCKS))
-        parts = _added_up(rows.mapInArrow(lambda it, words=words: _sketched(it, idf, words), "part long, v binary"), np.float32)
-        length.append(float(parts.pop(PARTS, [0.0])[0]))
-        sketch.append(np.concatenate([parts[i] for i in range(PARTS)]).reshape(FEATURES, width) if parts else np.zeros((FEATURES, width), np.float32))
-    weights = min(1.0, CORPUS_WEIGHT / max(length[0], 1.0)), ITEM_WEIGHT**2
-    axes = np.zeros((FEATURES, RANK))
-    if not sum(length):
+    passages = max(1.0, blocks * STRIDE / PASSAGE)
+    own = [(texts, PASSAGE, min(1.0, CORPUS_WEIGHT / passages)), (items, 1 << 40, ITEM_WEIGHT**2)]
+    axes = np.zeros((FEATURES, RANK), np.float32)
+    # a task sends a whole sketch, however few rows it has
+    tasks = max(2 * sc.defaultParallelism, blocks // _SKETCHED_BLOCKS), sc.defaultParallelism
+    shares = [rows.coalesce(n).mapInArrow(lambda it, words=words, w=w: _sketched(it, idf, words, w**0.5), "part long, v binary") for (rows, words, w), n in zip(own, tasks, strict=True)]
+    parts = _added_up(shares[0].unionByName(shares[1]), np.float32)
+    if not parts:
         return axes
-    basis, _ = np.linalg.qr(sum(np.sqrt(w) * x.astype(np.float64) for w, x in zip(weights, sketch, strict=True)))
-    table = sc.broadcast(_with_zero(basis * idf[:, None]))
+    basis = _basis(np.concatenate([parts.pop(i) for i in range(PARTS)]).reshape(FEATURES, -1))
+    width = basis.shape[1]
+    table = sc.broadcast(_with_zero(basis * idf[:, None].astype(np.float32)))
     energy = []
-    for (rows, words), w in zip(own, weights, strict=True):
+    for rows, words, w in own:
         parts = _added_up(rows.mapInArrow(lambda it, words=words: _energy(it, idf, words, table.value), "part long, v binary"), np.float64)
         energy.append(w * np.stack([parts[i] for i in range(width)]) if parts else np.zeros((width, width)))
+    table.destroy()
     values, vectors = np.linalg.eigh(sum(energy))
     order = np.argsort(-values)
-    order = order[values[order] > 1e-6 * max(values.max(), 1e-9)]
+    order = order[values[order] > 1e-6 * values.max(initial=0.0)]
     if not len(order):
         return axes
-    of_items = np.einsum("ik,ij,jk->k", vectors[:, order], energy[1], vectors[:, order]) / np.maximum(values[order], 1e-9)
+    of_items = np.einsum("ik,ij,jk->k", vectors[:, order], energy[1], vectors[:, order]) / values[order]
     order = order[of_items >= ITEM_SHARE * np.median(of_items[:RANK])][:RANK]
-    axes[:, : len(order)] = basis @ vectors[:, order]
+    axes[:, : len(order)] = basis @ vectors[:, order].astype(np.float32)
     return axes
 
 
@@ -324,7 +337,7 @@ def _search(items: _Items, projection: np.ndarray):
                 continue
             h = word_hashes(data, starts, ends)
             heads, text = _passage_words(first)
-            blocks = np.add.reduceat(projection[(h & np.uint64(FEATURES - 1)).astype(np.int64)], heads, axis=0)
+            blocks = _block_sums(projection, (h & np.uint64(FEATURES - 1)).astype(np.int64), heads)
             begin, end = _windows(text)
             z = blocks[begin].copy()
             for k in range(1, PASSAGE // STRIDE):
@@ -377,7 +390,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, block: int = ITEM_BLOCK) -> D
     counts, blocks = passage_frequencies(docs)
     idf = np.log((1 + blocks) / (1 + counts))
     axes = latent_axes(docs, blocks, benchmark, idf)
-    projection = spark.sparkContext.broadcast((axes * idf[:, None]).astype(np.float32))
+    projection = spark.sparkContext.broadcast(_with_zero(axes * idf[:, None].astype(np.float32)))
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     batch_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     benchmark = benchmark.select("item_id", "text").distinct()

@@ -147,3 +147,14 @@ def test_every_item_takes_part_in_the_axes(spark, monkeypatch):
     axes = decontaminate.latent_axes(docs, blocks, bench, idf)
     known = np.linalg.norm(dense_rows(items, idf, 1 << 20) @ axes, axis=1)
     assert known.min() > 0.95
+
+
+def test_block_sums_equal_plain_ones():
+    rng = np.random.default_rng(56)
+    table = decontaminate._with_zero(rng.standard_normal((50, 7)))
+    heads = np.flatnonzero(np.concatenate([[True], rng.random(39_999) < 0.1]))
+    feature = rng.integers(0, 50, 40_000)
+    assert len(heads) > decontaminate._ROWS
+    plain = np.add.reduceat(table[feature].astype(np.float64), heads, axis=0)
+    assert np.allclose(decontaminate._block_sums(table, feature, heads), plain, atol=1e-4)
+    assert decontaminate._block_sums(table, feature[:0], heads[:0]).shape == (0, 7)
