@@ -90,7 +90,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to a Parquet table in the shared folder: it survives lost executors, and its size is known to the planner."""
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables as :func:`stored` gave them; nothing that is still to be computed may read them."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def free_names(columns: list[str], *wanted: str) -> list[str]:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampliframe.llm import simhash
-from ampliframe.llm.common import free_names, stored
+from ampliframe.llm.common import discard, free_names, stored
 from ampliframe.llm.graph import components
 from ampliframe.llm.tokens import chunks, lowered, mixed, window_hashes, word_hashes, word_spans
 
@@ -348,7 +348,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have the similarity."""
+    """The pairs whose shingle sets have the similarity, stored; the sets themselves, the largest table here, are deleted."""
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.mapInArrow(_once, keyed.schema)  # many copies of a text are a row a task
@@ -356,7 +356,9 @@ def verified_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(sets.withColumnsRenamed({"key": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"key": "b", "shingles": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     counted = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("s"))
-    return counted.where(F.col("c") >= SIMILARITY * (F.col("s") - F.col("c")) - 1e-9).select("a", "b")
+    links = stored(counted.where(F.col("c") >= SIMILARITY * (F.col("s") - F.col("c")) - 1e-9).select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -380,9 +382,8 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if wanted > FREQUENT:
             break
         least = r["bin"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = counts.where(step >= least).toArrow()
+    rows = counts.where(step >= least if least is not None else F.lit(False)).toArrow()
+    discard(counts)
     h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("count").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -490,24 +491,33 @@ def _in_cells(members: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(docs: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, b``: keys of all pairs of ``texts`` that may have the similarity and aren't joined by ``roots``."""
+    """``a, b``: keys of all pairs of ``texts`` that may have the similarity and aren't joined by ``roots``, stored."""
     rows = prefixes(docs).repartition(F.col("sig")).sortWithinPartitions("sig", "set")
     shared = stored(rows.mapInArrow(_shared, "sig long, set long, m int, pos int"), "shared-shingles")
     named = texts.select("set", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("set", "key", F.coalesce("root", "key").alias("root"))
     named = stored(shared.join(named, "set").select("sig", "key", "root", "m", "pos"), "shared-members")
+    discard(shared)
     apart = named.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most").select("sig", "n")
-    members = stored(_in_cells(named.join(apart, "sig")), "open-members").join(texts.select("key", "parity"), "key")
-    return members.repartition(F.col("sig")).sortWithinPartitions("sig").mapInArrow(_near_members, "a long, b long").distinct()
+    members = stored(_in_cells(named.join(apart, "sig")), "open-members")
+    discard(named)
+    dealt = members.join(texts.select("key", "parity"), "key").repartition(F.col("sig")).sortWithinPartitions("sig")
+    pairs = stored(dealt.mapInArrow(_near_members, "a long, b long").distinct(), "remaining-pairs")
+    discard(members)
+    return pairs
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``doc_id, key, set`` of every row, and ``set, root`` of every distinct shingle set: equal roots are one group."""
     rows = stored(sketches(docs), "sketches")
     texts = stored(rows.drop("doc_id").dropDuplicates(["set"]), "texts")
-    links = stored(verified_links(docs, stored(candidate_links(texts, choose_plans(texts)), "candidate-links")), "links")
-    roots = stored(components(links), "roots")
-    rest = stored(verified_links(docs, stored(remaining_pairs(docs, texts, roots), "remaining-pairs")), "remaining-links")
+    pairs = stored(candidate_links(texts, choose_plans(texts)), "candidate-links")
+    links = verified_links(docs, pairs)
+    first = stored(components(links), "roots")
+    remaining = remaining_pairs(docs, texts, first)
+    discard(pairs, first)
+    rest = verified_links(docs, remaining)
     roots = stored(components(links.unionByName(rest)), "roots")
+    discard(remaining, links, rest)
     one = texts.select("set", F.col("key").alias("node")).join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"))
     return rows.select("doc_id", "key", "set"), one
 

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import pathlib
 import random
 
 import brute
@@ -533,3 +534,15 @@ def test_language_models_count_all_words_and_bigrams(spark, few):
         assert got[i]["n_tokens"] == len(made[i].split())
         assert got[i]["target_loss"] == pytest.approx(loss(0, made[i]))
         assert got[i]["background_loss"] == pytest.approx(loss(1, made[i]))
+
+
+def test_near_dedup_keeps_none_of_its_passing_tables(spark, docs):
+    """What a stage has done with takes no room in those after it: the tables that the result reads are left."""
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    out = near_dedup.keep_one(docs)
+    left = {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before}
+    assert out.count() > 0
+    assert left >= {"sketches", "texts", "roots"}
+    gone = ("shingle-sets", "candidate-links", "links", "frequent-shingles", "shared-shingles", "shared-members", "open-members", "remaining-pairs")
+    assert not left & set(gone)
