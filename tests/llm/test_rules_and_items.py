@@ -158,3 +158,20 @@ def test_block_sums_equal_plain_ones():
     plain = np.add.reduceat(table[feature].astype(np.float64), heads, axis=0)
     assert np.allclose(decontaminate._block_sums(table, feature, heads), plain, atol=1e-4)
     assert decontaminate._block_sums(table, feature[:0], heads[:0]).shape == (0, 7)
+
+
+def test_the_pipeline_finds_items_that_no_sample_holds(spark, monkeypatch, tmp_path):
+    """Long documents with an item each, more items than a block: the pipeline's stage lets none of them pass."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 4)
+    rng = random.Random(57)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    items = [" ".join(word() for _ in range(48)) for _ in range(12)]
+    common = [word() for _ in range(30)]
+    filler = lambda: " ".join(rng.choice(common) for _ in range(1000))
+    rows = [(i, f"{filler()} {items[i]} {filler()}" if i < 12 else filler()) for i in range(20)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(range(12, 20))
