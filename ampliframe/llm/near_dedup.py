@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampliframe.llm import simhash
-from ampliframe.llm.common import discard, free_names, stored
+from ampliframe.llm.common import discard, free_names, freed_shuffles, stored
 from ampliframe.llm.graph import components
 from ampliframe.llm.tokens import chunks, lowered, mixed, window_hashes, word_hashes, word_spans
 
@@ -524,13 +524,14 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near copies."""
-    rows, one = groups(docs)
+    with freed_shuffles(docs.sparkSession):
+        rows, one = groups(docs)
+        # rows that are equal in id and text can't be told apart by a join
+        repeated = rows.groupBy("doc_id", "key").count().where("count > 1").limit(1).count() > 0
     named = rows.join(one, "set")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("f"))
     own, wanted, wanted_id = free_names(docs.columns, "own_key", "key", "id")
     kept = first.select(F.col("f.doc_id").alias(wanted_id), F.col("f.key").alias(wanted))
-    # rows that are equal in id and text can't be told apart by a join
-    repeated = rows.groupBy("doc_id", "key").count().where("count > 1").limit(1).count() > 0
     keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
     out = keyed.join(kept, (F.col(own) == F.col(wanted)) & F.col("doc_id").eqNullSafe(F.col(wanted_id)), "left_semi")
     if repeated:

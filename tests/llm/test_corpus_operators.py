@@ -5,6 +5,7 @@ import collections
 import hashlib
 import pathlib
 import random
+import time
 
 import brute
 import numpy as np
@@ -546,3 +547,22 @@ def test_near_dedup_keeps_none_of_its_passing_tables(spark, docs):
     assert left >= {"sketches", "texts", "roots"}
     gone = ("shingle-sets", "candidate-links", "links", "frequent-shingles", "shared-shingles", "shared-members", "open-members", "remaining-pairs")
     assert not left & set(gone)
+
+
+def test_near_dedup_keeps_none_of_its_shuffle_files(spark, docs):
+    """Shuffle files of what has ended take no room in what follows; the session's setting stays as it was."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        blocks = disk.getAllBlocks()
+        return {name for i in range(blocks.size()) if (name := blocks.apply(i).name()).startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffles(), spark.conf.get(name, None)
+    out = near_dedup.keep_one(docs)
+    until = time.time() + 20  # files are deleted in the background
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get(name, None) == setting
+    assert out.count() > 0
