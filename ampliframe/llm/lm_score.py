@@ -16,7 +16,10 @@ occurrences meet, so the counts of the bigram, of a rare word and of a rare
 context are sums in place, and what goes back is a sum of losses by text. They
 travel packed, a row per task and part, hashes in 48 bits under the number of
 the part; parts have ``PART_WORDS`` words of the corpus each, so their number
-grows with it, not their size. The texts of the target are found by a join
+grows with it, not their size. ``TASKS_A_CORE`` tasks a core work through the
+parts, one part after the other, and add up what each text has in all of them,
+in memory up to ``SUMS_BYTES`` and beyond in a file of the task: a text has one
+sum a task, however many parts the corpus has. The texts of the target are found by a join
 behind a Bloom filter of fixed size, so that only they are shuffled; they pass
 once more, to be counted and not scored.
 
@@ -30,11 +33,13 @@ ones, which changes the work only; further columns are ignored.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +54,8 @@ FREQUENT_WORDS, FREQUENT_PAIRS = 1 << 16, 1 << 18
 SAMPLE_PART = 8
 #: Words of the corpus to a part, steps in which a task works through one, and bytes of texts that are packed at a time.
 PART_WORDS, STEPS, PACKED_BYTES = 1 << 22, 16, 1 << 20
+#: Tasks that work through the parts, by cores; bytes of a task's sums that are held in memory, and texts whose sums are given out at a time.
+TASKS_A_CORE, SUMS_BYTES, SUMS_ROWS = 2, 1 << 25, 1 << 16
 #: 64-bit words of the Bloom filter for the target's ids.
 FILTER_WORDS = 1 << 18
 START = np.uint64(0x5851F42D4C957F2D)
@@ -197,6 +204,9 @@ _SCORED = "part long, packed binary, key long, n long, lb double, lt double"
 #: Columns of packed rows: of a frequent word its number and the bigram, of a rare word its hash and the bigram; then text and number.
 _FREQUENT_ROW, _RARE_ROW = (("word", "<u2"), ("h", 6), ("text", "<u2"), ("n", "<u2")), (("g", 6), ("h", 6), ("text", "<u2"), ("n", "<u2"))
 _MOST_TEXTS = 1 << 16
+#: 64-bit words at the head of a packed row: whether it is scored, its texts, its rows of either kind, the number of its pack, the pack's texts.
+_HEAD = 6
+_SUM = np.dtype([("key", "<i8"), ("lb", "<f8"), ("lt", "<f8")])
 #: Bit of a row's number that says that the word ends its text there, and so is no context.
 _LAST, _MOST = 1 << 15, (1 << 15) - 1
 
@@ -235,8 +245,8 @@ def _runs(text: np.ndarray, h: np.ndarray, last: np.ndarray) -> tuple[np.ndarray
     return at, count | np.where(last[at], _LAST, 0)
 
 
-def _scored_here(model: _Model, parts: int, scored: bool, key: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Of at most ``_MOST_TEXTS`` texts: their losses by what is frequent, and what is left of them, packed by part."""
+def _scored_here(model: _Model, parts: int, scored: bool, pack: int, key: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Of at most ``_MOST_TEXTS`` texts: their losses by what is frequent, and what is left of them, packed by part; ``pack`` is a number that no other call of any task has."""
     n, sums = np.zeros(len(key), np.int64), np.zeros((len(key), 2))
     left: tuple[list, list] = ([], [])
     for row, w, c, last in _word_arrays(texts):
@@ -279,7 +289,7 @@ def _scored_here(model: _Model, parts: int, scored: bool, key: np.ndarray, texts
     for i in range(len(present)):
         mine = [{name: v[c[i] : c[i + 1]] for name, v in x.items()} for x, c in zip(rows, cuts, strict=True)]
         used = np.unique(np.concatenate([x["text"] for x in mine]))
-        blob = [np.array([scored, len(used), *(len(x["text"]) for x in mine)], "<i8").tobytes(), key[used].tobytes()]
+        blob = [np.array([scored, len(used), *(len(x["text"]) for x in mine), pack, len(key)], "<i8").tobytes(), key[used].tobytes(), used.astype("<u2").tobytes()]
         for kind, x in zip((_FREQUENT_ROW, _RARE_ROW), mine, strict=True):
             blob.append(_packed(kind, x | {"text": np.searchsorted(used, x["text"])}))
         packed.append(b"".join(blob))
@@ -288,6 +298,12 @@ def _scored_here(model: _Model, parts: int, scored: bool, key: np.ndarray, texts
         yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(packed, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], ["part", "packed", "key", "n", "lb", "lt"])
 
 
+def _part_runs(part: np.ndarray) -> tuple[list[int], list[int]]:
+    """First row and size of each run of equal parts."""
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    return cut.tolist(), np.diff(cut, append=len(part)).tolist()
+
+
 def _sum_by(values: tuple[np.ndarray, ...], n: np.ndarray, scored: np.ndarray) -> np.ndarray:
     """Of every row, the sums over the rows with equal values: of all documents and of the target."""
     order = np.lexsort(values)
@@ -303,24 +319,56 @@ def _sum_by(values: tuple[np.ndarray, ...], n: np.ndarray, scored: np.ndarray) -
     return out
 
 
-def _scored_together(model: _Model, blobs: list[pa.Buffer]) -> pa.RecordBatch:
-    """Of all packed rows of a part: the sum of losses of each scored text in each blob. Rows are unpacked in ``STEPS`` by their hashes, equal ones together."""
-    heads = [np.frombuffer(blob, "<i8", 4).tolist() for blob in blobs]
+class _TextSums:
+    """Sums of losses by text over all parts of a task: a place for each text of each pack, in memory up to ``SUMS_BYTES`` and beyond in a file."""
+
+    def __init__(self) -> None:
+        self.file = tempfile.SpooledTemporaryFile(max_size=SUMS_BYTES)
+        self.first: dict[int, int] = {}
+        self.texts = 0
+
+    def add(self, pack: int, texts: int, used: np.ndarray, key: np.ndarray, sums: np.ndarray) -> None:
+        """``sums`` of the texts with the numbers ``used`` of a pack of ``texts``."""
+        if known := pack in self.first:
+            self.file.seek(self.first[pack] * _SUM.itemsize)
+            rows = np.frombuffer(self.file.read(texts * _SUM.itemsize), _SUM).copy()
+        else:
+            self.first[pack], rows = self.texts, np.zeros(texts, _SUM)
+            self.texts += texts
+        rows["key"][used] = key
+        rows["lb"][used] += sums[:, 0]
+        rows["lt"][used] += sums[:, 1]
+        self.file.seek(self.first[pack] * _SUM.itemsize) if known else self.file.seek(0, 2)
+        self.file.write(rows.tobytes())
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """``key, n, lb, lt`` of every text that has a loss; what has none adds nothing."""
+        self.file.seek(0)
+        while data := self.file.read(SUMS_ROWS * _SUM.itemsize):
+            rows = np.frombuffer(data, _SUM)
+            rows = rows[(rows["lb"] != 0) | (rows["lt"] != 0)]
+            columns = [rows["key"], np.zeros(len(rows), np.int64), rows["lb"], rows["lt"]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "n", "lb", "lt"])
+        self.file.close()
+
+
+def _scored_together(model: _Model, blobs: list[pa.Buffer], out: _TextSums) -> None:
+    """Of all packed rows of a part: the sum of losses of each scored text in each blob, added to ``out``. Rows are unpacked in ``STEPS`` by their hashes, equal ones together."""
+    heads = [np.frombuffer(blob, "<i8", _HEAD).tolist() for blob in blobs]
     texts = np.array([h[1] for h in heads])
-    key = np.concatenate([np.frombuffer(blob, "<i8", h[1], 32) for blob, h in zip(blobs, heads, strict=True)])
     scored = np.repeat([bool(h[0]) for h in heads], texts)
     first = np.cumsum(texts) - texts
-    sums = np.zeros((len(key), 2))
+    sums = np.zeros((len(scored), 2))
     for step in range(STEPS):
         found: tuple[list, list] = ([], [])
-        for blob, (_, n_texts, *sizes), at in zip(blobs, heads, first.tolist(), strict=True):
-            place = 32 + 8 * n_texts
-            for kind, size, out in zip((_FREQUENT_ROW, _RARE_ROW), sizes, found, strict=True):
+        for blob, (_, n_texts, *sizes, _, _), at in zip(blobs, heads, first.tolist(), strict=True):
+            place = 8 * _HEAD + 10 * n_texts
+            for kind, size, rows in zip((_FREQUENT_ROW, _RARE_ROW), sizes, found, strict=True):
                 x, place = _unpacked(kind, size, blob, place)
                 mine = np.flatnonzero((x["g" if "g" in x else "h"] >> np.uint64(32)) % np.uint64(STEPS) == step)
                 x = {name: v[mine] for name, v in x.items()}
                 x["text"] += at
-                out.append(x)
+                rows.append(x)
         for rare, parts in enumerate(found):
             x = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
             if not len(x["n"]):
@@ -334,9 +382,11 @@ def _scored_together(model: _Model, blobs: list[pa.Buffer]) -> pa.RecordBatch:
             else:
                 losses = n[:, None] * model.pair_losses(_sum_by((x["h"], x["word"]), n, own), model.unigrams[x["word"]])
             for k in (0, 1):
-                sums[:, k] += np.bincount(x["text"][own], losses[own, k], len(key))
-    some = np.flatnonzero(scored)
-    return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(np.zeros(len(some), np.int64)), pa.array(sums[some, 0]), pa.array(sums[some, 1])], ["key", "n", "lb", "lt"])
+                sums[:, k] += np.bincount(x["text"][own], losses[own, k], len(scored))
+    for blob, (own, n_texts, _, _, pack, all_texts), at in zip(blobs, heads, first.tolist(), strict=True):
+        if own:
+            key, used = np.frombuffer(blob, "<i8", n_texts, 8 * _HEAD), np.frombuffer(blob, "<u2", n_texts, 8 * _HEAD + 8 * n_texts)
+            out.add(pack, all_texts, used, key, sums[at : at + n_texts])
 
 
 def text_losses(rows: DataFrame, target: DataFrame, frequent_words: int = FREQUENT_WORDS, frequent_pairs: int = FREQUENT_PAIRS, part_words: int = PART_WORDS) -> DataFrame:
@@ -350,6 +400,7 @@ def text_losses(rows: DataFrame, target: DataFrame, frequent_words: int = FREQUE
 
     def here(scored: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pack = TaskContext.get().partitionId() << 32
             for batch in batches:
                 size = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
                 lo = 0
@@ -357,27 +408,40 @@ def text_losses(rows: DataFrame, target: DataFrame, frequent_words: int = FREQUE
                     hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PACKED_BYTES, "right"))
                     part = batch.slice(lo, min(max(hi - lo, 1), _MOST_TEXTS))
                     lo += part.num_rows
+                    pack += 1
                     # what a worker has freed, it gives back
                     pa.default_memory_pool().release_unused()
-                    yield from _scored_here(known.value, parts, scored, part.column(0).to_numpy(zero_copy_only=False), part.column(1))
+                    yield from _scored_here(known.value, parts, scored, pack, part.column(0).to_numpy(zero_copy_only=False), part.column(1))
 
         return run
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, current, sums = [], -1, _TextSums()
         for batch in batches:
             done = batch.filter(batch.column(1).is_null())
             if done.num_rows:
                 yield done.select(["key", "n", "lb", "lt"])
-            held += [packed.as_buffer() for packed in batch.column(1).drop_null()]  # of the batch, not copied
+            # the rows of a part come together
+            part = batch.column(0).to_numpy()
+            cut, size = _part_runs(part)
+            for lo, n in zip(cut, size, strict=True):
+                if part[lo] != current:
+                    if held:
+                        _scored_together(known.value, held, sums)
+                        held = []
+                        pa.default_memory_pool().release_unused()
+                    current = part[lo]
+                held += [packed.as_buffer() for packed in batch.column(1).slice(lo, n) if packed.is_valid]  # of the batch, not copied
         if held:
-            yield _scored_together(known.value, held)
+            _scored_together(known.value, held, sums)
             del held
             pa.default_memory_pool().release_unused()
+        yield from sums.rest()
 
     dealt = rows.select("key", "text").mapInArrow(here(True), _SCORED).unionByName(target.select(F.lit(0).cast("long").alias("key"), "text").mapInArrow(here(False), _SCORED))
-    # a task for each part, by its number: no task has two
-    sums = dealt.repartitionById(parts, F.col("part").cast("int")).mapInArrow(together, "key long, n long, lb double, lt double")
+    # a partition for each part, by its number; a task reads its partitions one after the other, without a sort
+    tasks = min(parts, TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+    sums = dealt.repartitionById(parts, F.col("part").cast("int")).coalesce(tasks).mapInArrow(together, "key long, n long, lb double, lt double")
     return sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "lb", "lt")])
 
 

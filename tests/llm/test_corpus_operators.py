@@ -26,6 +26,7 @@ from ampliframe.llm import (
     url_filter,
     warc,
 )
+from ampliframe.llm.common import stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(11)
@@ -566,3 +567,47 @@ def test_near_dedup_keeps_none_of_its_shuffle_files(spark, docs):
     assert not shuffles() - before
     assert spark.conf.get(name, None) == setting
     assert out.count() > 0
+
+
+def test_a_text_has_one_sum_a_task_however_many_parts(spark, monkeypatch):
+    """The rows that go back from the rare words and bigrams grow with the texts, not with texts times parts."""
+    rng = random.Random(37)
+    made = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(150))) for i in range(400)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(i,) for i in range(0, 400, 4)], "doc_id long")
+    rows, frame = [], type(df)
+    real = frame.mapInArrow
+
+    def counted(self, func, schema, *more, **options):
+        out = real(self, func, schema, *more, **options)
+        if schema == "key long, n long, lb double, lt double":
+            out = stored(out, "probe")
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    got = [lm_score.score(df, target, frequent_words=0, frequent_pairs=0, part_words=n).collect() for n in (60_000, 1000)]
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    assert len(rows) == 2 and rows[0] == 2 * 400 and rows[1] <= (tasks + 1) * 400
+    one, many = ({r["doc_id"]: r for r in x} for x in got)
+    for i in range(400):
+        assert many[i]["loss_difference"] == pytest.approx(one[i]["loss_difference"])
+
+
+def test_sums_of_texts_beyond_memory(monkeypatch):
+    monkeypatch.setattr(lm_score, "SUMS_BYTES", 100)
+    monkeypatch.setattr(lm_score, "SUMS_ROWS", 3)
+    rng = np.random.default_rng(41)
+    sums, want = lm_score._TextSums(), collections.Counter()
+    sizes = {p << 32: int(rng.integers(1, 30)) for p in range(9)}
+    for pack in list(sizes) * 4:
+        used = np.flatnonzero(rng.random(sizes[pack]) < 0.5).astype("<u2")
+        losses = rng.random((len(used), 2))
+        sums.add(pack, sizes[pack], used, used.astype(np.int64) + pack, losses)
+        for u, (b, t) in zip(used.tolist(), losses.tolist(), strict=True):
+            want[u + pack, 0] += b
+            want[u + pack, 1] += t
+    got = pa.Table.from_batches(list(sums.rest())).to_pylist()
+    assert len(got) == len({k for k, _ in want}) == len({r["key"] for r in got})
+    for r in got:
+        assert (r["lb"], r["lt"]) == pytest.approx((want[r["key"], 0], want[r["key"], 1]))
