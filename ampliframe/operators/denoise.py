@@ -46,6 +46,42 @@ def extended_model(err: np.ndarray, highest: int) -> np.ndarray:
     return np.concatenate([err, np.repeat(err[:, -1:], more, axis=1)], axis=1) if more > 0 else err
 
 
+def _padded(rows: list[np.ndarray], kind: type) -> np.ndarray:
+    """A table of rows of different lengths, filled up with zeros."""
+    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)), kind)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out
+
+
+class _Stored:
+    """Comparisons of uniques with clusters that may still win them, in the order of clusters; room is doubled as it fills up."""
+
+    def __init__(self):
+        self.n = 0
+        self.cluster, self.unique, self.lam, self.ham = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32)
+
+    def add(self, cluster: int, uniques: np.ndarray, lam: np.ndarray, ham: np.ndarray) -> None:
+        end = self.n + len(uniques)
+        if end > len(self.cluster):
+            more = max(end, 2 * len(self.cluster)) - len(self.cluster)
+            self.cluster, self.unique, self.lam, self.ham = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.cluster, self.unique, self.lam, self.ham))
+        self.cluster[self.n : end], self.unique[self.n : end] = cluster, uniques
+        self.lam[self.n : end], self.ham[self.n : end] = lam[uniques], ham[uniques]
+        self.n = end
+
+    def best(self, n: int, reads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every unique: the most reads that a cluster expects of it, the first such cluster, and the comparison's place."""
+        cluster, unique = self.cluster[: self.n], self.unique[: self.n]
+        e = self.lam[: self.n] * reads[cluster]
+        best_e, best_c, at = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        np.maximum.at(best_e, unique, e)
+        first = np.flatnonzero(e == best_e[unique])[::-1]
+        at[unique[first]] = first
+        best_c[unique[first]] = cluster[first]
+        return best_e, best_c, at
+
+
 class Partition:
     """The state of one sample's partition."""
 
@@ -66,17 +102,17 @@ class Partition:
         self.quals = quals if params.use_quals else [np.zeros(len(q), np.int64) for q in quals]
         self.err = extended_model(err, max((int(q.max()) for q in self.quals if len(q)), default=0))
         self.vectors = np.stack([al.kmer_vector(s, params.k) for s in self.seqs])
-        self.ordered = [al.ordered_kmers(s, params.k) for s in self.seqs]
+        self.ordered = _padded([al.ordered_kmers(s, params.k) for s in self.seqs], np.uint16)
+        self.code_table, self.qual_table = _padded(self.codes, np.uint8), _padded(self.quals, np.int16)
         self.selves = np.array([self._product(c, c, q) for c, q in zip(self.codes, self.quals, strict=True)])
         self.locked = np.zeros(self.n, bool)
         self.best_known = np.full(self.n, -999.0)
-        # by cluster: members in order, centre, reads, and stored comparisons with all uniques
+        # by cluster: members in order, centre, reads
         self.members: list[list[int]] = [list(range(self.n))]
         self.centers = [int(self.n - 1 - np.argmax(self.reads[::-1]))] if self.n else []
         self.cluster_reads = [self.total]
-        self.lam: list[np.ndarray] = []
-        self.ham: list[np.ndarray] = []
-        self.stored: list[np.ndarray] = []
+        # stored comparisons, cluster by cluster
+        self.stored = _Stored()
         self.births: list[dict] = [{"type": "Initial", "from": 0, "pval": None, "fold": None, "e": None, "hamming": None}]
         self.cluster_of = np.zeros(self.n, np.int64)
         self.own_lam = np.zeros(self.n)
@@ -107,29 +143,33 @@ class Partition:
         if p.greedy:
             consider &= (self.reads <= self.reads[center]) & ~self.locked
         consider[center] = True
-        if p.use_kmers:
-            distance = al.kmer_distances(self.vectors[center], self.lengths[center], self.vectors, self.lengths, p.k)
-            self.n_screened += int((consider & (distance > cutoff)).sum())
-            consider &= distance <= cutoff
         candidates = np.flatnonzero(consider)
-        plain, full = [], []
-        for i in candidates.tolist():
-            same = self.lengths[i] == self.lengths[center]
-            if p.scoring.band == 0 or (p.gapless and p.use_kmers and same and abs(al.ordered_distance(self.ordered[center], self.ordered[i]) - distance[i]) < 1e-12):
-                plain.append(i)
-            else:
-                full.append(i)
-        for i in plain:
+        plain = np.full(len(candidates), p.scoring.band == 0)
+        if p.use_kmers:
+            distance = al.kmer_distances(self.vectors[center], self.lengths[center], self.vectors[candidates], self.lengths[candidates], p.k)
+            near = distance <= cutoff
+            self.n_screened += int((~near).sum())
+            candidates, distance, plain = candidates[near], distance[near], plain[near]
+            if p.gapless:
+                windows = self.lengths[center] - p.k + 1
+                same = (self.ordered[candidates, :windows] == self.ordered[center, :windows]).sum(axis=1)
+                plain |= (self.lengths[candidates] == self.lengths[center]) & (np.abs(1.0 - same / windows - distance) < 1e-12)
+        # of one length and without gaps, the bases that differ are the substitutions
+        level = candidates[plain & (self.lengths[candidates] == self.lengths[center])]
+        size = self.lengths[center]
+        codes = self.code_table[level, :size]
+        ham[level] = (codes != self.codes[center]).sum(axis=1)
+        lam[level] = np.multiply.reduce(self.err[self.codes[center].astype(np.int64) * 4 + codes, self.qual_table[level, :size]], axis=1)
+        for i in candidates[plain & (self.lengths[candidates] != size)].tolist():
             subs = al.substitutions(*al.gapless(self.seqs[center], self.seqs[i]))
             lam[i], ham[i] = self.rate(i, subs), subs.hamming
+        full = candidates[~plain].tolist()
         for i, subs in zip(full, self.aligned(center, full), strict=True):
             lam[i], ham[i] = self.rate(i, subs), subs.hamming
         self.n_aligned += len(candidates)
         keep = lam * self.total > self.best_known
         self.best_known = np.where(keep, np.maximum(self.best_known, lam * self.reads[center]), self.best_known)
-        self.lam.append(lam)
-        self.ham.append(ham)
-        self.stored.append(keep)
+        self.stored.add(cluster, np.flatnonzero(keep), lam, ham)
         if cluster == 0:
             self.own_lam, self.own_ham = lam.copy(), ham.copy()
         else:
@@ -219,11 +259,7 @@ class Partition:
         free = np.ones(self.n, bool)
         free[self.centers] = False
         for _ in range(MOST_SHUFFLES):
-            best_e, best_c = np.full(self.n, -np.inf), np.zeros(self.n, np.int64)
-            for c in range(len(self.members)):
-                e = np.where(self.stored[c], self.lam[c] * self.cluster_reads[c], -np.inf)
-                better = e > best_e
-                best_e, best_c = np.where(better, e, best_e), np.where(better, c, best_c)
+            best_e, best_c, best_at = self.stored.best(self.n, np.array(self.cluster_reads))
             moves = free & (best_c != self.cluster_of) & (best_e > -np.inf)
             moved = bool(moves.any())
             for c in np.unique(self.cluster_of[moves]).tolist():
@@ -235,7 +271,7 @@ class Partition:
                     self.members[to].append(i)
                     self.cluster_reads[to] += int(self.reads[i])
                     self.cluster_of[i] = to
-                    self.own_lam[i], self.own_ham[i] = self.lam[to][i], self.ham[to][i]
+                    self.own_lam[i], self.own_ham[i] = self.stored.lam[best_at[i]], self.stored.ham[best_at[i]]
                     changed |= {c, to}
             if not moved:
                 break
@@ -272,7 +308,11 @@ class Partition:
         out: dict[tuple[int, int], int] = {}
         for c, center in enumerate(self.centers):
             mine = [i for i in self.members[c] if assigned[i]]
-            for i, subs in zip(mine, self.aligned(center, mine), strict=True):
+            # a sequence aligns with itself base by base
+            others = [i for i in mine if i != center]
+            found = dict(zip(others, self.aligned(center, others), strict=True))
+            for i in mine:
+                subs = found[i] if i != center else al.substitutions(self.seqs[center], self.seqs[center])
                 places = subs.position_map[subs.position_map != al.NO_POSITION]
                 refs = self.codes[center][subs.position_map != al.NO_POSITION].astype(np.int64)
                 cell = refs * 4 + self.codes[i][places]
@@ -322,7 +362,8 @@ def _denoised(err: np.ndarray, params: DenoiseParams) -> Callable[[pd.DataFrame]
 def denoise(uniques: DataFrame, err: np.ndarray, params: DenoiseParams = DenoiseParams()) -> DataFrame:
     """Partition of every sample (N1, N13): a row per unique; ``assigned`` is null where its p-value is under omega_c."""
     out = uniques.groupBy("sample_id").applyInPandas(_denoised(err, params), RESULT)
-    return out.withColumn("assigned", F.when(F.col("assigned") >= 0, F.col("assigned")))
+    # a row a unique, and most callers need them more than once: the partition is made once
+    return out.withColumn("assigned", F.when(F.col("assigned") >= 0, F.col("assigned"))).persist()
 
 
 def transition_counts(uniques: DataFrame, err: np.ndarray, params: DenoiseParams) -> DataFrame:
@@ -373,6 +414,7 @@ def pooled_uniques(uniques: DataFrame) -> DataFrame:
 
 def denoise_pooled(uniques: DataFrame, err: np.ndarray, params: DenoiseParams = DenoiseParams()) -> DataFrame:
     """All samples as one, projected back: ``sample_id, asv_idx, seq, abundance``; abundances of mapped uniques only."""
+    uniques = uniques.persist()
     pooled = denoise(pooled_uniques(uniques), err, params)
     centers = pooled.where("is_center").select(F.col("cluster").alias("asv_idx"), F.col("seq").alias("asv_seq"))
     mapped = pooled.where("assigned is not null").select("seq", F.col("assigned").alias("asv_idx"))
@@ -399,6 +441,7 @@ def denoise_pseudo(
 
     ``refit`` makes the second round's model from the first round's transition counts (N16).
     """
+    uniques = uniques.persist()
     priors = pseudo_priors(denoise(uniques, err, params), min_prevalence, min_abundance)
     if refit is not None:
         err = refit(transition_counts(uniques, err, params))
@@ -451,7 +494,8 @@ def birth_substitutions(found: DataFrame, params: DenoiseParams = DenoiseParams(
 def generations(births: DataFrame) -> DataFrame:
     """``sample_id, depth, n``: of rows ``sample_id, idx, parent``, how many descend from 0 in so many steps."""
     name = f"births_{uuid.uuid4().hex}"
-    births.select("sample_id", "idx", "parent").createOrReplaceTempView(name)
+    # every step of the descent reads the births again
+    births.select("sample_id", "idx", "parent").persist().createOrReplaceTempView(name)
     return births.sparkSession.sql(
         f"""with recursive tree(sample_id, idx, depth) as (
               select sample_id, idx, 0 from {name} where idx = 0

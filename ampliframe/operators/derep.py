@@ -45,14 +45,39 @@ def _added(sample: pa.Array, seq: pa.Array, count: np.ndarray, values: np.ndarra
     return pa.RecordBatch.from_arrays([sample.take(at), seq.take(at), pa.array(np.concatenate([np.zeros(0, np.int64), *counts])), lists], ["sample_id", "seq", "count", "qual_sum"])
 
 
+def _whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row for each sample and sequence of several batches of partial rows."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    lists = table.column("qual_sum").chunk(0)
+    return _added(table.column("sample_id").chunk(0), table.column("seq").chunk(0), table.column("count").to_numpy(), lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy().astype(np.int64))
+
+
+def _bytes(strings: pa.Array) -> np.ndarray:
+    """The bytes of all strings, one after the other; none of them is null."""
+    kind = np.int64 if pa.types.is_large_string(strings.type) else np.int32
+    ends = np.frombuffer(strings.buffers()[1], kind)[strings.offset : strings.offset + len(strings) + 1]
+    data = strings.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
+#: Partial rows that a task holds before it adds them up or passes them on.
+HELD_ROWS = 32_768
+
+
 def _from_reads(offset: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if batch.num_rows:
                 qual = batch.column(2).fill_null("")
-                data = np.frombuffer(b"".join(x.as_buffer() for x in qual), np.uint8).astype(np.int64) - offset
                 length = pa.compute.binary_length(qual).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield _added(batch.column(0), batch.column(1), np.ones(batch.num_rows, np.int64), data, length)
+                held.append(_added(batch.column(0), batch.column(1), np.ones(batch.num_rows, np.int64), _bytes(qual).astype(np.int64) - offset, length))
+                if sum(x.num_rows for x in held) >= HELD_ROWS:
+                    held = [_whole(held)]
+                    if held[0].num_rows >= HELD_ROWS // 2:
+                        yield held.pop()
+        if held:
+            yield _whole(held)
 
     return run
 
@@ -61,11 +86,6 @@ def _from_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of partial rows sorted by ``sample_id, seq``: the whole ones; the last group of a batch waits for the next."""
     held: list[pa.RecordBatch] = []
 
-    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        lists = table.column("qual_sum").chunk(0)
-        return _added(table.column("sample_id").chunk(0), table.column("seq").chunk(0), table.column("count").to_numpy(), lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy().astype(np.int64))
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -73,14 +93,14 @@ def _from_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = pa.compute.and_(pa.compute.equal(batch.column(0), last[0]), pa.compute.equal(batch.column(1), last[1]))
         cut = batch.num_rows - int(pa.compute.sum(same).as_py())
         if cut:
-            yield whole([*held, batch.slice(0, cut)])
+            yield _whole([*held, batch.slice(0, cut)])
             held = []
         elif held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != last:
-            yield whole(held)
+            yield _whole(held)
             held = []
         held.append(batch.slice(cut))
     if held:
-        yield whole(held)
+        yield _whole(held)
 
 
 def merged_uniques(parts: DataFrame) -> DataFrame:
