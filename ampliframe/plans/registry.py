@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -280,10 +282,20 @@ def merge_concat(spark, sf_dir):
 # --- error models ----------------------------------------------------------------
 
 
+def _learned(spark, sf_dir):
+    """Uniques, and the error model that the learning finds in the reads of all samples.
+
+    The fixture's qualities say nothing of its errors, of which there are some fifteen times as many as they state. Under
+    :func:`_model` a substitution is a variant of its own as soon as there are reads enough to tell (about 50 a sequence);
+    under rates without qualities, fitted to the reads, it stays an error of its template, which is what the SQL says.
+    """
+    uniques = derep.dereplicate(fixtures.reads(spark, sf_dir)).persist()
+    return uniques, errors.learn_errors(uniques, replace(LearnParams(), bases=math.inf, model="noqual"))[0]
+
+
 def _transitions(spark, sf_dir):
     """Transitions of every sample's partition, all uniques kept, as the learning of error rates counts them."""
-    uniques = derep.dereplicate(fixtures.reads(spark, sf_dir))
-    return dn.transition_counts(uniques, _model(spark, sf_dir), LearnParams().denoise)
+    return dn.transition_counts(*_learned(spark, sf_dir), LearnParams().denoise)
 
 
 # every unique joins the cluster of the template that it was drawn from
@@ -488,35 +500,39 @@ def _denoised(spark, sf_dir):
     return dn.denoise(derep.dereplicate(fixtures.reads(spark, sf_dir)), _model(spark, sf_dir), LearnParams().denoise)
 
 
+def _denoised_as_learned(spark, sf_dir):
+    return dn.denoise(*_learned(spark, sf_dir), LearnParams().denoise)
+
+
 @query(f"{_ORIGIN_SQL} select * from found")
 def denoise_variants(spark, sf_dir):
-    return dn.variants(_denoised(spark, sf_dir)).select("sample_id", "seq", "abundance", "n_uniques")
+    return dn.variants(_denoised_as_learned(spark, sf_dir)).select("sample_id", "seq", "abundance", "n_uniques")
 
 
 @query(", m as (select distinct sample_id, seq, template from reads) select m.sample_id, m.seq, tpls.seq center, cast(hamming(m.seq, tpls.seq) as int) hamming from m join tpls on template = t")
 def denoise_map(spark, sf_dir):
-    rows = _denoised(spark, sf_dir)
+    rows = _denoised_as_learned(spark, sf_dir)
     centers = rows.where("is_center").select("sample_id", "cluster", F.col("seq").alias("center"))
     return rows.join(centers, ["sample_id", "cluster"]).select("sample_id", "seq", "center", "hamming")
 
 
 @query(f"{_SUMS_SQL}, o as (select distinct sample_id, seq, template from reads) select sample_id, tpls.seq center, pos, round(sum(qsum) / sum(n), 6) quality from sums join uniq using (sample_id, seq) join o using (sample_id, seq) join tpls on template = t group by 1, 2, 3")
 def cluster_quality(spark, sf_dir):
-    uniques = derep.dereplicate(fixtures.reads(spark, sf_dir)).persist()
-    rows = dn.denoise(uniques, _model(spark, sf_dir), LearnParams().denoise).persist()
+    uniques, err = _learned(spark, sf_dir)
+    rows = dn.denoise(uniques, err, LearnParams().denoise)
     centers = rows.where("is_center").select("sample_id", "cluster", F.col("seq").alias("center"))
     return dn.cluster_quality(rows, uniques).join(centers, ["sample_id", "cluster"]).select("sample_id", "center", "pos", F.round("quality", 6).alias("quality"))
 
 
 @query(f"{_ORIGIN_SQL} select sample_id, seq, abundance from found")
 def denoise_pooled_variants(spark, sf_dir):
-    pooled = dn.denoise_pooled(derep.dereplicate(fixtures.reads(spark, sf_dir)), _model(spark, sf_dir), LearnParams().denoise)
+    pooled = dn.denoise_pooled(*_learned(spark, sf_dir), LearnParams().denoise)
     return pooled.select("sample_id", "seq", "abundance")
 
 
 @query(f"{_ORIGIN_SQL} select sample_id, seq, abundance from found")
 def denoise_pseudo_variants(spark, sf_dir):
-    found = dn.denoise_pseudo(derep.dereplicate(fixtures.reads(spark, sf_dir)), _model(spark, sf_dir), LearnParams().denoise)
+    found = dn.denoise_pseudo(*_learned(spark, sf_dir), LearnParams().denoise)
     return dn.variants(found).select("sample_id", "seq", "abundance")
 
 

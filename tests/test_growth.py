@@ -58,3 +58,22 @@ def test_dereplication_passes_few_partial_rows_on(spark):
     partial = reads.mapInArrow(derep._from_reads(33), derep._UNIQUE)
     assert partial.count() == reads.select("seq").distinct().count()
     assert partial.agg(F.sum("count")).collect()[0][0] == 40_000
+
+
+def test_errors_that_the_reads_themselves_explain_are_no_variants(spark, monkeypatch):
+    """Substitutions at fifteen times the rate that qualities state, seen often enough to tell."""
+    from ampliframe.plans import registry
+
+    rng = random.Random(8)
+    rows = []
+    for reads in (160_000, 150_000, 140_000):
+        template = "".join(rng.choices("ACGT", k=64))
+        seqs = [template, *(template[:i] + b + template[i + 1 :] for i in range(64) for b in "ACGT" if b != template[i])]
+        for n, q in zip([reads] + [80] * 192, seqs, strict=True):
+            rows += [(sample, q, n, [n * rng.choice((38, 39)) for _ in range(64)]) for sample in ("s0", "s1")]
+    table = derep.rank_uniques(spark.createDataFrame(rows, "sample_id string, seq string, count long, qual_sum array<long>"))
+    monkeypatch.setattr(registry.derep, "dereplicate", lambda reads: table)
+    found = registry.denoise_variants(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r["abundance"], r["n_uniques"]) for r in found) == [(n + 192 * 80, 193) for n in (140_000, 140_000, 150_000, 150_000, 160_000, 160_000)]
+    assert registry.denoise_pooled_variants(spark, "/root/testdata/sf0.001").count() == 6
+    assert registry.transition_counts(spark, "/root/testdata/sf0.001").where("ref_nt <> query_nt").agg(F.sum("n")).collect()[0][0] == 6 * 192 * 80
