@@ -7,7 +7,12 @@ file system that Spark reads, plain or compressed.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,20 +31,17 @@ def sample_name(path):
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``sample_id, read_no, name, descr, seq, qual``; the sample is the file's name (SC1).
 
-    Lines are numbered in two levels, splits of a file and then lines of a
-    split, so a large plain file is read by many tasks.
+    A gzip file is one split and its records are put together as they are read. Lines of
+    other files are numbered in two levels, splits of a file and then lines of
+    a split, so a large plain file is read by many tasks.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
-    )
-    own = Window.partitionBy("file", "block").orderBy("id")
-    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered = lines.withColumn("line", F.row_number().over(own) - 1).join(offsets, ["file", "block"]).withColumn("line", F.col("line") + F.col("offset"))
-    field = lambda k: F.max(F.when(F.col("line") % 4 == k, F.rtrim(F.col("value"), F.lit("\r"))))
-    records = numbered.groupBy("file", F.floor(F.col("line") / 4).alias("read_no")).agg(field(0).alias("head"), field(1).alias("seq"), field(2).alias("plus"), field(3).alias("qual"))
-    records = records.where(F.coalesce("head", F.lit("")) != "")
+    found = spark.read.text(path).inputFiles()
+    whole = [f for f in found if f.endswith(".gz")]
+    # another list of the same files only where both ways are needed
+    rest = path if not whole else [unquote(f) for f in found if not f.endswith(".gz")]
+    parts = [_whole_files(spark, path if len(whole) == len(found) else [unquote(f) for f in whole])] if whole else []
+    parts += [_split_files(spark, rest)] if rest else []
+    records = reduce(DataFrame.unionByName, parts).where(F.coalesce("head", F.lit("")) != "")
     ok = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
     checked = F.when(F.coalesce(ok, F.lit(False)), F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record in "), "file", F.lit(": "), F.col("head"))))
     return records.select(
@@ -52,6 +54,56 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+RECORDS = "file string, read_no long, head string, seq string, plus string, qual string"
+
+
+def _four_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of the lines of whole files, one file after the other; lines that are left over wait for the next batch."""
+    schema = pa.schema([("file", pa.string()), ("read_no", pa.int64()), *((c, pa.string()) for c in ("head", "seq", "plus", "qual"))])
+    file, number, held = None, 0, pa.array([], pa.string())
+
+    def records(lines: pa.Array, n: int) -> pa.RecordBatch:
+        at = np.arange(n) * 4
+        fields = [lines.take(pa.array(np.where(at + k < len(lines), at + k, 0), mask=at + k >= len(lines))) for k in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array([file], pa.string()).take(pa.array(np.zeros(n, np.int64))), pa.array(number + np.arange(n)), *fields], schema=schema)
+
+    for batch in batches:
+        of = batch.column(1).dictionary_encode()
+        codes = of.indices.to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1]) if len(codes) else []
+        for lo, hi in zip(starts, [*starts[1:], len(codes)], strict=True):
+            name = of.dictionary[int(codes[lo])].as_py()
+            if name != file:
+                if len(held):
+                    yield records(held, 1)
+                file, number, held = name, 0, held.slice(0, 0)
+            lines = pa.concat_arrays([held, batch.column(0).slice(lo, hi - lo).cast(pa.string())])
+            n = len(lines) // 4
+            if n:
+                yield records(lines, n)
+            number, held = number + n, lines.slice(4 * n)
+    if len(held):
+        yield records(held, 1)
+
+
+def _whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    lines = spark.read.text(path).select(F.rtrim(F.col("value"), F.lit("\r")).alias("value"), F.col("_metadata.file_path").alias("file"))
+    return lines.mapInArrow(_four_lines, RECORDS)
+
+
+def _split_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
+    )
+    own = Window.partitionBy("file", "block").orderBy("id")
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    numbered = lines.withColumn("line", F.row_number().over(own) - 1).join(offsets, ["file", "block"]).withColumn("line", F.col("line") + F.col("offset"))
+    field = lambda k: F.max(F.when(F.col("line") % 4 == k, F.rtrim(F.col("value"), F.lit("\r"))))
+    return numbered.groupBy("file", F.floor(F.col("line") / 4).alias("read_no")).agg(field(0).alias("head"), field(1).alias("seq"), field(2).alias("plus"), field(3).alias("qual"))
+
+
 def write_fastq(reads: DataFrame, path: str, compression: str = "gzip") -> bool:
     """Four lines a read; nothing is written, and False returned, if there are no reads (SK1)."""
     if reads.limit(1).count() == 0:

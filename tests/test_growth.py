@@ -77,3 +77,78 @@ def test_errors_that_the_reads_themselves_explain_are_no_variants(spark, monkeyp
     assert sorted((r["abundance"], r["n_uniques"]) for r in found) == [(n + 192 * 80, 193) for n in (140_000, 140_000, 150_000, 150_000, 160_000, 160_000)]
     assert registry.denoise_pooled_variants(spark, "/root/testdata/sf0.001").count() == 6
     assert registry.transition_counts(spark, "/root/testdata/sf0.001").where("ref_nt <> query_nt").agg(F.sum("n")).collect()[0][0] == 6 * 192 * 80
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_gzip_reads_are_put_together_without_a_shuffle(spark, tmp_path):
+    from ampliframe.sources import files
+
+    rows = spark.range(50_000, numPartitions=3).select(F.col("id").cast("string").alias("name"), F.lit("d").alias("descr"), F.lit("ACGT").alias("seq"), F.lit("@III").alias("qual"))
+    files.write_fastq(rows, str(tmp_path / "zipped"))
+    files.write_fastq(rows, str(tmp_path / "plain"), "none")
+    zipped, plain = (files.read_fastq(spark, str(tmp_path / x)) for x in ("zipped", "plain"))
+    assert shuffles(zipped) == 0
+    columns = ["name", "descr", "seq", "qual"]
+    assert zipped.select(columns).exceptAll(plain.select(columns)).count() == 0 and zipped.count() == plain.count() == 50_000
+    assert zipped.groupBy("sample_id").agg(F.max("read_no") + 1 - F.count("*")).distinct().collect()[0][1] == 0
+    both = files.read_fastq(spark, [str(tmp_path / "zipped"), str(tmp_path / "plain")])
+    assert both.count() == 100_000
+
+
+def test_primers_of_many_reads_equal_those_of_each():
+    from ampliframe.operators import reads
+    from ampliframe.params import PrimerParams
+
+    rng = random.Random(6)
+    word = lambda symbols, lo, hi: "".join(rng.choices(symbols, k=rng.randint(lo, hi)))
+    for _ in range(60):
+        params = PrimerParams(forward=word("ACGTYRMN", 0, 8), reverse=word("ACGTYRMN", 0, 6), max_mismatch=rng.randint(0, 2), trim_forward=rng.random() < 0.5, trim_reverse=rng.random() < 0.5, orient=rng.random() < 0.7)
+        seqs = [word("ACGTNacgt-", 0, 20) for _ in range(30)]
+        quals = [word("!5GHI", len(s), len(s)) for s in seqs]
+        assert reads.trimmed_many(seqs, quals, params) == [reads.trimmed(s, q, params) for s, q in zip(seqs, quals, strict=True)]
+
+
+def test_cumulative_errors_are_added_up_before_the_shuffle(spark):
+    from ampliframe.operators import reads
+
+    r = spark.range(3_000, numPartitions=1).select((F.col("id") % 2).cast("string").alias("sample_id"), F.when(F.col("id") % 3 == 0, "I5#").otherwise("I5").alias("qual"))
+    found = {(x["sample_id"], x["pos"]): (x["mean"], x["min"], x["max"]) for x in reads.cumulative_error_summary(r).collect()}
+    sums = np.cumsum(10.0 ** (-np.array([40, 20, 2]) / 10))
+    assert set(found) == {(s, p) for s in "01" for p in range(3)}
+    assert all(np.allclose(v, sums[p]) for (_, p), v in found.items())
+    cells = r.mapInArrow(reads._error_cells(200, 33), "sample_id string, pos int, bin int, n long, s double, lo double, hi double") if r.columns == ["sample_id", "qual"] else None
+    assert cells.count() == 6 and cells.agg(F.sum("n")).collect()[0][0] == 7_000
+
+
+def test_complexity_of_many_sequences_equals_that_of_each():
+    import math
+    from collections import Counter
+
+    from ampliframe.functions import sequences as sq
+
+    rng = random.Random(2)
+    seqs = ["".join(rng.choices("ACGTNa", (9, 9, 9, 9, 1, 1), k=rng.randint(0, 70))) for _ in range(200)] + ["", "A", None]
+    for k in (1, 2, 5):
+        for seq, found in zip(seqs, sq.effective_kmers_many(seqs, k), strict=True):
+            n = Counter(w for i in range(len(seq or "") - k + 1) if set(w := seq[i : i + k]) <= set("ACGT"))
+            total = sum(n.values())
+            plain = math.exp(-sum(v / total * math.log(v / total) for v in n.values())) if total else 0.0
+            assert math.isnan(found) if seq is None else math.isclose(found, plain, rel_tol=1e-12)
+
+
+def test_reads_are_filtered_once_for_all_steps(spark, monkeypatch):
+    from ampliframe.plans import registry
+
+    calls, filtered = [], registry.reads.filtered
+
+    def once(df, params):
+        df, seen = counted(df.select("sample_id", "read_id", "seq", "qual"))
+        calls.append((seen, df))
+        return filtered(df, params)
+
+    monkeypatch.setattr(registry.reads, "filtered", once)
+    n = sum(r["input"] for r in registry.step_tracking(spark, "/root/testdata/sf0.001").collect())
+    assert sum(seen.value for seen, _ in calls) == n
