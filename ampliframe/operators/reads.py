@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +147,62 @@ def trimmed(seq: str, qual: str, params: PrimerParams) -> tuple[str, str] | None
     return None
 
 
+def _tables(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of single bytes as rows of a table filled up with zeros, and their lengths."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    width = int(length.max(initial=0))
+    joined = np.frombuffer("".join(texts).encode("latin-1"), np.uint8)
+    if len(joined) == len(texts) * width:
+        return joined.reshape(len(texts), width), length
+    out = np.zeros((len(texts), width), np.uint8)
+    out[np.arange(width) < length[:, None]] = joined
+    return out, length
+
+
+def find_primer_many(masks: np.ndarray, length: np.ndarray, primer: str, max_mismatch: int, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`find_primer` in many reads at once: whether it is there, its starts and ends. ``masks``: bases as bits, zeros beyond a read's end."""
+    p = _MASK[encoded(primer)]
+    k, (rows, width) = len(p), masks.shape
+    found, at = np.zeros(rows, bool), np.zeros(rows, np.int64)
+    if k and width:
+        padded = np.pad(masks, ((0, 0), (max_mismatch, max_mismatch + k)))
+        # places from -max_mismatch on; the last one of a read ends max_mismatch beyond it
+        order = range(width + 2 * max_mismatch - k, -1, -1) if last else range(width + 2 * max_mismatch - k + 1)
+        left = np.flatnonzero(length > 0)
+        for start in order:
+            mine = left[start + k <= length[left] + 2 * max_mismatch]
+            hit = mine[((padded[mine, start : start + k] & p) == 0).sum(axis=1) <= max_mismatch]
+            found[hit], at[hit] = True, start - max_mismatch
+            left = left[~found[left]]
+            if not len(left):
+                break
+    return found, np.maximum(at, 0), np.minimum(at + k, length)
+
+
+def trimmed_many(seqs: list[str], quals: list[str], params: PrimerParams) -> list[tuple[str, str] | None]:
+    """:func:`trimmed` of many reads at once where primers have no indels; bases are single bytes."""
+    reverse = "".join(sq.IUPAC_COMPLEMENT[sq.IUPAC.index(c)] for c in reversed(params.reverse.upper())) if params.reverse else ""
+    out: list[tuple[str, str] | None] = [None] * len(seqs)
+    rest = np.arange(len(seqs))
+    for strand in range(2 if params.orient else 1):
+        mine = [(seqs[i], quals[i]) if strand == 0 else _reversed(seqs[i], quals[i]) for i in rest.tolist()]
+        table, length = _tables([s for s, _ in mine])
+        masks = _MASK[table]
+        ok, lo, hi = np.ones(len(mine), bool), np.zeros(len(mine), np.int64), length.copy()
+        if params.forward:
+            found, start, end = find_primer_many(masks, length, params.forward.upper(), params.max_mismatch)
+            ok, lo = ok & found, end if params.trim_forward else start
+        if reverse:
+            found, start, end = find_primer_many(masks, length, reverse, params.max_mismatch, True)
+            ok, hi = ok & found, start if params.trim_reverse else end
+        ok &= lo < hi
+        for place in np.flatnonzero(ok).tolist():
+            s, q = mine[place]
+            out[rest[place]] = s[lo[place] : hi[place]], q[lo[place] : hi[place]]
+        rest = rest[~ok]
+    return out
+
+
 def primers_removed(reads: DataFrame, params: PrimerParams) -> DataFrame:
     """All reads with ``outcome`` (passed, no_primer or filter_fail), those that passed trimmed.
 
@@ -155,7 +212,10 @@ def primers_removed(reads: DataFrame, params: PrimerParams) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [trimmed(s, q, params) for s, q in zip(pdf["seq"], pdf["qual"], strict=True)]
+            if params.allow_indels or not all(s.isascii() for s in pdf["seq"]):
+                found = [trimmed(s, q, params) for s, q in zip(pdf["seq"], pdf["qual"], strict=True)]
+            else:
+                found = trimmed_many(list(pdf["seq"]), list(pdf["qual"]), params)
             pdf["outcome"] = ["no_primer" if f is None else "passed" for f in found]
             pdf["seq"] = [s if f is None else f[0] for f, s in zip(found, pdf["seq"], strict=True)]
             pdf["qual"] = [q if f is None else f[1] for f, q in zip(found, pdf["qual"], strict=True)]
@@ -206,11 +266,54 @@ def cumulative_errors(reads: DataFrame, offset: int = 33) -> DataFrame:
     return reads.select("sample_id", F.posexplode(running).alias("pos", "ee"))
 
 
-def cumulative_error_summary(reads: DataFrame, bins: int = 200) -> DataFrame:
+#: Cells of the histogram that a task holds before it passes them on.
+HELD_CELLS = 1 << 22
+
+
+def _error_cells(bins: int, offset: int):
+    """Of a task's reads: ``sample_id, pos, bin, n, s, lo, hi``, expected errors up to each position added up by cell."""
+    rate = 10.0 ** (-(np.arange(256) - offset) / 10)
+
+    def rows(sample: str | None, cells: list[np.ndarray]) -> pa.RecordBatch:
+        pos, cell = np.nonzero(cells[0])
+        own = [pa.array(x[pos, cell]) for x in cells]
+        return pa.RecordBatch.from_arrays([pa.array([sample] * len(pos), pa.string()), pa.array(pos.astype(np.int32)), pa.array(cell.astype(np.int32)), *own], ["sample_id", "pos", "bin", "n", "s", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, list[np.ndarray]] = {}
+        for batch in batches:
+            samples = batch.column(0).dictionary_encode(null_encoding="encode")
+            of = samples.indices.to_numpy()
+            table, length = _tables([q or "" for q in batch.column(1).to_pylist()])
+            width = table.shape[1]
+            for k, sample in enumerate(samples.dictionary.to_pylist()):
+                mine = of == k
+                ee = np.cumsum(rate[table[mine]], axis=1)
+                cell = np.clip(np.floor((np.log10(np.maximum(ee, 1e-300)) + 4) / 7 * bins), 0, bins - 1).astype(np.int64)
+                there = np.arange(width) < length[mine][:, None]
+                at, ee = (np.arange(width) * bins + cell)[there], ee[there]
+                known = held.setdefault(sample, [np.zeros((0, bins), np.int64), np.zeros((0, bins)), np.zeros((0, bins)), np.zeros((0, bins))])
+                if len(known[0]) < width:
+                    more = ((0, width - len(known[0])), (0, 0))
+                    known[:] = [np.pad(x, more, constant_values=fill) for x, fill in zip(known, (0, 0.0, np.inf, -np.inf), strict=True)]
+                n, total, lo, hi = (x.reshape(-1) for x in known)
+                size = width * bins
+                n[:size] += np.bincount(at, minlength=size)
+                total[:size] += np.bincount(at, ee, size)
+                np.minimum.at(lo, at, ee)
+                np.maximum.at(hi, at, ee)
+            if sum(x[0].size for x in held.values()) > HELD_CELLS:
+                yield from (rows(sample, x) for sample, x in held.items())
+                held = {}
+        yield from (rows(sample, x) for sample, x in held.items())
+
+    return run
+
+
+def cumulative_error_summary(reads: DataFrame, bins: int = 200, offset: int = 33) -> DataFrame:
     """Mean, least, most and quartiles of expected errors by position; quartiles from a histogram of log10 over -4..3."""
-    ee = cumulative_errors(reads)
-    cell = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.log10(F.greatest("ee", F.lit(1e-300))) + 4) / 7 * bins))).cast("int")
-    hist = ee.groupBy("sample_id", "pos", cell.alias("bin")).agg(F.count("*").alias("n"), F.sum("ee").alias("s"), F.min("ee").alias("lo"), F.max("ee").alias("hi"))
+    cells = reads.select("sample_id", "qual").mapInArrow(_error_cells(bins, offset), "sample_id string, pos int, bin int, n long, s double, lo double, hi double")
+    hist = cells.groupBy("sample_id", "pos", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     place = Window.partitionBy("sample_id", "pos")
     upto = F.sum("n").over(place.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     hist = hist.withColumn("upto", upto).withColumn("total", F.sum("n").over(place))
