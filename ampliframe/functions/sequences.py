@@ -36,7 +36,9 @@ def iupac_reverse_complement(primer: Column) -> Column:
 
 
 def n_count(seq: Column) -> Column:
-    return F.length(seq) - F.length(F.translate(seq, "Nn", ""))
+    # strings are searched as bytes here; translate looks every symbol up
+    without = F.replace(F.replace(seq, F.lit("N"), F.lit("")), F.lit("n"), F.lit(""))
+    return F.length(seq) - F.length(without)
 
 
 def is_acgt(seq: Column) -> Column:

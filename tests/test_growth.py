@@ -152,3 +152,11 @@ def test_reads_are_filtered_once_for_all_steps(spark, monkeypatch):
     monkeypatch.setattr(registry.reads, "filtered", once)
     n = sum(r["input"] for r in registry.step_tracking(spark, "/root/testdata/sf0.001").collect())
     assert sum(seen.value for seen, _ in calls) == n
+
+
+def test_ambiguous_bases_are_counted_without_looking_up_every_symbol(spark):
+    from ampliframe.functions import sequences as sq
+
+    found = spark.createDataFrame([("",), ("NNn",), ("ACGT",), ("AnCN",), (None,)], "seq string").select(sq.n_count(F.col("seq")).alias("n"))
+    assert [r["n"] for r in found.collect()] == [0, 3, 0, 2, None]
+    assert "translate" not in found._jdf.queryExecution().optimizedPlan().toString()
